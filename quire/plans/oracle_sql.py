@@ -64,3 +64,145 @@ where series = 'series-1' and rating >= 0 and list_has_all(tags, ['lang-en', 'eu
 order by rating desc, link asc
 limit 25
 """)
+
+
+def lit(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def pad3(x: str) -> str:
+    return f"(case when length(ltrim({x}, '0')) < 3 then lpad(ltrim({x}, '0'), 3, '0') else ltrim({x}, '0') end)"
+
+
+def norm_sql(x: str, pad_prefixed: bool = True) -> str:
+    """B1 (pad_prefixed) / B2 in SQL."""
+    rest = f"substr({x}, 5)"
+    pref = (f"case when regexp_matches({rest}, '^[0-9]+$') then 'SCP-' || {pad3(rest)} else upper({x}) end"
+            if pad_prefixed else f"upper({x})")
+    return (f"(case when {x} is null then null "
+            f"when regexp_matches({x}, '^[0-9]+$') then 'SCP-' || {pad3(x)} "
+            f"when starts_with(lower({x}), 'scp-') then {pref} "
+            f"when starts_with(upper({x}), 'SCP-') then upper({x}) "
+            f"else 'SCP-' || upper({x}) end)")
+
+
+def num_sql(x: str) -> str:
+    e = f"regexp_extract(upper({x}), 'SCP-([0-9]+)', 1)"
+    return f"(case when {e} <> '' then cast({e} as bigint) end)"
+
+
+ID_INPUTS = """
+core as (select scp_number, link, scp from items),
+inp as (
+  select 'number' as kind, cast(scp_number as varchar) as input from core
+  union all select 'prefixed', 'scp-' || cast(scp_number as varchar) from core
+  union all select 'link', link from core
+  union all select 'zero_padded', lpad(cast(scp_number as varchar), 6, '0') from core
+  union all select 'bare_suffix', regexp_replace(scp, '^SCP-', '') from core)
+"""
+
+VARIANTS = """
+v0 as (select link, scp, scp_number, [scp, cast(scp_number as varchar), link] as base,
+              'SCP-' || lpad(cast(scp_number as varchar), 3, '0') as padded from items),
+v1 as (select link, scp, scp_number,
+              case when scp_number < 1000 and not list_contains(base, padded)
+                   then list_append(base, padded) else base end as variants from v0),
+var as (select link, scp, scp_number, i - 1 as pos, variants[i] as variant
+        from (select *, unnest(range(1, len(variants) + 1)) as i from v1))
+"""
+
+IMG_RE = r"""(?i)<img\b[^>]*?\bsrc\s*=\s*["']([^"']*)["']"""
+
+SQL["items_base"] = q(f"""
+select i.link, i.scp, i.scp_number, i.title, i.series, i.rating, i.created_at, i.creator, i.url,
+       'scp-wiki.wikidot.com' as domain, i.content_sha1, sha1(i.raw_source) as raw_source_sha1,
+       (select string_agg(tag, ',' order by tag) from item_tags t where t.scp_number = i.scp_number) as tags,
+       (select string_agg(hub, ',' order by hub) from item_hubs h where h.scp_number = i.scp_number) as hubs,
+       (select string_agg(ref_link, ',' order by ref_link) from item_references r
+         where r.scp_number = i.scp_number) as refs,
+       coalesce(len(regexp_extract_all(i.raw_content, {lit(IMG_RE)}, 1)), 0) as n_images,
+       (select count(*) from item_history h where h.scp_number = i.scp_number) as n_history
+from items i
+""")
+
+SQL["item_tags"] = q("select i.link, t.tag from items i join item_tags t using (scp_number)")
+SQL["item_references"] = q("select i.link, r.ref_link from items i join item_references r using (scp_number)")
+SQL["item_history"] = q("""
+select i.link, row_number() over (partition by h.scp_number order by h.seq) - 1 as pos,
+       h.author, h.date, h.comment
+from items i join item_history h using (scp_number)
+""")
+
+SQL["normalize_ids"] = q("," + ID_INPUTS + f"""
+select kind, input, {norm_sql('input')} as norm_loader, {norm_sql('input', False)} as norm_script,
+       {num_sql(norm_sql('input'))} as number
+from inp
+""")
+
+SQL["select_range"] = q(f"select scp as label from items where {num_sql('scp')} between 100 and 250")
+
+SQL["select_single"] = q(f"""
+select scp as label from items
+where scp in (select {norm_sql('cast(l_partkey as varchar)', False)} from lineitem)
+""")
+
+SQL["sample_seeded"] = q("select scp as label from items order by md5('42:' || scp), scp limit 25")
+
+SQL["invalid_ids"] = q(f""",
+req as (select distinct cast(l_partkey as varchar) as request from lineitem),
+missing as (select request, {norm_sql('trim(request)')} as normalized from req),
+m2 as (select request, normalized, {num_sql('normalized')} as number from missing
+       where normalized not in (select scp from items)),
+cand as (select request, number, unnest(generate_series(number - 5, number + 5)) as scp_number
+         from m2 where number is not null),
+near as (select c.request, c.scp_number, i.scp, abs(c.scp_number - c.number) as dist
+         from cand c join items i on i.scp_number = c.scp_number),
+ranked as (select *, row_number() over (partition by request order by dist, scp_number, scp) as rn from near),
+top as (select request, string_agg(scp, ',' order by rn) as suggestions from ranked where rn <= 3 group by request)
+select m.request, 'ITEM_NOT_FOUND' as code, 'Item ' || m.normalized || ' not found in dataset' as message,
+       t.suggestions
+from m2 m left join top t using (request)
+""")
+
+SQL["shard_paths"] = q("," + ID_INPUTS + """,
+s as (select kind, input, lower(regexp_replace(input, '^[Ss][Cc][Pp]-', '')) as body from inp),
+s2 as (select kind, input,
+              case when body = '' then 'unknown' else array_to_string(string_split(body, ''), '/') end as shard,
+              case when starts_with(input, 'scp-') then input
+                   when starts_with(upper(input), 'SCP-') then lower(input)
+                   else 'scp-' || lower(input) end as file_link
+       from s)
+select kind, input, shard, file_link, concat_ws('/', 'markdown', shard, file_link || '.md') as path from s2
+""")
+
+SQL["identifier_variants"] = q("," + VARIANTS + "select link, pos, variant from var")
+
+SQL["lookup_many"] = q("," + VARIANTS + f""",
+req0 as (select distinct l_partkey from lineitem),
+req as (select cast(l_partkey as varchar) as request from req0
+        union all select 'SCP-' || cast(l_partkey as varchar) from req0
+        union all select 'scp-' || cast(l_partkey as varchar) || '-j' from req0),
+rk as (select distinct request, key from (
+         select request, upper(trim(request)) as key from req
+         union all select request, upper({norm_sql('trim(request)')}) from req)),
+vk as (select link, scp, scp_number, upper(variant) as key,
+              case pos when 0 then 0 when 2 then 1 when 3 then 2 else 3 end as rnk from var),
+m as (select rk.request, vk.link, vk.scp, vk.scp_number, min(vk.rnk) as match_rank
+      from rk join vk using (key) group by rk.request, vk.link, vk.scp, vk.scp_number)
+select request, link, match_rank from m
+qualify row_number() over (partition by request
+        order by match_rank, not regexp_matches(upper(scp), '^SCP-[0-9]+$'), scp_number, link) = 1
+""")
+
+HIT_SELECT = """link, scp, scp_number, title, rating, series,
+       case when len(tags) > 0 then array_to_string(tags, ',') end as tags,
+       created_at, creator, cast(null as varchar) as summary"""
+
+SQL["item_hits"] = q(f"select {HIT_SELECT} from items_t")
+SQL["items_index"] = q("""select link, scp, title, series, rating, (select count(*) from items) as total_count
+from items""")
+SQL["series_items"] = q(f"select {HIT_SELECT} from items_t where series = 'series-1'")
+SQL["series_stats"] = q("""select series, count(*) as n_items, round(avg(rating), 6) as avg_rating,
+       min(rating) as min_rating, max(rating) as max_rating from items group by series""")
+SQL["search_page_2"] = q(f"select {HIT_SELECT} from items_t order by rating desc, link limit 25 offset 25")

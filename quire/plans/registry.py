@@ -46,3 +46,175 @@ def search_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items_with_tags(spark, sf_dir)
     page = search.search_items(items, tags=["lang-en", "euclid"], series="series-1", min_rating=0, limit=25)
     return page.withColumn("tags", F.array_join("tags", ","))
+
+
+# --------------------------------------------------- A4/C8 item table
+
+@register
+def items_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built 23-column item table, arrays flattened, texts as hashes."""
+    it = item_view.build_items(spark, sf_dir)
+    return it.select(
+        "link", "scp", "scp_number", "title", "series", "rating", "created_at", "creator", "url",
+        "domain", "content_sha1",
+        F.sha1("raw_source").alias("raw_source_sha1"),
+        _join_arr("tags").alias("tags"), _join_arr("hubs").alias("hubs"),
+        _join_arr("references").alias("refs"), F.size("images").alias("n_images"),
+        F.size("history").alias("n_history"))
+
+
+@register
+def item_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    it = item_view.build_items(spark, sf_dir, references=False, history=False)
+    return it.select("link", F.explode("tags").alias("tag"))
+
+
+@register
+def item_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    it = item_view.build_items(spark, sf_dir, tags=False, history=False)
+    return it.select("link", F.explode("references").alias("ref_link"))
+
+
+@register
+def item_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    it = item_view.build_items(spark, sf_dir, tags=False, references=False)
+    return it.select("link", F.posexplode("history").alias("pos", "h")).select(
+        "link", "pos", "h.author", "h.date", "h.comment")
+
+
+# ------------------------------------------------------- B ids and selection
+
+def _labels(spark, sf_dir):
+    return item_view.item_core(spark, sf_dir, with_text=False).select(F.col("scp").alias("label"))
+
+
+def _id_inputs(spark, sf_dir):
+    """Mixed identifier spellings derived from the documents (every row)."""
+    core = item_view.item_core(spark, sf_dir, with_text=False).select("scp_number", "link", "scp")
+    n = F.col("scp_number").cast("string")
+    return (core.select(F.lit("number").alias("kind"), n.alias("input"))
+            .unionByName(core.select(F.lit("prefixed").alias("kind"), F.concat(F.lit("scp-"), n).alias("input")))
+            .unionByName(core.select(F.lit("link").alias("kind"), F.col("link").alias("input")))
+            .unionByName(core.select(F.lit("zero_padded").alias("kind"), F.lpad(n, 6, "0").alias("input")))
+            .unionByName(core.select(F.lit("bare_suffix").alias("kind"),
+                                     F.regexp_replace(F.col("scp"), "^SCP-", "").alias("input"))))
+
+
+@register
+def normalize_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 and B2 over every spelling of every item id, plus the range number."""
+    from ..functions.ids import label_number, normalize_id
+    inp = _id_inputs(spark, sf_dir)
+    return inp.select("kind", "input",
+                      normalize_id("input", True).alias("norm_loader"),
+                      normalize_id("input", False).alias("norm_script"),
+                      label_number(normalize_id("input", True)).cast("bigint").alias("number"))
+
+
+def _part_requests(spark, sf_dir):
+    li = item_view.read_table(spark, sf_dir, "lineitem", ["l_partkey"])
+    return li.select(F.col("l_partkey").cast("string").alias("request")).distinct()
+
+
+@register
+def select_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.selection import choose
+    return choose(_labels(spark, sf_dir), item_or_range="250-100")
+
+
+@register
+def select_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B3 for many ids: items named by the part keys of the order lines."""
+    from ..operators.selection import select_requested
+    return select_requested(_labels(spark, sf_dir), _part_requests(spark, sf_dir))
+
+
+@register
+def sample_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.selection import choose
+    return choose(_labels(spark, sf_dir), random_n=25, seed=42)
+
+
+@register
+def invalid_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B7 + K9: part-key requests that are no item, with nearest suggestions."""
+    from ..operators.lookup import not_found_with_suggestions
+    items = item_view.item_core(spark, sf_dir, with_text=False)
+    out = not_found_with_suggestions(_part_requests(spark, sf_dir), items)
+    return out.withColumn("suggestions", F.when(F.size("suggestions") > 0, F.array_join("suggestions", ",")))
+
+
+@register
+def shard_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.ids import file_link, shard_folder
+    inp = _id_inputs(spark, sf_dir)
+    sh = shard_folder(scp="input")
+    fl = file_link("input")
+    return inp.select("kind", "input", sh.alias("shard"), fl.alias("file_link"),
+                      F.concat_ws("/", F.lit("markdown"), sh, F.concat(fl, F.lit(".md"))).alias("path"))
+
+
+# ------------------------------------------------------------ C4 / K2 lookup
+
+@register
+def identifier_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.lookup import variant_table
+    v = variant_table(item_view.item_core(spark, sf_dir, with_text=False))
+    return v.select("link", "pos", "variant")
+
+
+def _lookup_requests(spark, sf_dir):
+    li = item_view.read_table(spark, sf_dir, "lineitem", ["l_partkey"]).select("l_partkey").distinct()
+    pk = F.col("l_partkey").cast("string")
+    return (li.select(pk.alias("request"))
+            .unionByName(li.select(F.concat(F.lit("SCP-"), pk).alias("request")))
+            .unionByName(li.select(F.concat(F.lit("scp-"), pk, F.lit("-j")).alias("request"))))
+
+
+@register
+def lookup_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.lookup import lookup_many as lm
+    items = item_view.item_core(spark, sf_dir, with_text=False)
+    return lm(items, _lookup_requests(spark, sf_dir)).select("request", "link", "match_rank")
+
+
+# --------------------------------------------------- C5 / K7 / K8 / E5 lists
+
+@register
+def item_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hits(_items_with_tags(spark, sf_dir)).withColumn("tags", F.array_join("tags", ","))
+
+
+@register
+def items_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: compact catalog with the total count (one count action, then a literal)."""
+    items = item_view.item_core(spark, sf_dir, with_text=False)
+    total = items.count()
+    return items.select("link", "scp", "title", "series", "rating", F.lit(total).alias("total_count"))
+
+
+@register
+def series_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8 series resource: ``1`` means ``series-1``."""
+    sid = "1"
+    series = f"series-{sid}" if sid.isdigit() else sid
+    items = _items_with_tags(spark, sf_dir).where(F.col("series") == series)
+    return search.hits(items).withColumn("tags", F.array_join("tags", ","))
+
+
+@register
+def series_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = item_view.item_core(spark, sf_dir, with_text=False)
+    return items.groupBy("series").agg(
+        F.count(F.lit(1)).alias("n_items"), F.round(F.avg("rating"), 6).alias("avg_rating"),
+        F.min("rating").alias("min_rating"), F.max("rating").alias("max_rating"))
+
+
+@register
+def search_page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second keyset page (cursor taken from page 1) of all items."""
+    items = _items_with_tags(spark, sf_dir)
+    p1 = search.browse_page(items, 25)
+    cur = search.next_cursor(p1, 25)
+    page = search.search_items(items, min_rating=None, limit=25, cursor=cur)
+    return page.withColumn("tags", F.array_join("tags", ","))
