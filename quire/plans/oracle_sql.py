@@ -206,3 +206,105 @@ SQL["series_items"] = q(f"select {HIT_SELECT} from items_t where series = 'serie
 SQL["series_stats"] = q("""select series, count(*) as n_items, round(avg(rating), 6) as avg_rating,
        min(rating) as min_rating, max(rating) as max_rating from items group by series""")
 SQL["search_page_2"] = q(f"select {HIT_SELECT} from items_t order by rating desc, link limit 25 offset 25")
+
+PRIMARY = "coalesce(nullif(cast(null as varchar), ''), nullif(raw_content, ''), raw_source)"
+
+SQL["content_fallback"] = q(f"""
+select link,
+       case when nullif(raw_content, '') is not null then 'raw_content'
+            when raw_source is not null then 'raw_source' end as primary_source,
+       sha1({PRIMARY}) as primary_sha1,
+       sha1(coalesce(nullif(raw_content, ''), raw_source)) as summary_sha1,
+       coalesce(nullif(raw_content, ''), nullif(raw_source, '')) is not null as has_content,
+       sha1(case when regexp_replace(coalesce(nullif(raw_content, ''), raw_source), '^\\s+|\\s+$', '', 'g') <> ''
+                 then coalesce(nullif(raw_content, ''), raw_source) end) as html_sha1,
+       true as fallback
+from items
+""")
+
+SQL["content_hashes"] = q("""
+select link, case when nullif(raw_content, '') is not null then sha1(raw_content) end as content_sha1,
+       sha1(raw_source) as source_sha1
+from items
+""")
+
+SQL["attribution"] = q(f""",
+ha as (select scp_number, list(distinct author) as h from item_history where author is not null group by scp_number)
+select i.link, i.title, i.url,
+       array_to_string(list_sort(list_distinct(
+         list_concat(case when i.creator is not null then [i.creator] else [] end, coalesce(ha.h, [])))), ',') as authors,
+       'CC BY-SA 3.0' as license,
+       'Content from the SCP Wiki is licensed under CC BY-SA 3.0. Derivatives must be shared under the same license.'
+         as notice
+from items i left join ha using (scp_number)
+where length({PRIMARY}) >= 100
+""")
+
+TOKENS = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+
+SQL["search_bm25"] = q(f""",
+docs as (select link, concat_ws(' ', title, array_to_string(tags, ' '),
+                                coalesce(nullif(raw_content, ''), raw_source)) as text from items_t),
+toks as (select link, {TOKENS.format(x='text')} as toks from docs),
+dl as (select link, len(toks) as dl from toks where len(toks) > 0),
+post as (select link, term, count(*) as tf from (select link, unnest(toks) as term from toks) group by link, term),
+stats as (select count(*) as n, avg(dl) as avgdl from dl),
+dfs as (select term, count(*) as df from post group by term),
+qt as (select query_id, term, count(*) as qtf
+       from (select item_id as query_id, unnest({TOKENS.format(x='text')}) as term from benchmark)
+       group by query_id, term),
+scored as (
+  select qt.query_id, p.link,
+         round(sum(ln(1 + (stats.n - dfs.df + 0.5) / (dfs.df + 0.5)) * p.tf * 2.2
+             / (p.tf + 1.2 * (0.25 + 0.75 * dl.dl / stats.avgdl)) * qt.qtf), 6) as score
+  from qt join post p using (term) join dfs using (term) join dl using (link) cross join stats
+  group by qt.query_id, p.link)
+select query_id, link, score, rank from (
+  select *, row_number() over (partition by query_id order by score desc, link) as rank from scored)
+where rank <= 5
+""")
+
+SQL["vector_topk"] = """
+with pos as (select label, i, cast(embedding[i] as double) as x
+             from (select label, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings)),
+cent as (select cast(label as bigint) as query_id, list(x order by i) as qv
+         from (select label, i, avg(x) as x from pos group by label, i) group by label),
+e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+sc as (select c.query_id, e.vec_id,
+              list_dot_product(e.v, c.qv) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(c.qv, c.qv)))
+                as score
+       from cent c cross join e)
+select query_id, vec_id, rank from (
+  select *, row_number() over (partition by query_id order by score desc nulls last, vec_id) as rank from sc)
+where rank <= 3
+"""
+
+SQL["related_items"] = q(""",
+refs as (select i.link, r.ref_link from items i join item_references r using (scp_number)),
+seeds as (select link as seed from items where series = 'joke'),
+e as (select s.seed, r.ref_link as link, 'references' as relation
+      from seeds s join refs r on r.link = s.seed join items i on i.link = r.ref_link
+      union all
+      select s.seed, r.link, 'referenced_by' from seeds s join refs r on r.ref_link = s.seed)
+select seed, link, count(*) as n_relations, array_to_string(list_sort(list(distinct relation)), ',') as relations
+from e group by seed, link
+""")
+
+SQL["related_hubs"] = q(""",
+hubs as (select i.link, h.hub from items i join item_hubs h using (scp_number)),
+sizes as (select hub, count(*) as n_members from hubs group by hub),
+seeds as (select link as seed from items where series = 'joke'),
+sh as (select distinct s.seed, h.hub from seeds s join hubs h on h.link = s.seed)
+select sh.seed, sh.hub, sizes.n_members - 1 as n_others from sh join sizes using (hub)
+""")
+
+SQL["dangling_references"] = q("""
+select i.link, r.ref_link from items i join item_references r using (scp_number)
+where r.ref_link not in (select link from items)
+""")
+
+SQL["random_item"] = q(f"""
+select {HIT_SELECT} from items_t
+where series = 'series-1' and list_contains(tags, 'euclid')
+order by md5('7:' || scp), scp limit 1
+""")

@@ -218,3 +218,113 @@ def search_page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     cur = search.next_cursor(p1, 25)
     page = search.search_items(items, min_rating=None, limit=25, cursor=cur)
     return page.withColumn("tags", F.array_join("tags", ","))
+
+
+# ------------------------------------------------- C1-C3 / C9 / K6 / K10 / I1
+
+def _content_items(spark, sf_dir):
+    core = item_view.item_core(spark, sf_dir, with_text=True)
+    return (core.withColumn("markdown", F.lit(None).cast("string"))
+            .withColumn("summary", F.lit(None).cast("string")))
+
+
+@register
+def content_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which text each accessor picks (as sha1 of whole texts)."""
+    from ..functions import content as C
+    it = _content_items(spark, sf_dir)
+    return it.select(
+        "link", C.primary_source().alias("primary_source"),
+        F.sha1(C.primary_content()).alias("primary_sha1"),
+        F.sha1(C.summary_content()).alias("summary_sha1"),
+        C.has_content().alias("has_content"),
+        F.sha1(C.html_pick()).alias("html_sha1"),
+        C.nz("markdown").isNull().alias("fallback"))
+
+
+@register
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change-detection hash of raw_content (non-empty only)."""
+    from ..functions.content import content_sha1
+    it = item_view.item_core(spark, sf_dir, with_text=True)
+    return it.select("link", content_sha1("raw_content").alias("content_sha1"),
+                     F.sha1("raw_source").alias("source_sha1"))
+
+
+@register
+def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribution for items with >= 100 characters of primary content;
+    authors = creator and history authors, distinct, sorted."""
+    from ..plans.catalog import attribution as attr
+    it = _content_items(spark, sf_dir)
+    hist = item_view.item_history(spark, sf_dir)
+    out = attr(it, hist)
+    return out.withColumn("authors", F.array_join("authors", ","))
+
+
+# ------------------------------------------------------------ K1 BM25 / K3
+
+@register
+def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 top-5 items per benchmark passage over title + tags + content."""
+    items = _items_with_tags(spark, sf_dir, with_text=True).withColumn("markdown", F.lit(None).cast("string"))
+    post = search.postings(items, "link", search.search_text(items))
+    bench = item_view.read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
+    qs = bench.select(F.col("item_id").alias("query_id"), "text")
+    return search.bm25_topk(post, qs, 5).select("query_id", "link", "score", "rank")
+
+
+@register
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: 3 nearest vectors (cosine) to each label centroid."""
+    from ..operators.vectors import label_centroids, topk_cosine
+    emb = item_view.read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+    q = label_centroids(emb)
+    return topk_cosine(emb.select("vec_id", "embedding"), q, 3).select("query_id", "vec_id", "rank")
+
+
+# ------------------------------------------------------------ K4 / K5
+
+def _refs(spark, sf_dir):
+    core = item_view.item_core(spark, sf_dir, with_text=False).select("scp_number", "link")
+    return item_view.item_references(spark, sf_dir).join(core, "scp_number").select("link", "ref_link")
+
+
+def _joke_seeds(spark, sf_dir):
+    core = item_view.item_core(spark, sf_dir, with_text=False)
+    return core.where(F.col("series") == "joke").select(F.col("link").alias("seed"))
+
+
+@register
+def related_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: items related to the joke items by references (out and in)."""
+    from ..operators.related import related
+    items = item_view.item_core(spark, sf_dir, with_text=False)
+    rel = related(_joke_seeds(spark, sf_dir), _refs(spark, sf_dir), items)
+    return rel.withColumn("relations", F.array_join("relations", ","))
+
+
+@register
+def related_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4 shared hubs of the joke items, with member counts."""
+    from ..operators.related import related_hubs as rh
+    core = item_view.item_core(spark, sf_dir, with_text=False).select("scp_number", "link")
+    hubs = item_view.item_hubs(spark, sf_dir).join(core, "scp_number").select("link", "hub")
+    return rh(_joke_seeds(spark, sf_dir), hubs)
+
+
+@register
+def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.related import dangling
+    items = item_view.item_core(spark, sf_dir, with_text=False)
+    return dangling(_refs(spark, sf_dir), items).select("link", "ref_link")
+
+
+@register
+def random_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: one seeded random hit among series-1 items tagged euclid."""
+    from ..operators.selection import sample
+    items = search.filter_items(_items_with_tags(spark, sf_dir), tags=["euclid"], series="series-1",
+                                min_rating=None)
+    pick = sample(items, 1, seed=7, key="scp")
+    return search.hits(pick).withColumn("tags", F.array_join("tags", ","))
