@@ -308,3 +308,166 @@ select {HIT_SELECT} from items_t
 where series = 'series-1' and list_contains(tags, 'euclid')
 order by md5('7:' || scp), scp limit 1
 """)
+
+OLD_SNAPSHOT = """,
+refs as (select i.link, r.ref_link from items i join item_references r using (scp_number)),
+old as (select i.link, case when l.quality = 0 then sha1(i.raw_source) else i.content_sha1 end as content_sha1
+        from items i join labels l on l.doc_id = i.scp_number
+        union all
+        select distinct ref_link as link, cast(null as varchar) from refs where ref_link not in (select link from items)),
+new as (select link, content_sha1 from items),
+diff as (
+  select coalesce(o.link, n.link) as link, o.content_sha1 as old_sha1, n.content_sha1 as new_sha1,
+         case when o.link is null then 'added' when n.link is null then 'removed'
+              when o.content_sha1 is distinct from n.content_sha1 then 'updated' else 'unchanged' end as state
+  from old o full outer join new n on o.link = n.link)
+"""
+
+SQL["snapshot_diff"] = q(OLD_SNAPSHOT + "select link, old_sha1, new_sha1, state from diff")
+SQL["sync_summary"] = q(OLD_SNAPSHOT + "select state, count(*) as n_items from diff group by state")
+SQL["merge_upsert"] = q(OLD_SNAPSHOT + """
+select link, content_sha1, 'new' as origin from new
+union all select link, content_sha1, 'old' from old where link not in (select link from new)
+""")
+
+VERSIONS = """
+with pd as (select o_orderpriority as table_name, o_orderdate as created_at, count(*) as row_count
+            from orders group by o_orderpriority, o_orderdate),
+v as (select *, row_number() over (partition by table_name order by created_at) as version,
+             substr(sha1(cast(created_at as varchar)), 1, 12) as dataset_commit from pd)
+"""
+
+SQL["retention_plan"] = VERSIONS + """,
+r as (select *, row_number() over (partition by table_name order by version desc) as rn from v)
+select table_name, version, created_at from r where rn > 20
+"""
+
+SQL["version_info"] = VERSIONS + """
+select table_name, max(version) as current_version, count(*) as n_versions,
+       arg_max(dataset_commit, version) as dataset_commit, arg_max(row_count, version) as current_rows,
+       min(created_at) as first_created_at, max(created_at) as last_created_at,
+       20 as keep_versions, 'daily' as cleanup
+from v group by table_name
+"""
+
+SQL["dump_page"] = q("""
+select link, scp, scp_number, title, series, rating, created_at, creator, url,
+       case when len(tags) > 0 then array_to_string(tags, ',') end as tags, content_sha1
+from items_t order by link limit 20 offset 10
+""")
+
+
+def yq(x: str) -> str:
+    return f"""('"' || replace(replace({x}, '\\', '\\\\'), '"', '\\"') || '"')"""
+
+
+def iso_sql(x: str) -> str:
+    us = f"(epoch_us({x}) % 1000000)"
+    return (f"(strftime({x}, '%Y-%m-%dT%H:%M:%S') || case when {us} <> 0 "
+            f"then '.' || lpad(cast({us} as varchar), 6, '0') else '' end)")
+
+
+def list_block(name: str, x: str) -> str:
+    return (f"case when len({x}) > 0 then '{name}:' || chr(10) || "
+            f"array_to_string(list_transform({x}, lambda t: '  - ' || {yq('t')}), chr(10)) end")
+
+
+FRONTMATTER = f"""concat_ws(chr(10), '---',
+  'scp_id: ' || {yq("coalesce(scp, 'Unknown')")},
+  'title: ' || {yq("coalesce(title, scp, 'Unknown')")},
+  case when nullif(link, '') is not null then 'link: ' || {yq('link')} end,
+  case when scp_number is not null then 'scp_number: ' || cast(scp_number as varchar) end,
+  case when nullif(series, '') is not null then 'series: ' || {yq('series')} end,
+  case when rating is not null then 'rating: ' || cast(rating as varchar) end,
+  case when nullif(creator, '') is not null then 'author: ' || {yq('creator')} end,
+  case when created_at is not null then 'created_at: ' || {yq(iso_sql('created_at'))} end,
+  case when nullif(url, '') is not null then 'source_url: ' || {yq('url')} end,
+  'domain: ' || {yq("'scp-wiki.wikidot.com'")},
+  {list_block('tags', 'tags')},
+  {list_block('references', 'refs')},
+  case when nullif(content_sha1, '') is not null then 'content_sha1: ' || {yq('content_sha1')} end,
+  'license: "CC BY-SA 3.0"',
+  'license_url: "https://creativecommons.org/licenses/by-sa/3.0/"',
+  '---')"""
+
+ITEMS_FULL = """,
+ref_arrays as (select scp_number, list_sort(list(ref_link)) as refs from item_references group by scp_number),
+items_f as (select t.*, coalesce(r.refs, []) as refs from items_t t left join ref_arrays r using (scp_number))
+"""
+
+SQL["frontmatter"] = q(ITEMS_FULL + f"select link, {FRONTMATTER} as frontmatter from items_f")
+
+FM_RE = r"(?s)\A[ \t]*---[ \t]*\r?\n(?:.*?\n)??[ \t]*---[ \t]*\r?(?:\n|\z)"
+
+SQL["strip_frontmatter"] = q(ITEMS_FULL + f""",
+docs as (select link, {FRONTMATTER} || chr(10) || chr(10) || raw_source as doc from items_f),
+b as (select link, regexp_replace(regexp_replace(doc, {lit(FM_RE)}, ''), '^\\s+|\\s+$', '', 'g') as body from docs)
+select link, sha1(body) as body_sha1, length(body) as body_len from b
+""")
+
+PROMPT_HEAD = ("Please provide a concise, informative summary of this SCP Foundation item. Focus on:\n"
+               "1. What the object/entity is\n2. Its key anomalous properties\n"
+               "3. Its containment class and basic containment procedures\n"
+               "4. Any notable risks or special characteristics\n\n"
+               "Keep the summary between 100-200 words and write it in a clear, accessible style.\n\n"
+               "SCP Item: ")
+
+SQL["summary_worklist"] = q(f""",
+w as (select link, scp, title,
+             case when nullif(raw_content, '') is not null then 'raw_html'
+                  when nullif(raw_source, '') is not null then 'raw_source' end as source,
+             coalesce(nullif(raw_content, ''), nullif(raw_source, '')) as text
+      from items where scp_number not in (select doc_id from labels))
+select link, source,
+       sha1({lit(PROMPT_HEAD)} || scp || ' - ' || coalesce(title, scp) || chr(10) || chr(10) || 'Content:' || chr(10)
+            || substr(text, 1, 102000) || chr(10)) as prompt_sha1,
+       length({lit(PROMPT_HEAD)} || scp || ' - ' || coalesce(title, scp) || chr(10) || chr(10) || 'Content:'
+            || chr(10) || substr(text, 1, 102000) || chr(10)) as prompt_len
+from w where source is not null
+""")
+
+NUM_STRICT = ("(case when regexp_matches(regexp_replace(trim(scp), '^[Ss][Cc][Pp]-', ''), '^[+-]?[0-9]+$') "
+              "then cast(regexp_replace(trim(scp), '^[Ss][Cc][Pp]-', '') as bigint) end)")
+RAW = f""",
+raw as (select i.link, i.scp, i.title, i.series, i.url, i.rating, i.creator, i.created_at, d.lang,
+               {NUM_STRICT} as num
+        from items i join documents d on d.doc_id = i.scp_number),
+val as (select *, (link is not null and scp is not null and title is not null and series is not null
+                   and url is not null and num is not null) as valid from raw)
+"""
+
+SQL["validate_items"] = q(RAW + """
+select link, valid, num as scp_number,
+       concat_ws(',', case when link is null then 'link' end, case when scp is null then 'scp' end,
+                 case when title is null then 'title' end, case when series is null then 'series' end,
+                 case when url is null then 'url' end, case when num is null then 'scp_number' end) as errors,
+       concat_ws(',', case when rating is null then 'rating' end) as warnings,
+       coalesce(rating, 0) as rating,
+       case lang when 'fr' then created_at - interval 2 hour when 'de' then created_at + interval 330 minute
+                 else created_at end as created_at
+from val
+""")
+
+SQL["export_plan"] = q(""",
+e as (select scp as label, link,
+             lower(regexp_replace(scp, '^[Ss][Cc][Pp]-', '')) as body,
+             case when starts_with(link, 'scp-') then link when starts_with(upper(link), 'SCP-') then lower(link)
+                  else 'scp-' || lower(link) end as fl,
+             scp_number in (select page_id from pages) as has_markdown,
+             scp_number in (select doc_id from labels) as has_summary
+      from items),
+e2 as (select *, case when body = '' then 'unknown' else array_to_string(string_split(body, ''), '/') end as shard
+       from e)
+select label, link, concat_ws('/', 'markdown', shard, fl || '.md') as markdown_path,
+       concat_ws('/', 'summary', shard, fl || '.md') as summary_path, has_markdown, has_summary
+from e2
+""")
+
+SQL["run_counts"] = q(RAW + f""",
+req as (select distinct {norm_sql('cast(l_partkey as varchar)', False)} as label from lineitem),
+run as (select scp as label from val union select label from req),
+st as (select run.label, case when v.valid is null then 'skipped' when v.valid then 'imported' else 'error' end
+              as status
+       from run left join (select scp as label, valid from val) v using (label))
+select status, count(*) as n_items from st group by status
+""")

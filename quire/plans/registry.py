@@ -328,3 +328,183 @@ def random_item(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 min_rating=None)
     pick = sample(items, 1, seed=7, key="scp")
     return search.hits(pick).withColumn("tags", F.array_join("tags", ","))
+
+
+# ------------------------------------------------- L1 / L2 diff, sync, merge
+
+def _old_snapshot(spark, sf_dir):
+    """The previous snapshot as Spark derives it from the tables: items that
+    carry labels, with the hash of the raw source where the quality label is
+    0 (their page changed since), plus the slugs that references still name
+    but that no longer exist (removed since)."""
+    core = item_view.item_core(spark, sf_dir, with_text=True)
+    labels = item_view.read_table(spark, sf_dir, "labels", ["doc_id", "quality"])
+    kept = (core.join(labels, core.scp_number == labels.doc_id)
+            .select("link", F.when(F.col("quality") == 0, F.sha1("raw_source"))
+                    .otherwise(F.col("content_sha1")).alias("content_sha1")))
+    from ..operators.related import dangling
+    gone = (dangling(_refs(spark, sf_dir), core).select(F.col("ref_link").alias("link")).distinct()
+            .withColumn("content_sha1", F.lit(None).cast("string")))
+    return kept.unionByName(gone)
+
+
+@register
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.diff import snapshot_diff as sd
+    new = item_view.item_core(spark, sf_dir, with_text=True).select("link", "content_sha1")
+    return sd(_old_snapshot(spark, sf_dir), new)
+
+
+@register
+def sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.diff import snapshot_diff as sd
+    from ..operators.diff import sync_summary as ss
+    new = item_view.item_core(spark, sf_dir, with_text=True).select("link", "content_sha1")
+    return ss(sd(_old_snapshot(spark, sf_dir), new))
+
+
+@register
+def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2 merge: the new items plus old rows whose link is not new."""
+    from ..operators.diff import merge_upsert as mu
+    new = (item_view.item_core(spark, sf_dir, with_text=True).select("link", "content_sha1")
+           .withColumn("origin", F.lit("new")))
+    old = _old_snapshot(spark, sf_dir).withColumn("origin", F.lit("old"))
+    return mu(old, new)
+
+
+# ------------------------------------------- L4 / L5 retention, version info
+
+def _versions_log(spark, sf_dir):
+    """A version log derived from the orders: one publish per order date of
+    each priority class (table name); row_count = orders of that day."""
+    o = item_view.read_table(spark, sf_dir, "orders", ["o_orderpriority", "o_orderdate"])
+    per_day = o.groupBy(F.col("o_orderpriority").alias("table_name"),
+                        F.col("o_orderdate").cast("timestamp_ntz").alias("created_at")).agg(
+        F.count(F.lit(1)).alias("row_count"))
+    from pyspark.sql import Window
+    w = Window.partitionBy("table_name").orderBy("created_at")
+    return (per_day.withColumn("version", F.row_number().over(w).cast("bigint"))
+            .withColumn("dataset_commit", F.substring(F.sha1(F.col("created_at").cast("string")), 1, 12)))
+
+
+@register
+def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans.publish import retention_plan as rp
+    return rp(_versions_log(spark, sf_dir), keep=20).select("table_name", "version", "created_at")
+
+
+@register
+def version_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans.publish import version_info as vi
+    return vi(_versions_log(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- G1 / L6
+
+@register
+def dump_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: rows 11..30 of the item table in link order (columns)."""
+    from ..plans.publish import dump_page as dp
+    it = item_view.build_items(spark, sf_dir, references=False, history=False)
+    page = dp(it, offset=10, limit=20)
+    return page.select("link", "scp", "scp_number", "title", "series", "rating", "created_at", "creator",
+                       "url", _join_arr("tags").alias("tags"), "content_sha1")
+
+
+@register
+def dump_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole item table as JSON lines (nulls kept)."""
+    from ..plans.publish import dump_jsonl
+    return dump_jsonl(item_view.build_items(spark, sf_dir))
+
+
+# ------------------------------------------------------- I9-I12 frontmatter
+
+@register
+def frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans.exports import frontmatter as fm
+    it = item_view.build_items(spark, sf_dir, history=False)
+    return it.select("link", fm().alias("frontmatter"))
+
+
+@register
+def strip_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I9 on exported documents (frontmatter + raw source): the body is back."""
+    from ..functions.content import strip_frontmatter as sfm
+    from ..plans.exports import frontmatter as fm
+    it = item_view.build_items(spark, sf_dir, history=False)
+    doc = F.concat(fm(), F.lit("\n\n"), F.col("raw_source"))
+    body = sfm(doc)
+    return it.select("link", F.sha1(body).alias("body_sha1"), F.length(body).alias("body_len"))
+
+
+# ------------------------------------------------------------ N2 worklist
+
+def _existing_summaries(spark, sf_dir):
+    """Items with a staged summary: the ones with quality labels (derived)."""
+    core = item_view.item_core(spark, sf_dir, with_text=False).select("scp_number", "link")
+    labels = item_view.read_table(spark, sf_dir, "labels", ["doc_id"])
+    return core.join(labels, core.scp_number == labels.doc_id, "left_semi").select("link")
+
+
+@register
+def summary_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans.summaries import worklist
+    it = _content_items(spark, sf_dir)
+    wl = worklist(it, _existing_summaries(spark, sf_dir))
+    return wl.select("link", "source", F.sha1("prompt").alias("prompt_sha1"),
+                     F.length("prompt").alias("prompt_len"))
+
+
+# ---------------------------------------------------------- §1.3 validate
+
+def _raw_items(spark, sf_dir):
+    """Raw (string) items: number given as the label text, dates as ISO
+    text with a zone that depends on the language."""
+    core = item_view.item_core(spark, sf_dir, with_text=False)
+    docs = item_view.read_table(spark, sf_dir, "documents", ["doc_id", "lang"])
+    zone = (F.when(F.col("lang") == "en", "Z").when(F.col("lang") == "fr", "+02:00")
+            .when(F.col("lang") == "de", "-05:30").otherwise(""))
+    return (core.join(docs, core.scp_number == docs.doc_id)
+            .select("link", "scp", F.col("scp").alias("scp_number"), "title", "series", "url",
+                    F.col("rating").cast("string").alias("rating"), "creator",
+                    F.concat(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), zone).alias("created_at")))
+
+
+@register
+def validate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.validate import validate, with_defaults
+    v = with_defaults(validate(_raw_items(spark, sf_dir)))
+    return v.select("link", "valid", F.col("number").alias("scp_number"),
+                    F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"),
+                    "rating", "created_at")
+
+
+# ---------------------------------------------------- N1 / B8 / E1 runs
+
+@register
+def export_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B8 dry run of an export: paths and whether staged files exist
+    (markdown staged for items with a page, summaries for labelled items)."""
+    from ..plans.exports import export_plan as ep
+    core = item_view.item_core(spark, sf_dir, with_text=False)
+    pages = item_view.read_table(spark, sf_dir, "pages", ["page_id"])
+    staged_md = core.join(pages, core.scp_number == pages.page_id, "left_semi").select("link")
+    return ep(core, staged_md, _existing_summaries(spark, sf_dir))
+
+
+@register
+def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses of an import over every label and every part-key request:
+    not loadable -> skipped, invalid -> error, else imported."""
+    from ..operators.validate import validate
+    from ..functions.ids import normalize_id
+    v = validate(_raw_items(spark, sf_dir)).select(F.col("scp").alias("label"), "valid")
+    req = _part_requests(spark, sf_dir).select(normalize_id("request", False).alias("label")).distinct()
+    run = v.select("label").unionByName(req).distinct()
+    st = run.join(v, "label", "left").select(
+        "label", F.when(F.col("valid").isNull(), "skipped").when(F.col("valid"), "imported")
+        .otherwise("error").alias("status"))
+    from ..plans.exports import run_counts as rc
+    return rc(st)
