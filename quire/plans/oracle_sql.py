@@ -471,3 +471,77 @@ st as (select run.label, case when v.valid is null then 'skipped' when v.valid t
        from run left join (select scp as label, valid from val) v using (label))
 select status, count(*) as n_items from st group by status
 """)
+
+# The same patterns as quire.functions.html_extract (fixed text).
+TOKEN_RE = (r"(?i)<script[\s\S]*?</script\s*>|<style[\s\S]*?</style\s*>|<!--[\s\S]*?-->"
+            r"|<[^>]+>|[^<]+|<")
+TITLE_RE = r"(?is)<title[^>]*>(.*?)</title\s*>"
+HEADING_RE = r"(?is)<h[1-6][^>]*>.*?</h[1-6]\s*>"
+LINK_RE = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
+IMG_TAG_RE = r"(?is)<img\b[^>]*>"
+ATTR_SRC_RE = r"""(?is)\ssrc\s*=\s*["']([^"']*)["']"""
+ATTR_ALT_RE = r"""(?is)\salt\s*=\s*["']([^"']*)["']"""
+BOILERPLATE_RE = (r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+                  r"|<iframe\b[^>]*>.*?</iframe\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<!--.*?-->")
+
+
+def inner_text_sql(x: str) -> str:
+    t = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]:
+        t = f"replace({t}, {lit(ent)}, {lit(ch)})"
+    return f"trim(regexp_replace({t}, '[ \\t\\r\\n\\f]+', ' ', 'g'))"
+
+
+def body_sql(x: str) -> str:
+    return f"regexp_replace({x}, {lit(BOILERPLATE_RE)}, ' ', 'g')"
+
+
+TOKEN_KIND = """case when starts_with(lower(token), '<script') then 'script'
+     when starts_with(lower(token), '<style') then 'style'
+     when starts_with(token, '<!--') then 'comment'
+     when starts_with(token, '</') then 'end_tag'
+     when regexp_matches(token, '^<[^>]+>$') then 'tag' else 'text' end"""
+
+SQL["page_tokens"] = f"""
+with t as (select page_id, regexp_extract_all(html, {lit(TOKEN_RE)}, 0) as toks from pages),
+u as (select page_id, i - 1 as seq, toks[i] as token from (select *, unnest(range(1, len(toks) + 1)) as i from t))
+select page_id, seq, {TOKEN_KIND} as kind, length(token) as len, sha1(token) as token_sha1 from u
+"""
+
+SQL["page_links"] = f"""
+with t as (select page_id, regexp_extract_all({body_sql('html')}, {lit(LINK_RE)}, 0) as ms from pages),
+u as (select page_id, i - 1 as pos, ms[i] as m from (select *, unnest(range(1, len(ms) + 1)) as i from t))
+select page_id, pos, regexp_extract(m, {lit(LINK_RE)}, 1) as href,
+       {inner_text_sql(f"regexp_extract(m, {lit(LINK_RE)}, 2)")} as text
+from u
+"""
+
+SQL["page_images"] = f"""
+with t as (select page_id, regexp_extract_all({body_sql('html')}, {lit(IMG_TAG_RE)}, 0) as ms from pages),
+u as (select page_id, i, regexp_extract(ms[i], {lit(ATTR_SRC_RE)}, 1) as src,
+             regexp_extract(ms[i], {lit(ATTR_ALT_RE)}, 1) as alt
+      from (select *, unnest(range(1, len(ms) + 1)) as i from t)),
+v as (select *, row_number() over (partition by page_id order by i) - 1 as pos from u where src <> '')
+select page_id, pos, src, alt,
+       '![' || case when alt <> '' then alt else 'Image' end || '](' || src || ')' as markdown
+from v
+"""
+
+SQL["page_headings"] = f"""
+with t as (select page_id,
+                  case when regexp_matches(html, {lit(TITLE_RE)})
+                       then {inner_text_sql(f"regexp_extract(html, {lit(TITLE_RE)}, 1)")} end as title,
+                  regexp_extract_all({body_sql('html')}, {lit(HEADING_RE)}, 0) as ms from pages),
+u as (select page_id, title, i - 1 as pos, ms[i] as m
+      from (select *, unnest(case when len(ms) = 0 then [null::bigint]
+                                  else range(1, len(ms) + 1) end) as i from t))
+select page_id, title, pos,
+       cast(regexp_extract(m, '(?i)^<h([1-6])', 1) as integer) as level,
+       {inner_text_sql("regexp_extract(m, '(?is)^<h[1-6][^>]*>(.*)</h[1-6]\\s*>$', 1)")} as text
+from u
+"""
+
+SQL["page_text"] = f"""
+with t as (select page_id, {inner_text_sql(body_sql('html'))} as text from pages)
+select page_id, length(text) as text_len, sha1(text) as text_sha1 from t
+"""

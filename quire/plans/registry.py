@@ -508,3 +508,47 @@ def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("error").alias("status"))
     from ..plans.exports import run_counts as rc
     return rc(st)
+
+
+# ---------------------------------------------------------- J18-J22 pages
+
+def _pages(spark, sf_dir):
+    return item_view.read_table(spark, sf_dir, "pages", ["page_id", "html"])
+
+
+@register
+def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, seq, kind, token length, token sha1) for every token."""
+    from ..functions.html_extract import token_kind, tokens
+    t = _pages(spark, sf_dir).select("page_id", F.posexplode(tokens("html")).alias("seq", "token"))
+    return t.select("page_id", "seq", token_kind(F.col("token")).alias("kind"),
+                    F.length("token").alias("len"), F.sha1("token").alias("token_sha1"))
+
+
+@register
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.html_extract import links
+    t = _pages(spark, sf_dir).select("page_id", F.posexplode(links("html")).alias("pos", "l"))
+    return t.select("page_id", "pos", "l.href", "l.text")
+
+
+@register
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.html_extract import images
+    t = _pages(spark, sf_dir).select("page_id", F.posexplode(images("html")).alias("pos", "i"))
+    return t.select("page_id", "pos", "i.src", "i.alt", "i.markdown")
+
+
+@register
+def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.html_extract import headings, page_title
+    t = _pages(spark, sf_dir).select("page_id", page_title("html").alias("title"),
+                                      F.posexplode_outer(headings("html")).alias("pos", "h"))
+    return t.select("page_id", "title", "pos", "h.level", "h.text")
+
+
+@register
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.html_extract import plain_text
+    t = _pages(spark, sf_dir).select("page_id", plain_text("html").alias("text"))
+    return t.select("page_id", F.length("text").alias("text_len"), F.sha1("text").alias("text_sha1"))
