@@ -552,3 +552,24 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.html_extract import plain_text
     t = _pages(spark, sf_dir).select("page_id", plain_text("html").alias("text"))
     return t.select("page_id", F.length("text").alias("text_len"), F.sha1("text").alias("text_sha1"))
+
+
+# ------------------------------------------------- J0-J17 corpus page jobs
+
+@register
+def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page, the live text nodes left after cleaning (count and
+    hash of their concatenation)."""
+    from ..operators.html_markdown import clean_pages as cp
+    c = cp(_pages(spark, sf_dir))
+    live = F.filter("nodes", lambda n: n["alive"] & (n["tag"] == "#text"))
+    text = F.array_join(F.transform(live, lambda n: n["own"]), "")
+    return c.select("page_id", "root", F.size("nodes").alias("n_nodes"), F.size(live).alias("n_live_text"),
+                    F.sha1(text).alias("text_sha1"), "shred_error")
+
+
+@register
+def pages_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown of every page."""
+    from ..operators.html_markdown import pages_to_markdown as p2m
+    return p2m(_pages(spark, sf_dir)).select("page_id", "markdown", "md_source", "error")
