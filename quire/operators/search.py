@@ -128,41 +128,78 @@ def postings(docs: DataFrame, key: str = "link", text: Column | None = None) ->
     return toks.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25_topk(post: DataFrame, queries: DataFrame, k: int, key: str = "link",
-              n_docs: int | None = None, avgdl: float | None = None,
-              k1: float = BM25_K1, b: float = BM25_B, broadcast_limit: int = 1_000_000) -> DataFrame:
-    """Top-k documents per query by BM25 (Lucene idf ``ln(1+(N-df+.5)/(df+.5))``).
-
-    post:    postings (key, term, tf, dl)
-    queries: (query_id, text)
-    The query terms are joined to the postings on ``term`` (never queries x
-    documents). Query terms are broadcast only below ``broadcast_limit`` rows
-    (checked); above it the join is a shuffle join and AQE splits hot terms.
-    Per-query top-k uses ``row_number() <= k``, which Spark plans with a
-    partial ``WindowGroupLimit`` before the shuffle, so a query matching every
-    document still moves only k rows per partition.
-    """
-    spark = post.sparkSession
-    doc_stats = post.groupBy(key).agg(F.first("dl").alias("dl"))
-    if n_docs is None or avgdl is None:
-        st = doc_stats.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-        n_docs, avgdl = int(st["n"]), float(st["avgdl"] or 0.0)
-    qterms = (queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
-              .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    qt = qterms.join(df, "term")
-    if qt.count() <= broadcast_limit:
-        qt = F.broadcast(qt)
-    idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
+def _bm25_score(post: DataFrame, qterms: DataFrame, df: DataFrame, n_docs, avgdl, k: int, key: str,
+                k1: float, b: float) -> DataFrame:
+    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
     part = idf * F.col("tf") * F.lit(k1 + 1.0) / norm * F.col("qtf")
-    scored = (post.join(qt, "term").groupBy("query_id", key)
+    scored = (post.join(df, "term").join(qterms, "term").groupBy("query_id", key)
               .agg(F.sum(part.cast("double")).alias("score")))
     w = _rank_window(key)
     return (scored.withColumn("score", F.round("score", 6))
             .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 
 
+def _checked_broadcast(df: DataFrame, limit: int) -> DataFrame:
+    return F.broadcast(df) if limit and df.count() <= limit else df
+
+
+def _query_terms(queries: DataFrame) -> DataFrame:
+    return (queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
+            .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
+
+
+def bm25_topk(post: DataFrame, queries: DataFrame, k: int, key: str = "link",
+              k1: float = BM25_K1, b: float = BM25_B, broadcast_limit: int = 1_000_000) -> DataFrame:
+    """Top-k documents per query by BM25 (Lucene idf ``ln(1+(N-df+.5)/(df+.5))``)
+    over a prebuilt (persisted) postings table (key, term, tf, dl).
+
+    N and the mean document length come from one scalar subquery. Query terms
+    are joined to the postings on ``term`` (never queries x documents) and are
+    broadcast only when their number is below ``broadcast_limit`` (checked on
+    the queries alone); above it the join is a shuffle join and AQE splits hot
+    terms. Per-query top-k is ``row_number() <= k``, planned with a partial
+    WindowGroupLimit before the shuffle.
+    """
+    stats = (post.groupBy(key).agg(F.first("dl").alias("dl"))
+             .select(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))).scalar())
+    qterms = _checked_broadcast(_query_terms(queries), broadcast_limit)
+    df = post.join(qterms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"))
+    return _bm25_score(post, qterms, F.broadcast(df) if qterms is not None else df, stats["n"], stats["avgdl"],
+                       k, key, k1, b)
+
+
+def bm25_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "link", text: Column | None = None,
+                k1: float = BM25_K1, b: float = BM25_B, broadcast_limit: int = 1_000_000,
+                partitions: int | None = None) -> DataFrame:
+    """One-shot BM25 without a prebuilt index: same scores as ``bm25_topk``.
+
+    Plan shape (one shuffle of the corpus side, and only of query-term tokens):
+      tokens per document -> explode -> semi join with the query vocabulary
+      (broadcast, size-checked) -> repartition by document key -> tf per
+      (doc, term) and the score sum per (query, doc) both run inside those
+      partitions (the partitioning already clusters every key that contains
+      the document key, so no further exchange) -> per-query top-k with a
+      partial WindowGroupLimit. Document frequencies are aggregated per term
+      (partial + final, at most one row per query term) and broadcast.
+    N and the mean length are one scalar subquery over per-document lengths.
+    """
+    text = text if text is not None else F.col("text")
+    toks = docs.select(F.col(key), tokens(text).alias("toks")).select(
+        key, "toks", F.size("toks").alias("dl")).where(F.col("dl") > 0)
+    stats = toks.select(F.struct(F.count(F.lit(1)).cast("double").alias("n"),
+                                 F.avg("dl").alias("avgdl"))).scalar()
+    qterms = _checked_broadcast(_query_terms(queries), broadcast_limit)
+    vocab = _checked_broadcast(qterms.select("term").distinct(), broadcast_limit)
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hits_ = (toks.select(key, "dl", F.explode("toks").alias("term")).join(vocab, "term", "left_semi")
+             .repartition(n, key))
+    post = hits_.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    df = F.broadcast(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    return _bm25_score(post, qterms, df, stats["n"], stats["avgdl"], k, key, k1, b)
+
+
 def _rank_window(key):
     from pyspark.sql import Window
     return Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key).asc())

@@ -28,8 +28,8 @@ def _join_arr(c: str):
     return F.when(F.size(c) > 0, F.array_join(F.array_sort(F.col(c)), ","))
 
 
-def _items_with_tags(spark, sf_dir, with_text=False):
-    core = item_view.item_core(spark, sf_dir, with_text=with_text)
+def _items_with_tags(spark, sf_dir, with_text=False, with_meta=True):
+    core = item_view.item_core(spark, sf_dir, with_text=with_text, with_meta=with_meta)
     tags = item_view.item_tags(spark, sf_dir).groupBy("scp_number").agg(
         F.array_sort(F.collect_list("tag")).alias("tags"))
     return (core.join(tags, "scp_number", "left")
@@ -267,11 +267,12 @@ def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 top-5 items per benchmark passage over title + tags + content."""
-    items = _items_with_tags(spark, sf_dir, with_text=True).withColumn("markdown", F.lit(None).cast("string"))
-    post = search.postings(items, "link", search.search_text(items))
+    items = (_items_with_tags(spark, sf_dir, with_text=True, with_meta=False)
+             .withColumn("markdown", F.lit(None).cast("string")))
     bench = item_view.read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
     qs = bench.select(F.col("item_id").alias("query_id"), "text")
-    return search.bm25_topk(post, qs, 5).select("query_id", "link", "score", "rank")
+    return search.bm25_search(items, qs, 5, "link", search.search_text(items)).select(
+        "query_id", "link", "score", "rank")
 
 
 @register
@@ -513,7 +514,8 @@ def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------- J18-J22 pages
 
 def _pages(spark, sf_dir):
-    return item_view.read_table(spark, sf_dir, "pages", ["page_id", "html"])
+    from ..sources.tables import ensure_parallelism
+    return ensure_parallelism(item_view.read_table(spark, sf_dir, "pages", ["page_id", "html"]))
 
 
 @register

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import DEFAULT_DOMAIN
 from ..schemas import ITEM_COLUMNS
-from .tables import read_table
+from .tables import ensure_parallelism, read_table
 
 # Fixed values of the mapping.
 URL_BASE = "https://wiki.example.org/"
@@ -32,10 +32,16 @@ def _base_label(doc_id):
                     .otherwise(doc_id.cast("string")))
 
 
-def item_core(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
+def item_core(spark: SparkSession, sf_dir: str, with_text: bool = True, with_meta: bool = True) -> DataFrame:
     """One row per document: every scalar item column. ``with_text=False``
-    prunes the two whole-text columns (and the pages scan) away."""
+    prunes the two whole-text columns (and the pages scan) away;
+    ``with_meta=False`` skips the orders/customer joins (rating, created_at,
+    creator) for jobs that only need identity and text."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    if with_text:
+        # Whole texts ride along: spread them before the per-row work when
+        # the scan gives fewer splits than the cluster has cores.
+        docs = ensure_parallelism(docs)
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_acctbal"])
 
@@ -53,14 +59,15 @@ def item_core(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataF
         F.concat(F.lit(URL_BASE), F.lower(base)).alias("url"),
         F.col("text").alias("raw_source"),
     )
-    oc = (orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
-          .select(F.col("o_orderkey"), F.col("o_orderdate"), F.col("c_name"), F.col("c_acctbal")))
-    items = (items.join(oc, items.scp_number == oc.o_orderkey, "left")
-             .withColumn("rating", F.floor("c_acctbal").cast("bigint"))
-             .withColumn("created_at", F.col("o_orderdate").cast("timestamp_ntz"))
-             .withColumn("creator", F.when((F.col("scp_number") % CREATOR_NULL_EVERY) == 0, None)
-                         .otherwise(F.col("c_name")))
-             .drop("o_orderkey", "o_orderdate", "c_name", "c_acctbal"))
+    if with_meta:
+        oc = (orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
+              .select(F.col("o_orderkey"), F.col("o_orderdate"), F.col("c_name"), F.col("c_acctbal")))
+        items = (items.join(oc, items.scp_number == oc.o_orderkey, "left")
+                 .withColumn("rating", F.floor("c_acctbal").cast("bigint"))
+                 .withColumn("created_at", F.col("o_orderdate").cast("timestamp_ntz"))
+                 .withColumn("creator", F.when((F.col("scp_number") % CREATOR_NULL_EVERY) == 0, None)
+                             .otherwise(F.col("c_name")))
+                 .drop("o_orderkey", "o_orderdate", "c_name", "c_acctbal"))
     if with_text:
         pages = read_table(spark, sf_dir, "pages", ["page_id", "html"])
         items = (items.join(pages, items.scp_number == pages.page_id, "left")
