@@ -63,10 +63,21 @@ def content_sha1(c="raw_content") -> Column:
 
 
 def parse_iso_ts(c) -> Column:
-    """ISO-8601 text (``Z`` or ``+hh:mm`` offsets) to a UTC wall-clock
-    TIMESTAMP_NTZ; unparsable gives null. The session time zone is UTC, so the
-    cast to TIMESTAMP converts offsets, and dropping the zone keeps UTC."""
-    return _col(c).try_cast("timestamp").cast("timestamp_ntz")
+    """ISO-8601 text to a UTC wall-clock TIMESTAMP_NTZ; unparsable gives
+    null. A zone suffix (``Z``, ``+hh:mm``, ``+hhmm``, ``+hh``) is subtracted
+    explicitly, so the result does not depend on the session time zone (a
+    cast through TIMESTAMP would; a direct cast to TIMESTAMP_NTZ would drop
+    the offset)."""
+    x = F.trim(_col(c))
+    pat = r"^(.*[0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?)(Z|[+-][0-9]{2}(?::?[0-9]{2})?)$"
+    zone = F.regexp_extract(x, pat, 2)
+    local = F.when(zone != "", F.regexp_extract(x, pat, 1)).otherwise(x)
+    base = local.try_cast("timestamp_ntz")
+    digits = F.regexp_replace(zone, ":", "")
+    sign = F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+    hh = F.when((zone == "") | (zone == "Z"), F.lit(0)).otherwise(F.substring(digits, 2, 2).cast("int"))
+    mm = F.when(F.length(digits) == 5, F.substring(digits, 4, 2).cast("int")).otherwise(F.lit(0))
+    return base - F.make_dt_interval(F.lit(0), sign * hh, sign * mm, F.lit(0))
 
 
 def iso_format(c) -> Column:

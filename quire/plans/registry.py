@@ -575,3 +575,23 @@ def pages_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown of every page."""
     from ..operators.html_markdown import pages_to_markdown as p2m
     return p2m(_pages(spark, sf_dir)).select("page_id", "markdown", "md_source", "error")
+
+
+# ---------------------------------------------------------- N1 exports
+
+@register
+def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item's Markdown file (HTML converted by the page job)."""
+    from ..plans.exports import markdown_exports
+    it = item_view.build_items(spark, sf_dir, history=False)
+    ex = markdown_exports(it)
+    return ex.select("link", "path", "source", F.length("body").alias("body_len"),
+                     F.sha1("body").alias("body_sha1"))
+
+
+@register
+def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item as a JSON file body."""
+    from ..plans.exports import json_exports
+    ex = json_exports(item_view.build_items(spark, sf_dir))
+    return ex.select("link", "path", F.length("body").alias("body_len"), F.sha1("body").alias("body_sha1"))

@@ -109,3 +109,25 @@ def test_version_info_and_sync_result(spark):
     res = sync_result(snapshot_diff(old, new), "c2", 43)
     assert res["updated"] == 2 and res["skipped"] == 2 and res["errors"] == []
     assert F is not None
+
+
+def test_iso_parsing_is_independent_of_session_zone(spark):
+    vals = ["2008-07-25T20:49:00Z", "2008-07-25T20:49:00+02:00", "2008-07-25T20:49:00-05:30",
+            "2008-07-25 20:49:00", "2008-07-25", "garbage", None]
+    want = ["2008-07-25 20:49:00", "2008-07-25 18:49:00", "2008-07-26 02:19:00", "2008-07-25 20:49:00",
+            "2008-07-25 00:00:00", "None", "None"]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/Los_Angeles", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            df = spark.createDataFrame([(v,) for v in vals], "v string")
+            assert [str(r.t) for r in df.select(C.parse_iso_ts("v").alias("t")).collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_iso_format_drops_zero_fraction(spark):
+    df = spark.createDataFrame([(dt.datetime(2008, 7, 25, 20, 49),), (dt.datetime(2008, 7, 25, 20, 49, 0, 5),)],
+                               "t timestamp_ntz")
+    assert [r.s for r in df.select(C.iso_format("t").alias("s")).collect()] == [
+        "2008-07-25T20:49:00", "2008-07-25T20:49:00.000005"]
