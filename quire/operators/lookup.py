@@ -50,21 +50,23 @@ def not_found_with_suggestions(requests: DataFrame, items: DataFrame, request: s
     """K9: one error record per request that matches no label.
 
     Suggestions are the nearest existing labels by number within +-radius:
-    each request explodes its 2*radius+1 candidate numbers and equi-joins the
-    items on number (bounded fan-out, no cross join), nearest first.
+    each missing request explodes its 2*radius+1 candidate numbers (bounded
+    fan-out, no cross join), left-joins the items on number, and one
+    aggregation per request keeps the nearest ``n_suggest`` (sorted structs,
+    no window and no join back).
     """
     req = requests.select(F.col(request)).distinct().withColumn("normalized", normalize_id(F.trim(F.col(request))))
     missing = req.join(items.select(F.col("scp").alias("normalized")), "normalized", "left_anti")
-    missing = missing.withColumn("number", label_number("normalized").cast("bigint"))
-    cand = missing.where(F.col("number").isNotNull()).select(
-        request, "number", F.explode(F.sequence(F.col("number") - radius, F.col("number") + radius)).alias("scp_number"))
-    near = (cand.join(items.select("scp_number", "scp"), "scp_number")
-            .withColumn("dist", F.abs(F.col("scp_number") - F.col("number"))))
-    w = Window.partitionBy(request).orderBy("dist", "scp_number", "scp")
-    top = (near.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n_suggest)
-           .groupBy(request).agg(F.sort_array(F.collect_list(F.struct("_rn", "scp"))).alias("s"))
-           .select(request, F.transform("s", lambda e: e["scp"]).alias("suggestions")))
-    return (missing.join(top, request, "left")
-            .select(F.col(request), F.lit("ITEM_NOT_FOUND").alias("code"),
-                    F.concat(F.lit("Item "), F.col("normalized"), F.lit(" not found in dataset")).alias("message"),
-                    F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions")))
+    number = label_number("normalized").cast("bigint")
+    cand = missing.select(request, "normalized", number.alias("number")).select(
+        request, "normalized", "number",
+        F.explode_outer(F.when(F.col("number").isNotNull(), F.sequence(
+            F.col("number") - radius, F.col("number") + radius))).alias("scp_number"))
+    near = cand.join(items.select("scp_number", "scp"), "scp_number", "left")
+    hit = F.when(F.col("scp").isNotNull(), F.struct(
+        F.abs(F.col("scp_number") - F.col("number")).alias("dist"), F.col("scp_number"), F.col("scp")))
+    top = near.groupBy(request, "normalized").agg(
+        F.slice(F.array_sort(F.collect_list(hit)), 1, n_suggest).alias("s"))
+    return top.select(F.col(request), F.lit("ITEM_NOT_FOUND").alias("code"),
+                      F.concat(F.lit("Item "), F.col("normalized"), F.lit(" not found in dataset")).alias("message"),
+                      F.transform("s", lambda e: e["scp"]).alias("suggestions"))

@@ -85,12 +85,12 @@ def item_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------- B ids and selection
 
 def _labels(spark, sf_dir):
-    return item_view.item_core(spark, sf_dir, with_text=False).select(F.col("scp").alias("label"))
+    return item_view.item_core(spark, sf_dir, with_text=False, with_meta=False).select(F.col("scp").alias("label"))
 
 
 def _id_inputs(spark, sf_dir):
     """Mixed identifier spellings derived from the documents (every row)."""
-    core = item_view.item_core(spark, sf_dir, with_text=False).select("scp_number", "link", "scp")
+    core = item_view.item_core(spark, sf_dir, with_text=False, with_meta=False).select("scp_number", "link", "scp")
     n = F.col("scp_number").cast("string")
     return (core.select(F.lit("number").alias("kind"), n.alias("input"))
             .unionByName(core.select(F.lit("prefixed").alias("kind"), F.concat(F.lit("scp-"), n).alias("input")))
@@ -139,7 +139,7 @@ def sample_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def invalid_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B7 + K9: part-key requests that are no item, with nearest suggestions."""
     from ..operators.lookup import not_found_with_suggestions
-    items = item_view.item_core(spark, sf_dir, with_text=False)
+    items = item_view.item_core(spark, sf_dir, with_text=False, with_meta=False)
     out = not_found_with_suggestions(_part_requests(spark, sf_dir), items)
     return out.withColumn("suggestions", F.when(F.size("suggestions") > 0, F.array_join("suggestions", ",")))
 
@@ -159,7 +159,7 @@ def shard_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def identifier_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.lookup import variant_table
-    v = variant_table(item_view.item_core(spark, sf_dir, with_text=False))
+    v = variant_table(item_view.item_core(spark, sf_dir, with_text=False, with_meta=False))
     return v.select("link", "pos", "variant")
 
 
@@ -174,7 +174,7 @@ def _lookup_requests(spark, sf_dir):
 @register
 def lookup_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.lookup import lookup_many as lm
-    items = item_view.item_core(spark, sf_dir, with_text=False)
+    items = item_view.item_core(spark, sf_dir, with_text=False, with_meta=False)
     return lm(items, _lookup_requests(spark, sf_dir)).select("request", "link", "match_rank")
 
 
@@ -246,7 +246,7 @@ def content_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change-detection hash of raw_content (non-empty only)."""
     from ..functions.content import content_sha1
-    it = item_view.item_core(spark, sf_dir, with_text=True)
+    it = item_view.item_core(spark, sf_dir, with_text=True, with_meta=False)
     return it.select("link", content_sha1("raw_content").alias("content_sha1"),
                      F.sha1("raw_source").alias("source_sha1"))
 
@@ -287,12 +287,12 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------ K4 / K5
 
 def _refs(spark, sf_dir):
-    core = item_view.item_core(spark, sf_dir, with_text=False).select("scp_number", "link")
+    core = item_view.item_core(spark, sf_dir, with_text=False, with_meta=False).select("scp_number", "link")
     return item_view.item_references(spark, sf_dir).join(core, "scp_number").select("link", "ref_link")
 
 
 def _joke_seeds(spark, sf_dir):
-    core = item_view.item_core(spark, sf_dir, with_text=False)
+    core = item_view.item_core(spark, sf_dir, with_text=False, with_meta=False)
     return core.where(F.col("series") == "joke").select(F.col("link").alias("seed"))
 
 
@@ -300,7 +300,7 @@ def _joke_seeds(spark, sf_dir):
 def related_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4: items related to the joke items by references (out and in)."""
     from ..operators.related import related
-    items = item_view.item_core(spark, sf_dir, with_text=False)
+    items = item_view.item_core(spark, sf_dir, with_text=False, with_meta=False)
     rel = related(_joke_seeds(spark, sf_dir), _refs(spark, sf_dir), items)
     return rel.withColumn("relations", F.array_join("relations", ","))
 
@@ -309,7 +309,7 @@ def related_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def related_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4 shared hubs of the joke items, with member counts."""
     from ..operators.related import related_hubs as rh
-    core = item_view.item_core(spark, sf_dir, with_text=False).select("scp_number", "link")
+    core = item_view.item_core(spark, sf_dir, with_text=False, with_meta=False).select("scp_number", "link")
     hubs = item_view.item_hubs(spark, sf_dir).join(core, "scp_number").select("link", "hub")
     return rh(_joke_seeds(spark, sf_dir), hubs)
 
@@ -317,7 +317,7 @@ def related_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.related import dangling
-    items = item_view.item_core(spark, sf_dir, with_text=False)
+    items = item_view.item_core(spark, sf_dir, with_text=False, with_meta=False)
     return dangling(_refs(spark, sf_dir), items).select("link", "ref_link")
 
 
@@ -338,7 +338,7 @@ def _old_snapshot(spark, sf_dir):
     carry labels, with the hash of the raw source where the quality label is
     0 (their page changed since), plus the slugs that references still name
     but that no longer exist (removed since)."""
-    core = item_view.item_core(spark, sf_dir, with_text=True)
+    core = item_view.item_core(spark, sf_dir, with_text=True, with_meta=False)
     labels = item_view.read_table(spark, sf_dir, "labels", ["doc_id", "quality"])
     kept = (core.join(labels, core.scp_number == labels.doc_id)
             .select("link", F.when(F.col("quality") == 0, F.sha1("raw_source"))
@@ -352,7 +352,7 @@ def _old_snapshot(spark, sf_dir):
 @register
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.diff import snapshot_diff as sd
-    new = item_view.item_core(spark, sf_dir, with_text=True).select("link", "content_sha1")
+    new = item_view.item_core(spark, sf_dir, with_text=True, with_meta=False).select("link", "content_sha1")
     return sd(_old_snapshot(spark, sf_dir), new)
 
 
@@ -360,7 +360,7 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.diff import snapshot_diff as sd
     from ..operators.diff import sync_summary as ss
-    new = item_view.item_core(spark, sf_dir, with_text=True).select("link", "content_sha1")
+    new = item_view.item_core(spark, sf_dir, with_text=True, with_meta=False).select("link", "content_sha1")
     return ss(sd(_old_snapshot(spark, sf_dir), new))
 
 
@@ -368,7 +368,7 @@ def sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2 merge: the new items plus old rows whose link is not new."""
     from ..operators.diff import merge_upsert as mu
-    new = (item_view.item_core(spark, sf_dir, with_text=True).select("link", "content_sha1")
+    new = (item_view.item_core(spark, sf_dir, with_text=True, with_meta=False).select("link", "content_sha1")
            .withColumn("origin", F.lit("new")))
     old = _old_snapshot(spark, sf_dir).withColumn("origin", F.lit("old"))
     return mu(old, new)
@@ -444,7 +444,7 @@ def strip_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _existing_summaries(spark, sf_dir):
     """Items with a staged summary: the ones with quality labels (derived)."""
-    core = item_view.item_core(spark, sf_dir, with_text=False).select("scp_number", "link")
+    core = item_view.item_core(spark, sf_dir, with_text=False, with_meta=False).select("scp_number", "link")
     labels = item_view.read_table(spark, sf_dir, "labels", ["doc_id"])
     return core.join(labels, core.scp_number == labels.doc_id, "left_semi").select("link")
 
@@ -489,7 +489,7 @@ def export_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B8 dry run of an export: paths and whether staged files exist
     (markdown staged for items with a page, summaries for labelled items)."""
     from ..plans.exports import export_plan as ep
-    core = item_view.item_core(spark, sf_dir, with_text=False)
+    core = item_view.item_core(spark, sf_dir, with_text=False, with_meta=False)
     pages = item_view.read_table(spark, sf_dir, "pages", ["page_id"])
     staged_md = core.join(pages, core.scp_number == pages.page_id, "left_semi").select("link")
     return ep(core, staged_md, _existing_summaries(spark, sf_dir))
