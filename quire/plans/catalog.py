@@ -25,8 +25,11 @@ def attribution(items: DataFrame, history: DataFrame | None = None, enabled: boo
     it = items.where(F.length(C.primary_content()) >= min_length).select(
         "scp_number", "link", "title", "url", "creator")
     if history is not None:
-        ha = history.where(F.col("author").isNotNull()).groupBy("scp_number").agg(
-            F.collect_set("author").alias("h_authors"))
+        # distinct (item, author) pairs first: the map-side partial aggregate
+        # drops repeated edits before anything is shuffled, so an item with a
+        # huge history ships each author once
+        ha = (history.where(F.col("author").isNotNull()).select("scp_number", "author").distinct()
+              .groupBy("scp_number").agg(F.collect_list("author").alias("h_authors")))
         it = it.join(ha, "scp_number", "left")
     else:
         it = it.withColumn("h_authors", F.array().cast("array<string>"))

@@ -37,7 +37,7 @@ def item_core(spark: SparkSession, sf_dir: str, with_text: bool = True, with_met
     prunes the two whole-text columns (and the pages scan) away;
     ``with_meta=False`` skips the orders/customer joins (rating, created_at,
     creator) for jobs that only need identity and text."""
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
     if with_text:
         # Whole texts ride along: spread them before the per-row work when
         # the scan gives fewer splits than the cluster has cores.
@@ -58,6 +58,7 @@ def item_core(spark: SparkSession, sf_dir: str, with_text: bool = True, with_met
         ).alias("series"),
         F.concat(F.lit(URL_BASE), F.lower(base)).alias("url"),
         F.col("text").alias("raw_source"),
+        F.array(F.concat(F.lit("hub-"), F.col("source"))).alias("hubs"),
     )
     if with_meta:
         oc = (orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
@@ -93,7 +94,8 @@ def item_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(scp_number, hub): one hub per document source."""
+    """(scp_number, hub): one hub per document source (the long form of the
+    ``hubs`` column that ``item_core`` projects)."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "source"])
     return docs.select(F.col("doc_id").alias("scp_number"),
                        F.concat(F.lit("hub-"), F.col("source")).alias("hub"))
@@ -143,9 +145,6 @@ def build_items(spark: SparkSession, sf_dir: str, tags: bool = True, references:
                                               F.array().cast("array<string>")))
              .withColumn("content_file", F.lit(None).cast("string"))
              .withColumn("dataset_commit", F.lit(dataset_commit).cast("string")))
-    hubs = item_hubs(spark, sf_dir).groupBy("scp_number").agg(
-        F.array_sort(F.collect_list("hub")).alias("hubs"))
-    items = items.join(hubs, "scp_number", "left")
     empty = F.array().cast("array<string>")
     if tags:
         t = item_tags(spark, sf_dir).groupBy("scp_number").agg(
