@@ -31,7 +31,11 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     single split; a round-robin repartition only happens when the scan gives
     fewer partitions than the cluster's default parallelism."""
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    try:
+        want = min_partitions or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Connect session): leave the plan as is
+        return df
+    if have < want:
         return df.repartition(want)
     return df
