@@ -59,8 +59,8 @@ def items_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         "domain", "content_sha1",
         F.sha1("raw_source").alias("raw_source_sha1"),
         _join_arr("tags").alias("tags"), _join_arr("hubs").alias("hubs"),
-        _join_arr("references").alias("refs"), F.size("images").alias("n_images"),
-        F.size("history").alias("n_history"))
+        _join_arr("references").alias("refs"), F.size("images").cast("bigint").alias("n_images"),
+        F.size("history").cast("bigint").alias("n_history"))
 
 
 @register
@@ -79,7 +79,7 @@ def item_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 def item_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     it = item_view.build_items(spark, sf_dir, tags=False, references=False)
     return it.select("link", F.posexplode("history").alias("pos", "h")).select(
-        "link", "pos", "h.author", "h.date", "h.comment")
+        "link", F.col("pos").cast("bigint").alias("pos"), "h.author", "h.date", "h.comment")
 
 
 # ------------------------------------------------------- B ids and selection
@@ -160,7 +160,7 @@ def shard_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def identifier_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.lookup import variant_table
     v = variant_table(item_view.item_core(spark, sf_dir, with_text=False, with_meta=False))
-    return v.select("link", "pos", "variant")
+    return v.select("link", F.col("pos").cast("bigint").alias("pos"), "variant")
 
 
 def _lookup_requests(spark, sf_dir):
@@ -190,7 +190,7 @@ def items_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K7: compact catalog with the total count (one count action, then a literal)."""
     items = item_view.item_core(spark, sf_dir, with_text=False)
     total = items.count()
-    return items.select("link", "scp", "title", "series", "rating", F.lit(total).alias("total_count"))
+    return items.select("link", "scp", "title", "series", "rating", F.lit(total).cast("bigint").alias("total_count"))
 
 
 @register
@@ -272,7 +272,7 @@ def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = item_view.read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
     qs = bench.select(F.col("item_id").alias("query_id"), "text")
     return search.bm25_search(items, qs, 5, "link", search.search_text(items)).select(
-        "query_id", "link", "score", "rank")
+        "query_id", "link", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @register
@@ -281,7 +281,8 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.vectors import label_centroids, topk_cosine
     emb = item_view.read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     q = label_centroids(emb)
-    return topk_cosine(emb.select("vec_id", "embedding"), q, 3).select("query_id", "vec_id", "rank")
+    return topk_cosine(emb.select("vec_id", "embedding"), q, 3).select(
+        "query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 # ------------------------------------------------------------ K4 / K5
@@ -437,7 +438,7 @@ def strip_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     it = item_view.build_items(spark, sf_dir, history=False)
     doc = F.concat(fm(), F.lit("\n\n"), F.col("raw_source"))
     body = sfm(doc)
-    return it.select("link", F.sha1(body).alias("body_sha1"), F.length(body).alias("body_len"))
+    return it.select("link", F.sha1(body).alias("body_sha1"), F.length(body).cast("bigint").alias("body_len"))
 
 
 # ------------------------------------------------------------ N2 worklist
@@ -455,7 +456,7 @@ def summary_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     it = _content_items(spark, sf_dir)
     wl = worklist(it, _existing_summaries(spark, sf_dir))
     return wl.select("link", "source", F.sha1("prompt").alias("prompt_sha1"),
-                     F.length("prompt").alias("prompt_len"))
+                     F.length("prompt").cast("bigint").alias("prompt_len"))
 
 
 # ---------------------------------------------------------- §1.3 validate
@@ -523,22 +524,22 @@ def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, seq, kind, token length, token sha1) for every token."""
     from ..functions.html_extract import token_kind, tokens
     t = _pages(spark, sf_dir).select("page_id", F.posexplode(tokens("html")).alias("seq", "token"))
-    return t.select("page_id", "seq", token_kind(F.col("token")).alias("kind"),
-                    F.length("token").alias("len"), F.sha1("token").alias("token_sha1"))
+    return t.select("page_id", F.col("seq").cast("bigint").alias("seq"), token_kind(F.col("token")).alias("kind"),
+                    F.length("token").cast("bigint").alias("len"), F.sha1("token").alias("token_sha1"))
 
 
 @register
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.html_extract import links
     t = _pages(spark, sf_dir).select("page_id", F.posexplode(links("html")).alias("pos", "l"))
-    return t.select("page_id", "pos", "l.href", "l.text")
+    return t.select("page_id", F.col("pos").cast("bigint").alias("pos"), "l.href", "l.text")
 
 
 @register
 def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.html_extract import images
     t = _pages(spark, sf_dir).select("page_id", F.posexplode(images("html")).alias("pos", "i"))
-    return t.select("page_id", "pos", "i.src", "i.alt", "i.markdown")
+    return t.select("page_id", F.col("pos").cast("bigint").alias("pos"), "i.src", "i.alt", "i.markdown")
 
 
 @register
@@ -546,14 +547,14 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.html_extract import headings, page_title
     t = _pages(spark, sf_dir).select("page_id", page_title("html").alias("title"),
                                       F.posexplode_outer(headings("html")).alias("pos", "h"))
-    return t.select("page_id", "title", "pos", "h.level", "h.text")
+    return t.select("page_id", "title", F.col("pos").cast("bigint").alias("pos"), "h.level", "h.text")
 
 
 @register
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.html_extract import plain_text
     t = _pages(spark, sf_dir).select("page_id", plain_text("html").alias("text"))
-    return t.select("page_id", F.length("text").alias("text_len"), F.sha1("text").alias("text_sha1"))
+    return t.select("page_id", F.length("text").cast("bigint").alias("text_len"), F.sha1("text").alias("text_sha1"))
 
 
 # ------------------------------------------------- J0-J17 corpus page jobs
