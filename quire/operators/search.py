@@ -170,20 +170,21 @@ def bm25_topk(post: DataFrame, queries: DataFrame, k: int, key: str = "link",
                        k, key, k1, b)
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "link", text: Column | None = None,
+def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "link", text: Column | None = None,
                 k1: float = BM25_K1, b: float = BM25_B, broadcast_limit: int = 1_000_000,
                 partitions: int | None = None) -> DataFrame:
-    """One-shot BM25 without a prebuilt index: same scores as ``bm25_topk``.
+    """(query_id, key, score) for every document sharing a term with a query,
+    computed without a prebuilt index (same scores as ``bm25_topk``).
 
     Plan shape (one shuffle of the corpus side, and only of query-term tokens):
       tokens per document -> explode -> semi join with the query vocabulary
       (broadcast, size-checked) -> repartition by document key -> tf per
       (doc, term) and the score sum per (query, doc) both run inside those
       partitions (the partitioning already clusters every key that contains
-      the document key, so no further exchange) -> per-query top-k with a
-      partial WindowGroupLimit. Document frequencies are aggregated per term
-      (partial + final, at most one row per query term) and broadcast.
-    N and the mean length are one scalar subquery over per-document lengths.
+      the document key, so no further exchange). Document frequencies are
+      aggregated per term (partial + final, at most one row per query term)
+      and broadcast. N and the mean length are one scalar subquery over
+      per-document lengths.
     """
     text = text if text is not None else F.col("text")
     toks = docs.select(F.col(key), tokens(text).alias("toks")).select(
@@ -197,7 +198,36 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "link",
              .repartition(n, key))
     post = hits_.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     df = F.broadcast(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    return _bm25_score(post, qterms, df, stats["n"], stats["avgdl"], k, key, k1, b)
+    idf = F.log(F.lit(1.0) + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / stats["avgdl"])
+    part = idf * F.col("tf") * F.lit(k1 + 1.0) / norm * F.col("qtf")
+    return (post.join(df, "term").join(qterms, "term").groupBy("query_id", key)
+            .agg(F.round(F.sum(part.cast("double")), 6).alias("score")))
+
+
+def bm25_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "link", text: Column | None = None,
+                k1: float = BM25_K1, b: float = BM25_B, broadcast_limit: int = 1_000_000,
+                partitions: int | None = None) -> DataFrame:
+    """One-shot BM25 top-k per query (``bm25_scores`` + a per-query
+    ``row_number() <= k``, planned with a partial WindowGroupLimit)."""
+    scored = bm25_scores(docs, queries, key, text, k1, b, broadcast_limit, partitions)
+    return scored.withColumn("rank", F.row_number().over(_rank_window(key))).where(F.col("rank") <= k)
+
+
+def ranked_page(items: DataFrame, queries: DataFrame, tags=None, series=None, min_rating=0, limit=None,
+                cursor: str | None = None, tag_mode: str = "all") -> DataFrame:
+    """K1 with a text query: BM25 over the whole catalog (corpus statistics do
+    not depend on the filters), then the filters, then one keyset page ordered
+    by (score desc, link asc); the cursor is ``{"score": s, "link": l}``.
+    ``queries`` holds the one query (query_id, text). Output: hits + score."""
+    scored = bm25_scores(items, queries, "link", search_text(items)).select("link", "score")
+    df = filter_items(items, tags, series, min_rating, tag_mode).join(scored, "link")
+    if cursor:
+        c = decode_cursor(cursor)
+        sc, lk = F.lit(float(c["score"])), F.lit(c["link"])
+        df = df.where((F.col("score") < sc) | ((F.col("score") == sc) & (F.col("link") > lk)))
+    page = df.orderBy(F.col("score").desc(), F.col("link").asc()).limit(page_size(limit))
+    return hits(page).join(page.select("link", "score"), "link")
 
 
 def _rank_window(key):

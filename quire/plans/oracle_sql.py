@@ -545,3 +545,24 @@ SQL["page_text"] = f"""
 with t as (select page_id, {inner_text_sql(body_sql('html'))} as text from pages)
 select page_id, length(text) as text_len, sha1(text) as text_sha1 from t
 """
+
+SQL["search_ranked_page"] = q(f""",
+docs as (select link, concat_ws(' ', title, array_to_string(tags, ' '),
+                                coalesce(nullif(raw_content, ''), raw_source)) as text from items_t),
+toks as (select link, {TOKENS.format(x='text')} as toks from docs),
+dl as (select link, len(toks) as dl from toks where len(toks) > 0),
+post as (select link, term, count(*) as tf from (select link, unnest(toks) as term from toks) group by link, term),
+stats as (select count(*) as n, avg(dl) as avgdl from dl),
+dfs as (select term, count(*) as df from post group by term),
+q1 as (select text from benchmark order by item_id limit 1),
+qt as (select term, count(*) as qtf from (select unnest({TOKENS.format(x='text')}) as term from q1) group by term),
+scored as (
+  select p.link,
+         round(sum(ln(1 + (stats.n - dfs.df + 0.5) / (dfs.df + 0.5)) * p.tf * 2.2
+             / (p.tf + 1.2 * (0.25 + 0.75 * dl.dl / stats.avgdl)) * qt.qtf), 6) as score
+  from qt join post p using (term) join dfs using (term) join dl using (link) cross join stats
+  group by p.link)
+select {HIT_SELECT}, s.score from items_t join scored s using (link)
+where series = 'series-1' and list_contains(tags, 'lang-en')
+order by s.score desc, link limit 25 offset 25
+""")

@@ -596,3 +596,18 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans.exports import json_exports
     ex = json_exports(item_view.build_items(spark, sf_dir))
     return ex.select("link", "path", F.length("body").alias("body_len"), F.sha1("body").alias("body_sha1"))
+
+
+@register
+def search_ranked_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 + K1a with a text query: the first benchmark passage as the query,
+    series-1 items tagged lang-en, second keyset page of 25 by BM25 score."""
+    items = (_items_with_tags(spark, sf_dir, with_text=True, with_meta=True)
+             .withColumn("markdown", F.lit(None).cast("string")))
+    bench = item_view.read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
+    query = bench.orderBy("item_id").limit(1).select(F.lit(0).cast("bigint").alias("query_id"), "text")
+    kw = dict(tags=["lang-en"], series="series-1", min_rating=None, limit=25)
+    p1 = search.ranked_page(items, query, **kw)
+    cur = search.next_cursor(p1.orderBy(F.col("score").desc(), "link"), 25, keys=("score", "link"))
+    page = search.ranked_page(items, query, cursor=cur, **kw)
+    return page.withColumn("tags", F.array_join("tags", ","))

@@ -32,9 +32,17 @@ def duck():
     return con
 
 
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+              "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
     sdf = E.queries()[name](spark, SF)
+    rel = duck.sql(E.oracle_sql()[name])
+    d_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for f in sdf.schema.fields:
+        assert DUCK_TYPES.get(f.dataType.simpleString()) == d_types.get(f.name), (name, f.name)
     s_cols, s_rows = canon(sdf.columns, [tuple(r) for r in sdf.collect()])
     cur = duck.execute(E.oracle_sql()[name])
     d_cols, d_rows = canon([d[0] for d in cur.description], cur.fetchall())
