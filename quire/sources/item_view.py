@@ -60,23 +60,23 @@ def item_core(spark: SparkSession, sf_dir: str, with_text: bool = True, with_met
         F.col("text").alias("raw_source"),
         F.array(F.concat(F.lit("hub-"), F.col("source"))).alias("hubs"),
     )
+    # Each step is one projection (chained withColumn calls would re-analyse
+    # the growing plan once per column).
+    keep = [c for c in items.columns if with_text or c != "raw_source"]
     if with_meta:
         oc = (orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
               .select(F.col("o_orderkey"), F.col("o_orderdate"), F.col("c_name"), F.col("c_acctbal")))
-        items = (items.join(oc, items.scp_number == oc.o_orderkey, "left")
-                 .withColumn("rating", F.floor("c_acctbal").cast("bigint"))
-                 .withColumn("created_at", F.col("o_orderdate").cast("timestamp_ntz"))
-                 .withColumn("creator", F.when((F.col("scp_number") % CREATOR_NULL_EVERY) == 0, None)
-                             .otherwise(F.col("c_name")))
-                 .drop("o_orderkey", "o_orderdate", "c_name", "c_acctbal"))
+        items = items.join(oc, items.scp_number == oc.o_orderkey, "left").select(
+            *keep, F.floor("c_acctbal").cast("bigint").alias("rating"),
+            F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"),
+            F.when((F.col("scp_number") % CREATOR_NULL_EVERY) == 0, None).otherwise(F.col("c_name")).alias("creator"))
+        keep = items.columns
     if with_text:
         pages = read_table(spark, sf_dir, "pages", ["page_id", "html"])
-        items = (items.join(pages, items.scp_number == pages.page_id, "left")
-                 .withColumn("raw_content", F.col("html"))
-                 .withColumn("content_sha1", F.sha1("html"))
-                 .drop("page_id", "html"))
+        items = items.join(pages, items.scp_number == pages.page_id, "left").select(
+            *keep, F.col("html").alias("raw_content"), F.sha1("html").alias("content_sha1"))
     else:
-        items = items.drop("raw_source")
+        items = items.select(*keep)
     return items
 
 
@@ -137,36 +137,41 @@ def build_items(spark: SparkSession, sf_dir: str, tags: bool = True, references:
     joined back on the item key; each part can be switched off so that a
     query pays only for what it reads."""
     items = item_core(spark, sf_dir, with_text=True)
-    items = (items.withColumn("domain", F.lit(DEFAULT_DOMAIN))
-             .withColumn("page_id", F.lit(None).cast("string"))
-             .withColumn("markdown", F.lit(None).cast("string"))
-             .withColumn("summary", F.lit(None).cast("string"))
-             .withColumn("images", F.coalesce(F.regexp_extract_all("raw_content", F.lit(IMG_SRC_RE), 1),
-                                              F.array().cast("array<string>")))
-             .withColumn("content_file", F.lit(None).cast("string"))
-             .withColumn("dataset_commit", F.lit(dataset_commit).cast("string")))
     empty = F.array().cast("array<string>")
+    hist_t = "array<struct<author:string,date:timestamp_ntz,comment:string>>"
+    parts = {}
     if tags:
-        t = item_tags(spark, sf_dir).groupBy("scp_number").agg(
+        parts["tags"] = item_tags(spark, sf_dir).groupBy("scp_number").agg(
             F.array_sort(F.collect_list("tag")).alias("tags"))
-        items = items.join(t, "scp_number", "left").withColumn("tags", F.coalesce("tags", empty))
-    else:
-        items = items.withColumn("tags", empty)
     if references:
-        r = item_references(spark, sf_dir).groupBy("scp_number").agg(
+        parts["references"] = item_references(spark, sf_dir).groupBy("scp_number").agg(
             F.array_sort(F.collect_list("ref_link")).alias("references"))
-        items = items.join(r, "scp_number", "left").withColumn("references", F.coalesce("references", empty))
-    else:
-        items = items.withColumn("references", empty)
-    hist_t = "array<struct<author:string,date:timestamp_ntz,comment:string>>"
     if history:
-        h = (item_history(spark, sf_dir).groupBy("scp_number")
-             .agg(F.array_sort(F.collect_list(F.struct("seq", "author", "date", "comment"))).alias("h"))
-             .select("scp_number", F.transform("h", lambda e: F.struct(
-                 e["author"].alias("author"), e["date"].alias("date"), e["comment"].alias("comment")))
-                 .alias("history")))
-        items = items.join(h, "scp_number", "left").withColumn(
-            "history", F.coalesce("history", F.array().cast(hist_t)))
-    else:
-        items = items.withColumn("history", F.array().cast(hist_t))
-    return items.withColumn("hubs", F.coalesce("hubs", empty)).select(*ITEM_COLUMNS)
+        parts["history"] = (
+            item_history(spark, sf_dir).groupBy("scp_number")
+            .agg(F.array_sort(F.collect_list(F.struct("seq", "author", "date", "comment"))).alias("h"))
+            .select("scp_number", F.transform("h", lambda e: F.struct(
+                e["author"].alias("author"), e["date"].alias("date"), e["comment"].alias("comment")))
+                .alias("history")))
+    for part in parts.values():
+        items = items.join(part, "scp_number", "left")
+    defaults = {"tags": empty, "references": empty, "history": F.array().cast(hist_t)}
+    fixed = {
+        "domain": F.lit(DEFAULT_DOMAIN),
+        "page_id": F.lit(None).cast("string"),
+        "markdown": F.lit(None).cast("string"),
+        "summary": F.lit(None).cast("string"),
+        "images": F.coalesce(F.regexp_extract_all("raw_content", F.lit(IMG_SRC_RE), 1), empty),
+        "content_file": F.lit(None).cast("string"),
+        "dataset_commit": F.lit(dataset_commit).cast("string"),
+        "hubs": F.coalesce("hubs", empty),
+    }
+    cols = []
+    for c in ITEM_COLUMNS:
+        if c in fixed:
+            cols.append(fixed[c].alias(c))
+        elif c in defaults:
+            cols.append((F.coalesce(c, defaults[c]) if c in parts else defaults[c]).alias(c))
+        else:
+            cols.append(F.col(c))
+    return items.select(*cols)
