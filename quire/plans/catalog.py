@@ -47,3 +47,29 @@ def content_response(items: DataFrame) -> DataFrame:
                         C.nz("markdown").isNull().alias("fallback"),
                         C.primary_content().alias("best_content"),
                         C.summary_content().alias("summary_content"))
+
+
+def get_items(items: DataFrame, requests: DataFrame, include_content: bool = False,
+              request: str = "request") -> DataFrame:
+    """K2 / K8: the best-matching item for each requested identifier.
+    ``include_content=False`` (item metadata) drops the whole-text columns
+    before the join, so they are never read from storage (column pruning)."""
+    from ..operators.lookup import lookup_many
+    from ..schemas import HEAVY_COLUMNS
+    best = lookup_many(items, requests, request).select(request, "link", "match_rank")
+    cols = [c for c in items.columns if include_content or c not in HEAVY_COLUMNS]
+    return best.join(items.select(*cols), "link")
+
+
+def get_item_content(items: DataFrame, requests: DataFrame, request: str = "request") -> DataFrame:
+    """K6 for identifiers: the content response of each requested item."""
+    from ..operators.lookup import lookup_many
+    best = lookup_many(items, requests, request).select(request, "link")
+    return best.join(content_response(items), "link")
+
+
+def series_resource(items: DataFrame, series_id: str) -> DataFrame:
+    """K8 series resource: ``1`` means ``series-1``; other ids as given."""
+    sid = str(series_id)
+    name = f"series-{sid}" if sid.isdigit() else sid
+    return items.where(F.col("series") == F.lit(name))

@@ -154,3 +154,28 @@ def test_worklist_and_summaries(spark):
     out = {r.link: r for r in summaries.summarize(summaries.worklist(items, existing), fake_model, 2).collect()}
     assert out["scp-1"].summary == "summary of SCP-1" and out["scp-1"].status == "summarized"
     assert out["scp-4"].summary is None and out["scp-4"].status == "skipped"
+
+
+def test_get_items_metadata_and_content(spark, raw_root):
+    from quire.plans.catalog import get_item_content, get_items, series_resource
+    from quire.plans.import_items import import_items
+    items = import_items(spark, raw_root).items
+    req = spark.createDataFrame([("173",), ("scp-096",), ("nope",)], "request string")
+    meta = {r.request: r for r in get_items(items, req).collect()}
+    assert set(meta) == {"173", "scp-096"} and "raw_content" not in get_items(items, req).columns
+    assert meta["173"].link == "scp-173"
+    full = get_items(items, req, include_content=True)
+    assert "raw_content" in full.columns
+    content = {r.request: r for r in get_item_content(items, req).collect()}
+    assert content["scp-096"].fallback is True and content["scp-096"].best_content.startswith("<div")
+    assert series_resource(items, "1").count() == 4
+
+
+def test_table_info(spark, raw_root, tmp_path):
+    from quire.plans.import_items import import_and_publish
+    from quire.plans.publish import TableStore
+    root = str(tmp_path / "t")
+    import_and_publish(spark, raw_root, root)
+    info = TableStore(spark, root).table_info("items")
+    assert info["rows"] == 4 and info["versions"] == 1 and info["current_version"] == 1
+    assert info["columns"][:3] == ["link", "scp", "scp_number"]
