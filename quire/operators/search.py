@@ -193,6 +193,9 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "link", text: Co
                                  F.avg("dl").alias("avgdl"))).scalar()
     qterms = _checked_broadcast(_query_terms(queries), broadcast_limit)
     vocab = _checked_broadcast(qterms.select("term").distinct(), broadcast_limit)
+    # A fixed partition count on purpose: the shuffled rows are few, but the
+    # (query, document) fan-out after them is heavy, and AQE would otherwise
+    # coalesce them into a handful of tasks.
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hits_ = (toks.select(key, "dl", F.explode("toks").alias("term")).join(vocab, "term", "left_semi")
              .repartition(n, key))
