@@ -217,20 +217,37 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "link",
     return scored.withColumn("rank", F.row_number().over(_rank_window(key))).where(F.col("rank") <= k)
 
 
-def ranked_page(items: DataFrame, queries: DataFrame, tags=None, series=None, min_rating=0, limit=None,
-                cursor: str | None = None, tag_mode: str = "all") -> DataFrame:
-    """K1 with a text query: BM25 over the whole catalog (corpus statistics do
-    not depend on the filters), then the filters, then one keyset page ordered
-    by (score desc, link asc); the cursor is ``{"score": s, "link": l}``.
-    ``queries`` holds the one query (query_id, text). Output: hits + score."""
+def ranked_results(items: DataFrame, queries: DataFrame, tags=None, series=None, min_rating=0,
+                   tag_mode: str = "all", materialize: bool = False) -> DataFrame:
+    """K1 with a text query: every matching item with its BM25 score. BM25
+    runs over the whole catalog (corpus statistics do not depend on the
+    filters); the filters apply to the ranked list. ``materialize`` writes the
+    list once to ``spark.checkpoint.dir`` (reliable checkpoint) so that every
+    page of the same query reads it instead of ranking the catalog again."""
     scored = bm25_scores(items, queries, "link", search_text(items)).select("link", "score")
-    df = filter_items(items, tags, series, min_rating, tag_mode).join(scored, "link")
+    out = filter_items(items, tags, series, min_rating, tag_mode).join(scored, "link")
+    out = hits(out).join(out.select("link", "score"), "link")
+    if materialize:
+        from ..session import cut_lineage
+        out = cut_lineage(out)
+    return out
+
+
+def ranked_page_of(results: DataFrame, limit: int | None = None, cursor: str | None = None) -> DataFrame:
+    """One keyset page of a ranked list, ordered by (score desc, link asc);
+    the cursor is ``{"score": s, "link": l}`` of the previous page's last row."""
+    df = results
     if cursor:
         c = decode_cursor(cursor)
         sc, lk = F.lit(float(c["score"])), F.lit(c["link"])
         df = df.where((F.col("score") < sc) | ((F.col("score") == sc) & (F.col("link") > lk)))
-    page = df.orderBy(F.col("score").desc(), F.col("link").asc()).limit(page_size(limit))
-    return hits(page).join(page.select("link", "score"), "link")
+    return df.orderBy(F.col("score").desc(), F.col("link").asc()).limit(page_size(limit))
+
+
+def ranked_page(items: DataFrame, queries: DataFrame, tags=None, series=None, min_rating=0, limit=None,
+                cursor: str | None = None, tag_mode: str = "all") -> DataFrame:
+    """One page without materializing: ranks the catalog for this call."""
+    return ranked_page_of(ranked_results(items, queries, tags, series, min_rating, tag_mode), limit, cursor)
 
 
 def _rank_window(key):

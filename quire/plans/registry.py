@@ -606,8 +606,9 @@ def search_ranked_page(spark: SparkSession, sf_dir: str) -> DataFrame:
              .withColumn("markdown", F.lit(None).cast("string")))
     bench = item_view.read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
     query = bench.orderBy("item_id").limit(1).select(F.lit(0).cast("bigint").alias("query_id"), "text")
-    kw = dict(tags=["lang-en"], series="series-1", min_rating=None, limit=25)
-    p1 = search.ranked_page(items, query, **kw)
-    cur = search.next_cursor(p1.orderBy(F.col("score").desc(), "link"), 25, keys=("score", "link"))
-    page = search.ranked_page(items, query, cursor=cur, **kw)
+    ranked = search.ranked_results(items, query, tags=["lang-en"], series="series-1", min_rating=None,
+                                   materialize=True)
+    p1 = search.ranked_page_of(ranked, 25)
+    cur = search.next_cursor(p1, 25, keys=("score", "link"))
+    page = search.ranked_page_of(ranked, 25, cur)
     return page.withColumn("tags", F.array_join("tags", ","))

@@ -66,6 +66,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss, unlike localCheckpoint)."""
+    """Reliable checkpoint (survives executor loss, unlike localCheckpoint).
+
+    The frame is persisted while the checkpoint is written: an unpersisted
+    checkpoint computes its input twice (once for the job, once for the
+    files), which would repeat every expensive step (or external call)."""
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        out = df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
+    return out

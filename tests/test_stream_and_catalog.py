@@ -179,3 +179,23 @@ def test_table_info(spark, raw_root, tmp_path):
     info = TableStore(spark, root).table_info("items")
     assert info["rows"] == 4 and info["versions"] == 1 and info["current_version"] == 1
     assert info["columns"][:3] == ["link", "scp", "scp_number"]
+
+
+def test_summaries_call_the_model_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+    calls = str(tmp_path / "calls")
+    os.makedirs(calls)
+    items = spark.range(40).select(F.concat(F.lit("scp-"), F.col("id").cast("string")).alias("link"),
+                                   F.lit("SCP-X").alias("scp"), F.lit("T").alias("title"),
+                                   F.lit(None).cast("string").alias("markdown"),
+                                   F.lit(None).cast("string").alias("raw_content"),
+                                   F.lit("text").alias("raw_source"))
+
+    def model(prompts):
+        import uuid
+        open(os.path.join(calls, uuid.uuid4().hex), "w").write(str(len(prompts)))
+        return prompts.map(lambda p: "ok")
+    out = summaries.summarize(summaries.worklist(items), model, concurrency=2)
+    assert out.count() == 40 and out.where("status = 'summarized'").count() == 40
+    total = sum(int(open(os.path.join(calls, f)).read()) for f in os.listdir(calls))
+    assert total == 40                      # each prompt sent exactly once, despite two actions
