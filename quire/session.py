@@ -54,7 +54,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext, "getCheckpointDir") else None
     if not path:
         path = tempfile.mkdtemp(prefix="quire-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        try:
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # noqa: BLE001 - core confs may refuse runtime changes; the context still gets it
+            pass
     spark.sparkContext.setCheckpointDir(path)
     return path
 
