@@ -18,8 +18,25 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+_SCHEMAS: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFrame:
-    df = spark.read.parquet(table_path(sf_dir, name))
+    """The table, read with its footer schema inferred once per Spark
+    context and path (later reads pass it explicitly and skip the footer
+    read). The input tables are immutable for the life of a session."""
+    path = table_path(sf_dir, name)
+    try:
+        owner = id(spark.sparkContext)
+    except Exception:  # noqa: BLE001 - no SparkContext on this session type
+        owner = id(spark)
+    key = (owner, path)
+    schema = _SCHEMAS.get(key)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[key] = df.schema
+    else:
+        df = spark.read.schema(schema).parquet(path)
     if columns:
         df = df.select(*columns)
     return df
