@@ -115,11 +115,12 @@ def item_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scp_number, seq, author, date, comment): events spread over items by
-    ``event_id % number_of_documents`` (the count is one footer-level action)."""
-    n_docs = read_table(spark, sf_dir, "documents", ["doc_id"]).count()
+    ``event_id % number_of_documents`` (the count is a scalar subquery, run
+    once when the plan runs; no action while the plan is built)."""
+    n_docs = read_table(spark, sf_dir, "documents", ["doc_id"]).select(F.count(F.lit(1))).scalar()
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
     return ev.select(
-        (F.col("event_id") % F.lit(max(n_docs, 1))).alias("scp_number"),
+        (F.col("event_id") % F.greatest(n_docs, F.lit(1))).alias("scp_number"),
         F.col("event_id").alias("seq"),
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("author"),
         F.col("ts").cast("timestamp_ntz").alias("date"),
