@@ -49,3 +49,10 @@ def test_query_matches_oracle(spark, duck, name):
     assert s_cols == d_cols
     assert len(s_rows) == len(d_rows)
     assert s_rows == d_rows
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_no_cross_joins_in_any_plan(spark, name):
+    """No registered query plans a nested-loop or cartesian join."""
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
