@@ -566,3 +566,13 @@ select {HIT_SELECT}, s.score from items_t join scored s using (link)
 where series = 'series-1' and list_contains(tags, 'lang-en')
 order by s.score desc, link limit 25 offset 25
 """)
+
+SQL["catalog_profile"] = q("""
+select series, count(*) as n_rows,
+       count(*) filter (where rating >= 1000) as n_rating_ge_1000,
+       count(*) filter (where list_contains(tags, 'euclid')) as n_euclid,
+       count(*) filter (where list_contains(tags, 'hostile')) as n_hostile,
+       count(*) filter (where coalesce(nullif(raw_content, ''), nullif(raw_source, '')) is not null) as n_with_content,
+       count(*) filter (where creator is null) as n_no_creator
+from items_t group by series
+""")

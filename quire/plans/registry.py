@@ -612,3 +612,18 @@ def search_ranked_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     cur = search.next_cursor(p1, 25, keys=("score", "link"))
     page = search.ranked_page_of(ranked, 25, cur)
     return page.withColumn("tags", F.array_join("tags", ","))
+
+
+@register
+def catalog_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table profile in one aggregation (partial + final): rows,
+    rows above a rating, rows with a tag, rows with content, per series."""
+    from ..functions.content import has_content
+    items = _items_with_tags(spark, sf_dir, with_text=True).withColumn("markdown", F.lit(None).cast("string"))
+    return items.groupBy("series").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("rating") >= 1000).alias("n_rating_ge_1000"),
+        F.count_if(F.array_contains("tags", "euclid")).alias("n_euclid"),
+        F.count_if(F.array_contains("tags", "hostile")).alias("n_hostile"),
+        F.count_if(has_content()).alias("n_with_content"),
+        F.count_if(F.col("creator").isNull()).alias("n_no_creator"))
