@@ -576,3 +576,13 @@ select series, count(*) as n_rows,
        count(*) filter (where creator is null) as n_no_creator
 from items_t group by series
 """)
+
+_head, _tail = SQL["lookup_many"].split("select request, link, match_rank from m\nqualify", 1)
+SQL["item_content"] = (_head.rstrip().rstrip(",") + """,
+best as (select request, link from m
+qualify""" + _tail.rstrip() + """)
+select b.request, i.link, i.url, i.content_sha1, true as fallback,
+       sha1(coalesce(nullif(i.raw_content, ''), i.raw_source)) as best_sha1,
+       sha1(coalesce(nullif(i.raw_content, ''), i.raw_source)) as summary_sha1
+from best b join items i using (link)
+""")

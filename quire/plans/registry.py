@@ -627,3 +627,14 @@ def catalog_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.array_contains("tags", "hostile")).alias("n_hostile"),
         F.count_if(has_content()).alias("n_with_content"),
         F.count_if(F.col("creator").isNull()).alias("n_no_creator"))
+
+
+@register
+def item_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6 by identifier: the content response of each part-key request that
+    names an item (best match per request), texts as hashes."""
+    from ..plans.catalog import get_item_content
+    items = _content_items(spark, sf_dir).withColumn("dataset_commit", F.lit(None).cast("string"))
+    out = get_item_content(items, _lookup_requests(spark, sf_dir))
+    return out.select("request", "link", "url", "content_sha1", "fallback",
+                      F.sha1("best_content").alias("best_sha1"), F.sha1("summary_content").alias("summary_sha1"))
