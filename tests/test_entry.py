@@ -56,3 +56,25 @@ def test_no_cross_joins_in_any_plan(spark, name):
     """No registered query plans a nested-loop or cartesian join."""
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_arrow_steps_run_from_any_working_directory(tmp_path):
+    """Python workers import the package even when the driver does not run
+    from the repository (it is shipped with addPyFile)."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import importlib.util, sys\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        f"sys.path.insert(0, {repo!r})\n"
+        f"spec = importlib.util.spec_from_file_location('e', {repo + '/__spark_entry__.py'!r})\n"
+        "E = importlib.util.module_from_spec(spec); spec.loader.exec_module(E)\n"
+        f"print('ROWS', E.queries()['pages_to_markdown'](spark, {SF!r}).count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), env=env, capture_output=True,
+                         text=True, timeout=600)
+    assert "ROWS 50" in out.stdout, out.stderr[-2000:]
