@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Units of the rank: a length counts so much, and ids (up to 2^63 - 1) count down from the other, a null id being 0.
+_LENGTHS, _IDS = 10**20, 2**63
+
+
 def normalised(text: Column) -> Column:
     """The text without white space."""
     return reduce(lambda c, s: F.replace(c, F.lit(s), F.lit("")), common.SPACES, text)
@@ -47,9 +51,13 @@ def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str =
 
     Columns: hash, [norm,] text_sha256, group_size, keep_len, keep_id."""
     keyed = _keyed(documents, id_column, text_column, hash_of)
-    by_len = keyed.groupBy("hash", "norm", "len").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("id"))
-    by_text = (by_len.groupBy("hash", "norm")
-               .agg(F.sum("n").alias("group_size"), F.max("len").alias("keep_len"), F.max_by("id", "len").alias("keep_id")))
+    # (length, id) as one number, larger: stays. It has a fixed width, so the
+    # aggregation hashes and does not sort the texts.
+    rank = F.expr(f"CAST(len AS DECIMAL(10,0)) * {_LENGTHS}BD + coalesce({_IDS}BD - CAST(doc_id AS DECIMAL(20,0)), 0BD)")
+    by_text = keyed.groupBy("hash", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(rank).alias("rank"))
+    by_text = by_text.select(
+        "hash", "norm", "group_size", F.expr(f"rank div {_LENGTHS}BD").alias("keep_len"),
+        F.expr(f"CAST(nullif(rank % {_LENGTHS}BD, 0BD) * -1 + {_IDS}BD AS BIGINT)").alias("keep_id"))
     by_hash = by_text.groupBy("hash").agg(
         F.count(F.lit(1)).alias("texts"), F.max("group_size").alias("group_size"), F.max("keep_len").alias("keep_len"),
         F.max("keep_id").alias("keep_id"))
