@@ -3,12 +3,11 @@
 Encoding. Texts are cut into blocks (a bounded number of bytes of one
 partition) and split into words at white space, across which this tokenizer
 never merges. A block's distinct words are numbered; its documents become lists
-of those numbers. The words of all blocks are dealt by a hash of the word and
-sorted, so that all places where a word occurs stand together and each distinct
-word is encoded once, by the tokenizers library. Its ids go back to (block,
-number), and the documents read them there by position. Only packed words, ids
-and numbers are shuffled, never texts; frequent words occur once per block, so
-none is hot.
+of those numbers. The words of all blocks are dealt by a hash of the word into
+parts of the distinct-word table, where each distinct word is encoded once, by
+the tokenizers library. Its ids go back to (block, number), and the documents
+read them there by position. Only packed words, ids and numbers are shuffled,
+never texts; frequent words occur once per block, so none is hot.
 
 A block is named by a hash of its texts. The two passes over the documents
 (words, numbers) therefore meet even if a task is run again elsewhere; were a
@@ -34,8 +33,10 @@ from . import common
 #: Bytes of text in a block. A larger text is a block by itself.
 BLOCK_BYTES = 16 << 20
 MOST_PIECES = 2_000_000
-#: Words encoded by one call of the library, and words or numbers packed in a row.
-CALL_WORDS = 4096
+#: Parts of the word table per shuffle partition, and the words that a task
+#: remembers: with more distinct words to a partition (too few partitions for the
+#: data) it forgets and encodes anew, which costs time but changes nothing.
+PARTS, MEMORY_WORDS = 4, 1_000_000
 
 
 def tokenizer_json(path: str) -> str:
@@ -46,6 +47,8 @@ def tokenizer_json(path: str) -> str:
 
 
 def _tokenizer(content: str):
+    import os
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
     t = Tokenizer.from_str(content)
     t.no_truncation()
@@ -144,43 +147,30 @@ def _word_rows(texts: DataFrame, limit: int, parts: int) -> DataFrame:
     return common.map_arrow(texts, made, "part int, block binary, words binary, numbers binary")
 
 
-def _encoded_words(rows: DataFrame, content: str, parts: int) -> DataFrame:
+def _encoded_words(rows: DataFrame, content: str, partitions: int) -> DataFrame:
     """(block, numbers, lengths, ids): each distinct word is encoded once, in
-    the run of rows where it stands, and its ids sent to its blocks."""
-
-    def unpacked(batches):
-        for b in common.slices(batches, 16):
-            for block, words, numbers in zip(*(b.column(c).to_pylist() for c in ("block", "words", "numbers"))):
-                own = words.split(b" ")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.binary()), pa.array([block] * len(own), pa.binary()), pa.array(_grow(numbers), pa.int32())],
-                    ["word", "block", "number"])
+    its part of the word table, and its ids sent to its blocks."""
 
     def encoded(batches):
         t = _tokenizer(content)
-        last = last_ids = None
-        for b in common.slices(batches, 1 << 16):
-            words, blocks, numbers = b.column("word").to_pylist(), b.column("block").to_pylist(), b.column("number").to_numpy()
-            ids_of = {last: last_ids}  # a run of one word may go on from the rows before
-            new = [w for w in dict.fromkeys(words) if w != last]
-            for at in range(0, len(new), CALL_WORDS):
-                part = new[at:at + CALL_WORDS]
-                made = t.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                ids_of.update((w, np.array(e.ids, "i4")) for w, e in zip(part, made))
-            last, last_ids = words[-1], ids_of[words[-1]]
-            places: dict[bytes, list] = {}
-            for i, block in enumerate(blocks):
-                places.setdefault(block, []).append(i)
+        ids_of: dict[bytes, np.ndarray] = {}
+        for b in common.slices(batches, 16):
             out: list = [[], [], [], []]
-            for block, own in places.items():
-                ids = [ids_of[words[i]] for i in own]
-                for column, value in zip(out, (block, _shrink(numbers[own]), _shrink(np.array([len(x) for x in ids])), _shrink(np.concatenate(ids)))):
+            for block, words, numbers in zip(*(b.column(c).to_pylist() for c in ("block", "words", "numbers"))):
+                own = words.split(b" ")
+                if len(ids_of) > MEMORY_WORDS:
+                    ids_of.clear()
+                new = [w for w in own if w not in ids_of]
+                made = t.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+                ids_of.update((w, np.array(e.ids, "i4")) for w, e in zip(new, made))
+                ids = [ids_of[w] for w in own]
+                lengths = np.fromiter(map(len, ids), "i4", len(ids))
+                for column, value in zip(out, (block, numbers, _shrink(lengths), _shrink(np.concatenate(ids)))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["block", "numbers", "lengths", "ids"])
 
-    dealt = rows.repartition(parts, "part").drop("part")
-    words = common.map_arrow(dealt, unpacked, "word binary, block binary, number int")
-    return common.map_arrow(words.sortWithinPartitions("word"), encoded, "block binary, numbers binary, lengths binary, ids binary")
+    dealt = rows.repartition(partitions, "part").drop("part")
+    return common.map_arrow(dealt, encoded, "block binary, numbers binary, lengths binary, ids binary")
 
 
 def encode(documents: DataFrame, content: str, text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -198,7 +188,7 @@ def encode(documents: DataFrame, content: str, text_column: str = "text", block_
                             common.text_of(text_column).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = _encoded_words(_word_rows(rows.select("text"), block_bytes, parts), content, parts)
+    words = _encoded_words(_word_rows(rows.select("text"), block_bytes, PARTS * parts), content, parts)
 
     def numbered(batches):
         for held in _blocks(batches, "text", block_bytes):
