@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of text in a block. A larger text is a block by itself.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 MOST_PIECES = 2_000_000
 #: Parts of the word table per shuffle partition, and the words that a task
 #: remembers: with more distinct words to a partition (too few partitions for the
@@ -194,38 +194,39 @@ def encode(documents: DataFrame, content: str, text_column: str = "text", block_
         for held in _blocks(batches, "text", block_bytes):
             block, number, numbers = _numbered(held)
             for (b, texts), own in zip(held, numbers):
+                # a slice of documents to a row: long runs of numbers pack well
+                lengths = np.array([len(n) for n in own])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(texts), pa.binary()), b.column("row"),
-                     pa.array([_shrink(n) for n in own], pa.binary()), pa.array([len(number)] * len(texts), pa.int64())],
-                    ["block", "row", "numbers", "words"])
+                    [pa.array([block], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), b.column("row")),
+                     pa.array([_shrink(np.concatenate(own))], pa.binary()), pa.array([_shrink(lengths)], pa.binary()),
+                     pa.array([len(number)], pa.int64())],
+                    ["block", "rows", "numbers", "lengths", "words"])
 
     def joined(batches):
         # sorted by block, its words' ids first: one block's ids are held at a time
         now, parts_held, table = None, [], None
-        for b in common.slices(batches, 256):
-            own, out = [], []
+        for b in common.slices(batches, 16):
             for i, (block, is_doc) in enumerate(zip(b.column("block").to_pylist(), b.column("is_doc").to_pylist())):
                 if block != now:
                     now, parts_held, table = block, [], None
+                numbers, lengths = (_grow(b.column(c)[i].as_py()) for c in ("numbers", "lengths"))
                 if not is_doc:
-                    parts_held.append([_grow(b.column(c)[i].as_py()) for c in ("numbers", "lengths", "ids")])
+                    parts_held.append([numbers, lengths, _grow(b.column("ids")[i].as_py())])
                     continue
-                n_words = b.column("words")[i].as_py()
                 if table is None:
-                    table = _by_number(parts_held, n_words)
+                    table = _by_number(parts_held, b.column("words")[i].as_py())
                     parts_held = []
-                own.append(i)
-                out.append(_ids(table, _grow(b.column("numbers")[i].as_py())))
-            if own:
-                ends = np.cumsum([0] + [len(x) for x in out])
+                ids, of_word = _ids(table, numbers), table[2][numbers]
+                ends = np.concatenate([[0], np.cumsum(of_word)])[np.concatenate([[0], np.cumsum(lengths)])]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("row").take(pa.array(own)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out), pa.int32()))],
+                    [b.column("rows")[i].values, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))],
                     ["row", "ids"])
 
-    docs = common.map_arrow(rows.select("row", "text"), numbered, f"block binary, row {kind}, numbers binary, words long")
+    docs = common.map_arrow(rows.select("row", "text"), numbered, f"block binary, rows array<{kind}>, numbers binary, lengths binary, words long")
     none = F.lit(None)
-    both = (words.select("block", F.lit(False).alias("is_doc"), none.cast(kind).alias("row"), "numbers", none.cast("long").alias("words"), "lengths", "ids")
-            .unionAll(docs.select("block", F.lit(True).alias("is_doc"), "row", "numbers", "words", none.cast("binary").alias("lengths"), none.cast("binary").alias("ids"))))
+    both = (words.select("block", F.lit(False).alias("is_doc"), none.cast(f"array<{kind}>").alias("rows"), "numbers", "lengths",
+                           none.cast("long").alias("words"), "ids")
+            .unionAll(docs.select("block", F.lit(True).alias("is_doc"), "rows", "numbers", "lengths", "words", none.cast("binary").alias("ids"))))
     met = both.repartition(parts, "block").sortWithinPartitions("block", "is_doc")
     out = common.map_arrow(met, joined, f"row {kind}, ids array<int>")
     return out.select(*([] if rest == [text_column] else ["row.*"]), "ids")
