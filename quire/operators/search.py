@@ -51,11 +51,11 @@ def filter_items(items: DataFrame, tags=None, series: str | None = None,
     return df
 
 
-def hits(items: DataFrame) -> DataFrame:
-    """Item -> hit; empty tags become null. Heavy text columns are pruned."""
+def hits(items: DataFrame, *more: str) -> DataFrame:
+    """Item -> hit (and the columns named in ``more``); empty tags become null. Heavy text columns are pruned."""
     cols = [F.when(F.size("tags") > 0, F.col("tags")).alias("tags") if c == "tags" else F.col(c)
             for c in HIT_COLUMNS]
-    return items.select(*cols)
+    return items.select(*cols, *more)
 
 
 def page_size(limit: int | None) -> int:
@@ -63,7 +63,9 @@ def page_size(limit: int | None) -> int:
         return DEFAULT_PAGE_SIZE
     if limit < 0:
         raise ValueError("limit must not be negative")
-    return min(int(limit), MAX_PAGE_SIZE)
+    if limit > MAX_PAGE_SIZE:
+        raise ValueError(f"limit must not be above {MAX_PAGE_SIZE}; read further pages with the cursor")
+    return int(limit)
 
 
 def encode_cursor(values: dict) -> str:
@@ -81,8 +83,11 @@ def browse_page(items: DataFrame, limit: int | None = None, cursor: str | None =
     if cursor:
         c = decode_cursor(cursor)
         r, l = F.lit(c["rating"]), F.lit(c["link"])
-        df = df.where((F.col("rating") < r) | ((F.col("rating") == r) & (F.col("link") > l)))
-    return df.orderBy(F.col("rating").desc(), F.col("link").asc()).limit(page_size(limit))
+        if c["rating"] is None:  # null ratings come last, by link
+            df = df.where(F.col("rating").isNull() & (F.col("link") > l))
+        else:
+            df = df.where((F.col("rating") < r) | ((F.col("rating") == r) & (F.col("link") > l)) | F.col("rating").isNull())
+    return df.orderBy(F.col("rating").desc_nulls_last(), F.col("link").asc()).limit(page_size(limit))
 
 
 def next_cursor(page: DataFrame, limit: int | None = None, keys=("rating", "link")) -> str | None:
@@ -140,8 +145,12 @@ def _bm25_score(post: DataFrame, qterms: DataFrame, df: DataFrame, n_docs, avgdl
             .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 
 
-def _checked_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    return F.broadcast(df) if limit and df.count() <= limit else df
+def _small(df: DataFrame, limit: int) -> bool:
+    return bool(limit) and df.count() <= limit
+
+
+def _hinted(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
@@ -163,10 +172,12 @@ def bm25_topk(post: DataFrame, queries: DataFrame, k: int, key: str = "link",
     """
     stats = (post.groupBy(key).agg(F.first("dl").alias("dl"))
              .select(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))).scalar())
-    qterms = _checked_broadcast(_query_terms(queries), broadcast_limit)
+    qterms = _query_terms(queries)
+    small = _small(qterms, broadcast_limit)  # bounds the terms' document frequencies too: one row per query term
+    qterms = _hinted(qterms, small)
     df = post.join(qterms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
         F.count(F.lit(1)).alias("df"))
-    return _bm25_score(post, qterms, F.broadcast(df) if qterms is not None else df, stats["n"], stats["avgdl"],
+    return _bm25_score(post, qterms, _hinted(df, small), stats["n"], stats["avgdl"],
                        k, key, k1, b)
 
 
@@ -191,8 +202,9 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "link", text: Co
         key, "toks", F.size("toks").alias("dl")).where(F.col("dl") > 0)
     stats = toks.select(F.struct(F.count(F.lit(1)).cast("double").alias("n"),
                                  F.avg("dl").alias("avgdl"))).scalar()
-    qterms = _checked_broadcast(_query_terms(queries), broadcast_limit)
-    vocab = _checked_broadcast(qterms.select("term").distinct(), broadcast_limit)
+    qterms = _query_terms(queries)
+    small = _small(qterms, broadcast_limit)  # bounds the vocabulary and the document frequencies too
+    vocab, qterms = _hinted(qterms.select("term").distinct(), small), _hinted(qterms, small)
     # A fixed partition count on purpose: the shuffled rows are few, but the
     # (query, document) fan-out after them is heavy, and AQE would otherwise
     # coalesce them into a handful of tasks.
@@ -200,7 +212,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "link", text: Co
     hits_ = (toks.select(key, "dl", F.explode("toks").alias("term")).join(vocab, "term", "left_semi")
              .repartition(n, key))
     post = hits_.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = F.broadcast(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    df = _hinted(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), small)
     idf = F.log(F.lit(1.0) + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / stats["avgdl"])
     part = idf * F.col("tf") * F.lit(k1 + 1.0) / norm * F.col("qtf")
@@ -226,7 +238,7 @@ def ranked_results(items: DataFrame, queries: DataFrame, tags=None, series=None,
     page of the same query reads it instead of ranking the catalog again."""
     scored = bm25_scores(items, queries, "link", search_text(items)).select("link", "score")
     out = filter_items(items, tags, series, min_rating, tag_mode).join(scored, "link")
-    out = hits(out).join(out.select("link", "score"), "link")
+    out = hits(out, "score")
     if materialize:
         from ..session import cut_lineage
         out = cut_lineage(out)

@@ -1,19 +1,16 @@
 """K3 exact cosine top-k over an embedding table.
 
-The query set is a caller's request: its size is checked, and it is shipped
-to the executors as a literal array (at most ``chunk`` queries at a time;
-larger sets are processed chunk by chunk, so every query is answered
-exactly). Each item row scores all queries of the chunk with ``zip_with`` /
-``aggregate`` in double precision, JVM-side; the per-query top-k is a
-``row_number() <= k`` filter that Spark plans as a partial WindowGroupLimit
-(k rows per query per partition cross the shuffle). No join of queries x
-items is planned.
+Queries are dealt into blocks of about ``chunk`` vectors, one row each, and the
+items meet every block by an equi-join on the block's number (salted, so that
+items stay spread over all tasks). An item's row scores the whole block with
+``zip_with`` / ``aggregate`` in double precision, JVM-side; the per-query top-k
+is a ``row_number() <= k`` filter that Spark plans as a partial
+WindowGroupLimit (k rows per query per partition cross the shuffle). Nothing
+passes through the driver.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,27 +36,20 @@ def topk_cosine(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
     """(query_id, key, score, rank) for the k most similar items per query.
 
     items:   (key, vec)               vectors as array<float|double>
-    queries: (query_id, vector)        array<double>
+    queries: (query_id, vector)        array<double>; none give no rows
     """
-    n_q = queries.count()
-    ids = [r["query_id"] for r in queries.select("query_id").orderBy("query_id").collect()]
-    parts = []
+    spark = items.sparkSession
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = queries.select(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(chunk)), F.lit(1))).scalar()
+    packed = (queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), blocks)).groupBy("_block")
+              .agg(F.collect_list(F.struct(F.col("query_id").cast("bigint").alias("query_id"), "vector")).alias("_q"))
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     v = F.transform(F.col(vec), lambda x: x.cast("double"))
-    for start in range(0, max(n_q, 1), chunk):
-        sub = ids[start:start + chunk]
-        if not sub:
-            break
-        rows = queries.where(F.col("query_id").isin(sub)).select("query_id", "vector").orderBy("query_id").collect()
-        # Two single literals (not one expression per number): ids and vectors.
-        qids = F.lit([int(r["query_id"]) for r in rows]).cast("array<bigint>")
-        qvecs = F.lit([[float(x) for x in r["vector"]] for r in rows]).cast("array<array<double>>")
-        pairs = F.transform(qvecs, lambda qv, i: F.struct(
-            F.element_at(qids, i + 1).alias("query_id"), cosine(F.col("_v"), qv).alias("score")))
-        scored = (items.select(F.col(key), v.alias("_v"))
-                  .select(F.col(key), F.explode(pairs).alias("s"))
-                  .select("s.query_id", key, "s.score"))
-        parts.append(scored)
-    scored = reduce(DataFrame.unionByName, parts)
+    rows = items.select(F.col(key), v.alias("_v"), F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("_salt"),
+                        F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("_block"))
+    scores = F.transform("_q", lambda q: F.struct(q["query_id"].alias("query_id"), cosine(F.col("_v"), q["vector"]).alias("score")))
+    scored = (rows.join(packed, ["_block", "_salt"]).select(F.col(key), F.explode(scores).alias("s"))
+              .select("s.query_id", key, "s.score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), F.col(key))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

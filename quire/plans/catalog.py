@@ -16,14 +16,14 @@ MIN_CONTENT_LENGTH = 100
 
 def attribution(items: DataFrame, history: DataFrame | None = None, enabled: bool = True,
                 min_length: int = MIN_CONTENT_LENGTH) -> DataFrame:
-    """(link, title, url, authors, license, notice) for items whose primary
-    content has at least ``min_length`` characters. ``history`` is the long
+    """(link, title, url, authors, license, notice, short) for every item;
+    ``short`` flags a primary content under ``min_length`` characters. ``history`` is the long
     (scp_number, author) table; authors are aggregated per item (bounded by
     the item's edits) and merged with the creator."""
     if not enabled:
-        return items.limit(0).select("link", "title", "url")
-    it = items.where(F.length(C.primary_content()) >= min_length).select(
-        "scp_number", "link", "title", "url", "creator")
+        items = items.where(F.lit(False))
+    short = F.coalesce(F.length(C.primary_content()), F.lit(0)) < min_length
+    it = items.select("scp_number", "link", "title", "url", "creator", short.alias("short"))
     if history is not None:
         # distinct (item, author) pairs first: the map-side partial aggregate
         # drops repeated edits before anything is shuffled, so an item with a
@@ -37,7 +37,7 @@ def attribution(items: DataFrame, history: DataFrame | None = None, enabled: boo
         F.when(F.col("creator").isNotNull(), F.array("creator")).otherwise(F.array().cast("array<string>")),
         F.coalesce("h_authors", F.array().cast("array<string>")))))
     return it.select("link", "title", "url", authors.alias("authors"),
-                     F.lit(LICENSE).alias("license"), F.lit(NOTICE).alias("notice"))
+                     F.lit(LICENSE).alias("license"), F.lit(NOTICE).alias("notice"), "short")
 
 
 def content_response(items: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ items as (
   select case when d.doc_id % 50 = 49 then lower(base.scp) || '-j' else lower(base.scp) end as link,
          case when d.doc_id % 50 = 49 then base.scp || '-J' else base.scp end as scp,
          d.doc_id as scp_number,
-         substr(split_part(d.text, chr(10), 1), 1, 60) as title,
+         split_part(d.text, chr(10), 1) as title,
          case when d.doc_id % 50 = 49 then 'joke'
               else 'series-' || cast(cast(floor(d.doc_id / 1000.0) as bigint) + 1 as varchar) end as series,
          cast(floor(c.c_acctbal) as bigint) as rating,
@@ -235,9 +235,8 @@ select i.link, i.title, i.url,
          list_concat(case when i.creator is not null then [i.creator] else [] end, coalesce(ha.h, [])))), ',') as authors,
        'CC BY-SA 3.0' as license,
        'Content from the SCP Wiki is licensed under CC BY-SA 3.0. Derivatives must be shared under the same license.'
-         as notice
+         as notice, coalesce(length({PRIMARY}), 0) < 100 as short
 from items i left join ha using (scp_number)
-where length({PRIMARY}) >= 100
 """)
 
 TOKENS = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
@@ -417,13 +416,14 @@ w as (select link, scp, title,
              case when nullif(raw_content, '') is not null then 'raw_html'
                   when nullif(raw_source, '') is not null then 'raw_source' end as source,
              coalesce(nullif(raw_content, ''), nullif(raw_source, '')) as text
-      from items where scp_number not in (select doc_id from labels))
-select link, source,
+      from items where scp_number not in (select doc_id from labels)),
+n as (select *, ceil(length(text) / 102000.0)::bigint as n_parts from w where source is not null)
+select link, source, part, n_parts,
        sha1({lit(PROMPT_HEAD)} || scp || ' - ' || coalesce(title, scp) || chr(10) || chr(10) || 'Content:' || chr(10)
-            || substr(text, 1, 102000) || chr(10)) as prompt_sha1,
+            || substr(text, (part - 1) * 102000 + 1, 102000) || chr(10)) as prompt_sha1,
        length({lit(PROMPT_HEAD)} || scp || ' - ' || coalesce(title, scp) || chr(10) || chr(10) || 'Content:'
-            || chr(10) || substr(text, 1, 102000) || chr(10)) as prompt_len
-from w where source is not null
+            || chr(10) || substr(text, (part - 1) * 102000 + 1, 102000) || chr(10)) as prompt_len
+from n, unnest(range(1, n_parts + 1)) t(part)
 """)
 
 NUM_STRICT = ("(case when regexp_matches(regexp_replace(trim(scp), '^[Ss][Cc][Pp]-', ''), '^[+-]?[0-9]+$') "

@@ -253,7 +253,7 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attribution for items with >= 100 characters of primary content;
+    """Attribution of every item, flagged where it has under 100 characters;
     authors = creator and history authors, distinct, sorted."""
     from ..plans.catalog import attribution as attr
     it = _content_items(spark, sf_dir)
@@ -455,7 +455,7 @@ def summary_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans.summaries import worklist
     it = _content_items(spark, sf_dir)
     wl = worklist(it, _existing_summaries(spark, sf_dir))
-    return wl.select("link", "source", F.sha1("prompt").alias("prompt_sha1"),
+    return wl.select("link", "source", "part", "n_parts", F.sha1("prompt").alias("prompt_sha1"),
                      F.length("prompt").cast("bigint").alias("prompt_len"))
 
 

@@ -45,14 +45,17 @@ def get_spark(master: str | None = None, app: str = "quire",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the deployment (a shared filesystem); only
-    when it is unset (local tests) a scratch folder is created and registered.
+    On a cluster this must be set by the deployment (a shared filesystem), else
+    an error says so; only on a local master a scratch folder is created.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir() if hasattr(
             spark.sparkContext, "getCheckpointDir") else None
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quire-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", path)

@@ -52,7 +52,7 @@ def item_core(spark: SparkSession, sf_dir: str, with_text: bool = True, with_met
         d.alias("scp_number"),
         F.when(joke, F.concat(F.lower(base), F.lit("-j"))).otherwise(F.lower(base)).alias("link"),
         F.when(joke, F.concat(base, F.lit("-J"))).otherwise(base).alias("scp"),
-        F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 60).alias("title"),
+        F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"),
         F.when(joke, F.lit("joke")).otherwise(
             F.concat(F.lit("series-"), (F.floor(d / 1000.0).cast("bigint") + 1).cast("string"))
         ).alias("series"),

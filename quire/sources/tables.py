@@ -42,17 +42,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> Dat
     return df
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a few large rows (whole HTML pages, long documents) over the
-    cluster before a per-row heavy step. Small parquet files can arrive as a
-    single split; a round-robin repartition only happens when the scan gives
-    fewer partitions than the cluster's default parallelism."""
-    spark = df.sparkSession
-    try:
-        want = min_partitions or spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Connect session): leave the plan as is
-        return df
-    if have < want:
-        return df.repartition(want)
-    return df
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Even out a few large rows (whole HTML pages, long documents) before a
+    per-row heavy step: Spark cuts the rebalanced rows into partitions of the
+    advisory size. No job runs while the plan is built."""
+    return df.hint("rebalance")

@@ -64,8 +64,9 @@ def snapshot_complete(spark: SparkSession, raw_root: str, snapshot: str, settle_
 
 
 def sync_snapshot(spark: SparkSession, raw_root: str, table_root: str, snapshot: str,
-                  table: str = "items") -> dict | None:
-    """Import, diff and publish one snapshot; None if already published."""
+                  table: str = "items", staging_dir: str | None = None) -> dict | None:
+    """Import (with the staged texts), diff and publish one snapshot; None if
+    already published."""
     store = TableStore(spark, table_root)
     commit = S.commit_of(F.lit(snapshot))
     commit_s = spark.range(1).select(commit.alias("c")).first()["c"]
@@ -73,7 +74,7 @@ def sync_snapshot(spark: SparkSession, raw_root: str, table_root: str, snapshot:
     if done:
         return None
     t0 = dt.datetime.now()
-    res = import_items(spark, raw_root, snapshot=snapshot)
+    res = import_items(spark, raw_root, staging_dir, snapshot=snapshot)
     counts = {"added": 0, "updated": 0, "unchanged": 0, "removed": 0}
     cur = store.current_version(table)
     if cur is not None:
@@ -93,7 +94,8 @@ def sync_snapshot(spark: SparkSession, raw_root: str, table_root: str, snapshot:
 
 
 def sync_stream(spark: SparkSession, raw_root: str, table_root: str, checkpoint: str | None = None,
-                available_now: bool = True, processing_time: str | None = None, settle_seconds: int = 300):
+                available_now: bool = True, processing_time: str | None = None, settle_seconds: int = 300,
+                staging_dir: str | None = None):
     """Start the stream; returns the StreamingQuery (``awaitTermination`` it
     for an ``availableNow`` run)."""
     checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "sync_stream")
@@ -103,11 +105,14 @@ def sync_stream(spark: SparkSession, raw_root: str, table_root: str, checkpoint:
              .select(F.col("_metadata.file_path").alias("path")))
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        snaps = sorted(r["s"] for r in batch.select(
-            F.regexp_extract("path", S.SNAPSHOT_RE, 1).alias("s")).distinct().collect() if r["s"])
-        for snap in snaps:
+        # Every snapshot not yet published is looked at again, not only those
+        # of this batch: a folder that has become quiet meanwhile is due.
+        done = TableStore(spark, table_root).versions("items").select("dataset_commit")
+        due = S.snapshots(spark, raw_root).select("snapshot", "dataset_commit").distinct()
+        due = due.join(done, due["dataset_commit"].eqNullSafe(done["dataset_commit"]), "left_anti")
+        for snap in sorted(r["snapshot"] for r in due.collect()):
             if snapshot_complete(spark, raw_root, snap, settle_seconds):
-                sync_snapshot(spark, raw_root, table_root, snap)
+                sync_snapshot(spark, raw_root, table_root, snap, staging_dir=staging_dir)
 
     w = files.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     if available_now:

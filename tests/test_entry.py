@@ -19,7 +19,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle_or_is_rows_only():
-    q, sql = E.queries(), E.oracle_sql()
+    q, sql = E.QUERIES, E.SQL
+    assert set(q) <= set(E.queries())
     assert set(q) - set(sql) == ROWS_ONLY
     assert set(sql) <= set(q)
 
@@ -36,7 +37,7 @@ DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double
               "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(E.SQL))
 def test_query_matches_oracle(spark, duck, name):
     sdf = E.queries()[name](spark, SF)
     rel = duck.sql(E.oracle_sql()[name])
@@ -51,7 +52,7 @@ def test_query_matches_oracle(spark, duck, name):
     assert s_rows == d_rows
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.QUERIES))
 def test_no_cross_joins_in_any_plan(spark, name):
     """No registered query plans a nested-loop or cartesian join."""
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
