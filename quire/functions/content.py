@@ -90,15 +90,6 @@ def iso_format(c) -> Column:
         F.concat(base, F.lit("."), frac))
 
 
-def py_str_ts(c) -> Column:
-    """Python ``str(datetime)``: like iso_format with a space separator."""
-    ts = _col(c)
-    base = F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
-    frac = F.date_format(ts, "SSSSSS")
-    return F.when(ts.isNull(), None).when(frac == "000000", base).otherwise(
-        F.concat(base, F.lit("."), frac))
-
-
 # Frontmatter block = first line '---' (padded), lazily up to the next
 # '---' line. Applied before a Python-like strip.
 FRONTMATTER_RE = r"(?s)\A[ \t]*---[ \t]*\r?\n(?:.*?\n)??[ \t]*---[ \t]*\r?(?:\n|\z)"
@@ -107,8 +98,3 @@ FRONTMATTER_RE = r"(?s)\A[ \t]*---[ \t]*\r?\n(?:.*?\n)??[ \t]*---[ \t]*\r?(?:\n|
 def strip_frontmatter(c) -> Column:
     """Drop a leading YAML frontmatter block, then strip whitespace."""
     return strip_ws(F.regexp_replace(_col(c), FRONTMATTER_RE, ""))
-
-
-def truncate_chars(c, n: int) -> Column:
-    """First n characters (code points)."""
-    return F.substring(_col(c), 1, n)

@@ -586,3 +586,27 @@ select b.request, i.link, i.url, i.content_sha1, true as fallback,
        sha1(coalesce(nullif(i.raw_content, ''), i.raw_source)) as summary_sha1
 from best b join items i using (link)
 """)
+
+SQL["item_metadata"] = (_head.rstrip().rstrip(",") + """,
+best as (select request, link, match_rank from m
+qualify""" + _tail.rstrip() + """)
+select b.request, b.match_rank, i.link, i.scp, i.scp_number, i.title, i.series, i.rating,
+       cast(i.created_at as timestamp) as created_at, i.creator, i.url
+from best b join items i using (link)
+""")
+
+
+def iso_sql(x: str) -> str:
+    return (f"(strftime({x}, '%Y-%m-%dT%H:%M:%S') || case when microsecond({x}) % 1000000 <> 0 "
+            f"then '.' || strftime({x}, '%f') else '' end)")
+
+
+SQL["dump_json"] = q(f""",
+r as (select scp_number, string_agg(ref_link, ',' order by ref_link) as r from item_references group by scp_number),
+h as (select scp_number, string_agg(concat_ws('|', author, {iso_sql('cast("date" as timestamp)')}, comment), ',' order by seq) as h
+      from item_history group by scp_number)
+select i.link, i.scp, i.title, i.series, i.url, i.creator, {iso_sql('cast(i.created_at as timestamp)')} as created_at, i.content_sha1,
+       i.scp_number, i.rating, array_to_string(i.tags, ',') as tags, coalesce(r.r, '') as "references", b.hub as hubs,
+       sha1(i.raw_source) as source_sha1, sha1(i.raw_content) as html_sha1, sha1(coalesce(h.h, '')) as history_sha1
+from items_t i join item_hubs b using (scp_number) left join r using (scp_number) left join h using (scp_number)
+""")

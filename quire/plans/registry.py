@@ -416,9 +416,29 @@ def dump_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def dump_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole item table as JSON lines (nulls kept)."""
+    """The whole item table as JSON lines (nulls kept), read back by field:
+    arrays joined, whole texts and the history as hashes."""
     from ..plans.publish import dump_jsonl
-    return dump_jsonl(item_view.build_items(spark, sf_dir))
+    lines = dump_jsonl(item_view.build_items(spark, sf_dir))
+    field = lambda name: F.get_json_object("json", f"$.{name}")
+    strings = lambda name: F.array_join(F.from_json(field(name), "array<string>"), ",")
+    edits = F.from_json(field("history"), "array<struct<author:string,date:string,comment:string>>")
+    return lines.select(
+        *[field(c).alias(c) for c in ("link", "scp", "title", "series", "url", "creator", "created_at", "content_sha1")],
+        *[field(c).cast("bigint").alias(c) for c in ("scp_number", "rating")],
+        *[strings(c).alias(c) for c in ("tags", "references", "hubs")],
+        F.sha1(field("raw_source")).alias("source_sha1"), F.sha1(field("raw_content")).alias("html_sha1"),
+        F.sha1(F.array_join(F.transform(edits, lambda e: F.concat_ws("|", e["author"], e["date"], e["comment"])), ",")).alias("history_sha1"))
+
+
+@register
+def item_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2 / K8 by identifier: the metadata of the best-matching item of each
+    request (no text column is read)."""
+    from ..plans.catalog import get_items
+    items = item_view.item_core(spark, sf_dir, with_text=False)
+    return get_items(items, _lookup_requests(spark, sf_dir)).select(
+        "request", "match_rank", "link", "scp", "scp_number", "title", "series", "rating", "created_at", "creator", "url")
 
 
 # ------------------------------------------------------- I9-I12 frontmatter

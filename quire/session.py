@@ -65,12 +65,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the checkpoint folder for written intermediates."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, name)
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss, unlike localCheckpoint).
 
