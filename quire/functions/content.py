@@ -90,6 +90,21 @@ def iso_format(c) -> Column:
         F.concat(base, F.lit("."), frac))
 
 
+def json_row(df) -> Column:
+    """The row as a JSON object: nulls kept, history as objects, timestamps in
+    ISO format with all their digits."""
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if f.dataType.typeName().startswith("timestamp"):
+            c = iso_format(c)
+        elif f.name == "history":
+            c = F.transform(c, lambda h: F.struct(h["author"].alias("author"), iso_format(h["date"]).alias("date"),
+                                                  h["comment"].alias("comment")))
+        cols.append(c.alias(f.name))
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+
+
 # Frontmatter block = first line '---' (padded), lazily up to the next
 # '---' line. Applied before a Python-like strip.
 FRONTMATTER_RE = r"(?s)\A[ \t]*---[ \t]*\r?\n(?:.*?\n)??[ \t]*---[ \t]*\r?(?:\n|\z)"

@@ -610,3 +610,6 @@ select i.link, i.scp, i.title, i.series, i.url, i.creator, {iso_sql('cast(i.crea
        sha1(i.raw_source) as source_sha1, sha1(i.raw_content) as html_sha1, sha1(coalesce(h.h, '')) as history_sha1
 from items_t i join item_hubs b using (scp_number) left join r using (scp_number) left join h using (scp_number)
 """)
+
+SQL["export_json"] = SQL["dump_json"].replace("select i.link, i.scp,", """select 'json/' || array_to_string(string_split(
+       lower(regexp_replace(i.scp, '^SCP-', '')), ''), '/') || '/' || i.link || '.json' as path, i.link, i.scp,""")

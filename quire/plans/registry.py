@@ -414,23 +414,27 @@ def dump_page(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "url", _join_arr("tags").alias("tags"), "content_sha1")
 
 
-@register
-def dump_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole item table as JSON lines (nulls kept), read back by field:
-    arrays joined, whole texts and the history as hashes."""
-    from ..plans.publish import dump_jsonl
-    lines = dump_jsonl(item_view.build_items(spark, sf_dir))
-    field = lambda name: F.get_json_object("json", f"$.{name}")
+def _fields_of(lines: DataFrame, column: str, *more: str) -> DataFrame:
+    """JSON objects of items read back by field."""
+    field = lambda name: F.get_json_object(column, f"$.{name}")
     strings = lambda name: F.array_join(F.from_json(field(name), "array<string>"), ",")
     edits = F.from_json(field("history"), "array<struct<author:string,date:string,comment:string>>")
     return lines.select(
-        *[field(c).alias(c) for c in ("link", "scp", "title", "series", "url", "creator", "created_at", "content_sha1")],
+        *more, *[field(c).alias(c) for c in ("link", "scp", "title", "series", "url", "creator", "created_at", "content_sha1") if c not in more],
         *[field(c).cast("bigint").alias(c) for c in ("scp_number", "rating")],
         *[strings(c).alias(c) for c in ("tags", "references", "hubs")],
         F.sha1(field("raw_source")).alias("source_sha1"), F.sha1(field("raw_content")).alias("html_sha1"),
         F.sha1(F.array_join(F.transform(edits, lambda e: F.concat_ws("|", e["author"], e["date"], e["comment"])), ",")).alias("history_sha1"))
 
 
+@register
+def dump_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole item table as JSON lines (nulls kept), read back by field:
+    arrays joined, whole texts and the history as hashes."""
+    from ..plans.publish import dump_jsonl
+    return _fields_of(dump_jsonl(item_view.build_items(spark, sf_dir)), "json")
+
+
 @register
 def item_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2 / K8 by identifier: the metadata of the best-matching item of each
@@ -612,10 +616,9 @@ def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every item as a JSON file body."""
+    """Every item as a JSON file body, read back by field."""
     from ..plans.exports import json_exports
-    ex = json_exports(item_view.build_items(spark, sf_dir))
-    return ex.select("link", "path", F.length("body").alias("body_len"), F.sha1("body").alias("body_sha1"))
+    return _fields_of(json_exports(item_view.build_items(spark, sf_dir)), "body", "path")
 
 
 @register
