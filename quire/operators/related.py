@@ -15,7 +15,7 @@ checked; past the limit the joins are shuffle joins (AQE splits hot keys).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED_BROADCAST_LIMIT = 100_000
@@ -72,6 +72,8 @@ def hub_members(seed_link: str, hubs: DataFrame) -> DataFrame:
 
 
 def related_ranked(rel: DataFrame, items: DataFrame) -> DataFrame:
-    """Order of a related list: relation count desc, rating desc, link."""
-    return (rel.join(items.select("link", "rating"), "link", "left")
-            .orderBy("seed", F.col("n_relations").desc(), F.col("rating").desc_nulls_last(), "link"))
+    """``rel`` with its items' columns and ``pos`` (from 1) in the order of a
+    related list: relation count desc, rating desc, link. Ranking is per
+    seed, over that seed's own relations."""
+    order = Window.partitionBy("seed").orderBy(F.col("n_relations").desc(), F.col("rating").desc_nulls_last(), "link")
+    return rel.join(items, "link").withColumn("pos", F.row_number().over(order))

@@ -613,3 +613,98 @@ from items_t i join item_hubs b using (scp_number) left join r using (scp_number
 
 SQL["export_json"] = SQL["dump_json"].replace("select i.link, i.scp,", """select 'json/' || array_to_string(string_split(
        lower(regexp_replace(i.scp, '^SCP-', '')), ''), '/') || '/' || i.link || '.json' as path, i.link, i.scp,""")
+
+
+# J0-J17 for the tags that the pages hold: text nodes of the body by the block
+# tag before them (TOKEN_RE splits as the page job's tokens do).
+BLOCK_TAGS = "'nav', 'ul', 'li', 'div', 'h1', 'h2', 'h3', 'p', 'article', 'footer', 'body', 'html'"
+STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+ENTITIES = [("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'")]
+
+
+def unescape_sql(x: str) -> str:
+    for ent, ch in ENTITIES:
+        x = f"replace({x}, {lit(ent)}, {lit(ch)})"
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
+
+
+PAGE_TOKENS = f"""
+pt as (select page_id, regexp_extract_all(html, {lit(TOKEN_RE)}, 0) as toks from pages where html is not null),
+pu as (select page_id, i as seq, toks[i] as token from (select *, unnest(range(1, len(toks) + 1)) as i from pt)),
+pk as (select page_id, seq, token,
+              case when regexp_matches(token, '^(?i)<(script|style)') then 'raw'
+                   when starts_with(token, '<!') or starts_with(token, '<?') then 'skip'
+                   when starts_with(token, '</') then 'close' when starts_with(token, '<') then 'open' else 'text' end as kind,
+              lower(regexp_extract(token, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) as tag from pu),
+pb as (select page_id, min(seq) as body from pk where kind = 'open' and tag = 'body' group by page_id)
+"""
+
+SQL["clean_pages"] = f"""with {PAGE_TOKENS},
+n as (select page_id, seq, kind, token, coalesce(body, 0) as body,
+             case kind when 'open' then 1 when 'text' then 1
+                  when 'raw' then 1 + cast(regexp_extract(token, '^<[^>]*>([\\s\\S]*)</', 1) <> '' as int) else 0 end as nodes
+      from pk left join pb using (page_id))
+select page_id, cast(sum(nodes) filter (where seq <= body) as int) as root, cast(sum(nodes) as int) as n_nodes,
+       cast(count(*) filter (where kind = 'text' and seq > body) as int) as n_live_text,
+       sha1(coalesce(string_agg({unescape_sql('token')}, '' order by seq) filter (where kind = 'text' and seq > body), ''))
+         as text_sha1, cast(null as varchar) as shred_error
+from n group by page_id
+"""
+
+PAGES_MD = PAGE_TOKENS + f""",
+pm as (select k.*, max(case when kind in ('open', 'close') and tag in ({BLOCK_TAGS}) then seq end)
+                     over (partition by k.page_id order by seq) as blk,
+              max(case when kind = 'open' and tag = 'ul' then seq end) over (partition by k.page_id order by seq) as ul
+       from pk k),
+px as (select m.page_id, m.blk, max(m.ul) as ul, max(b.kind || b.tag) as mark,
+              {STRIP.format(f"string_agg({unescape_sql('m.token')}, '' order by m.seq)")} as text
+       from pm m join pb using (page_id) join pk b on b.page_id = m.page_id and b.seq = m.blk
+       where m.kind = 'text' and m.seq > pb.body group by m.page_id, m.blk),
+pl as (select page_id, case when mark = 'openli' then ul else blk end as unit, blk, mark = 'openli' as item,
+              case when mark = 'openli' then '- ' when mark in ('openh1', 'openh2', 'openh3')
+                   then repeat('#', cast(right(mark, 1) as int)) || ' ' else '' end || text as line
+       from px where text <> ''),
+pn as (select page_id, unit, string_agg(line, chr(10) order by blk) as part from pl group by page_id, unit),
+pa as (select page_id, string_agg(part, chr(10) || chr(10) order by unit) as md from pn group by page_id),
+page_md as (select page_id, {STRIP.format("""regexp_replace(regexp_replace(regexp_replace(md,
+              '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'),
+              '\\n\\n\\n+', chr(10) || chr(10), 'g')""")} as md from pa)
+"""
+
+SQL["pages_to_markdown"] = f"""with {PAGES_MD}
+select page_id, md as markdown, case when md is not null then 'converted' end as md_source, cast(null as varchar) as error
+from pages left join page_md using (page_id)
+"""
+
+SQL["export_markdown"] = q(ITEMS_FULL + f""", {PAGES_MD},
+e as (select f.*, coalesce(nullif(m.md, ''), '') <> '' as has_md, m.md, nullif(f.raw_content, '') is not null as has_html,
+             array_to_string(string_split(lower(regexp_replace(f.scp, '^SCP-', '')), ''), '/') as shard
+      from items_f f left join page_md m on m.page_id = f.scp_number),
+d as (select link, 'markdown/' || shard || '/' || link || '.md' as path,
+             case when has_html and has_md then 'converted' when has_html then 'raw_html'
+                  when nullif(raw_source, '') is not null then 'raw_source' end as source,
+             {FRONTMATTER} as fm, title, md, raw_content, raw_source from e),
+b as (select link, path, source, concat_ws(chr(10), fm, '', '# ' || title, '', '## Content', '',
+             case source when 'converted' then '*Note: Content converted from HTML to Markdown*' || chr(10) || chr(10) || md
+                  when 'raw_html' then '*Note: Content displayed as raw HTML*' || chr(10) || chr(10) || '```html' || chr(10)
+                                       || raw_content || chr(10) || '```'
+                  when 'raw_source' then '*Note: Content displayed as raw source*' || chr(10) || chr(10) || '```' || chr(10)
+                                         || raw_source || chr(10) || '```'
+                  else '*No content available*' end, '') as body from d)
+select link, path, source, cast(length(body) as int) as body_len, sha1(body) as body_sha1 from b
+""")
+
+SQL["related_hits"] = q(""",
+refs as (select i.link, r.ref_link from items i join item_references r using (scp_number)),
+seeds as (select link as seed from items where series = 'joke'),
+e as (select s.seed, r.ref_link as link, 'references' as relation
+      from seeds s join refs r on r.link = s.seed join items i on i.link = r.ref_link
+      union all
+      select s.seed, r.link, 'referenced_by' from seeds s join refs r on r.ref_link = s.seed),
+g as (select seed, link, count(*) as n_relations, array_to_string(list_sort(list(distinct relation)), ',') as relations
+      from e group by seed, link)
+select g.seed, row_number() over (partition by g.seed order by n_relations desc, t.rating desc nulls last, g.link) as pos,
+       g.link, g.n_relations, g.relations, t.scp, t.scp_number, t.title, t.series, t.rating,
+       case when len(t.tags) > 0 then array_to_string(t.tags, ',') end as tags
+from g join items_t t using (link)
+""")

@@ -306,6 +306,18 @@ def related_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.withColumn("relations", F.array_join("relations", ","))
 
 
+@register
+def related_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4 result: the related items of each joke item as hits, in rank order."""
+    from ..operators.related import related, related_ranked
+    items = item_view.item_core(spark, sf_dir, with_text=False, with_meta=False)
+    rel = related(_joke_seeds(spark, sf_dir), _refs(spark, sf_dir), items)
+    ranked = related_ranked(rel, _items_with_tags(spark, sf_dir))
+    return ranked.select("seed", F.col("pos").cast("bigint").alias("pos"), "link", "n_relations",
+                         F.array_join("relations", ",").alias("relations"), "scp", "scp_number", "title", "series", "rating",
+                         F.when(F.size("tags") > 0, F.array_join("tags", ",")).alias("tags"))
+
+
 @register
 def related_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4 shared hubs of the joke items, with member counts."""
