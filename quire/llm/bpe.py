@@ -153,7 +153,7 @@ def _encoded_words(rows: DataFrame, content: str, partitions: int) -> DataFrame:
 
     def encoded(batches):
         t = _tokenizer(content)
-        ids_of: dict[bytes, np.ndarray] = {}
+        ids_of: dict[bytes, bytes] = {}  # ids as packed 32-bit numbers
         for b in common.slices(batches, 16):
             out: list = [[], [], [], []]
             for block, words, numbers in zip(*(b.column(c).to_pylist() for c in ("block", "words", "numbers"))):
@@ -162,10 +162,10 @@ def _encoded_words(rows: DataFrame, content: str, partitions: int) -> DataFrame:
                     ids_of.clear()
                 new = [w for w in own if w not in ids_of]
                 made = t.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                ids_of.update((w, np.array(e.ids, "i4")) for w, e in zip(new, made))
+                ids_of.update((w, np.array(e.ids, "<i4").tobytes()) for w, e in zip(new, made))
                 ids = [ids_of[w] for w in own]
-                lengths = np.fromiter(map(len, ids), "i4", len(ids))
-                for column, value in zip(out, (block, numbers, _shrink(lengths), _shrink(np.concatenate(ids)))):
+                lengths = np.fromiter(map(len, ids), "i4", len(ids)) // 4
+                for column, value in zip(out, (block, numbers, _shrink(lengths), _shrink(np.frombuffer(b"".join(ids), "<i4")))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["block", "numbers", "lengths", "ids"])
 
