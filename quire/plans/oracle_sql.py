@@ -708,3 +708,18 @@ select g.seed, row_number() over (partition by g.seed order by n_relations desc,
        case when len(t.tags) > 0 then array_to_string(t.tags, ',') end as tags
 from g join items_t t using (link)
 """)
+
+SQL["import_snapshot"] = q(f"""
+select i.link, i.scp, i.scp_number, i.title, i.series, coalesce(i.rating, 0) as rating, i.created_at, i.creator, i.url,
+       'scp-wiki.wikidot.com' as domain, case when i.raw_content <> '' then i.content_sha1 end as content_sha1,
+       sha1(i.raw_source) as raw_source_sha1,
+       (select string_agg(tag, ',' order by tag) from item_tags t where t.scp_number = i.scp_number) as tags,
+       (select string_agg(hub, ',' order by hub) from item_hubs h where h.scp_number = i.scp_number) as hubs,
+       (select string_agg(ref_link, ',' order by ref_link) from item_references r
+         where r.scp_number = i.scp_number) as refs,
+       coalesce(len(regexp_extract_all(i.raw_content, {lit(IMG_RE)}, 1)), 0) as n_images,
+       (select count(*) from item_history h where h.scp_number = i.scp_number) as n_history,
+       (select max(date) from item_history h where h.scp_number = i.scp_number) as last_edit,
+       true as has_file, 'bbbbbbbbbbbb' as dataset_commit, (select count(*) from items where title is not null) as total_count
+from items i where i.title is not null
+""")

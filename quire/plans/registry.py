@@ -673,3 +673,38 @@ def item_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = get_item_content(items, _lookup_requests(spark, sf_dir))
     return out.select("request", "link", "url", "content_sha1", "fallback",
                       F.sha1("best_content").alias("best_sha1"), F.sha1("summary_content").alias("summary_sha1"))
+
+
+# ------------------------------------------- A, C6-C8, L2/L3 snapshot import
+
+@register
+def import_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshot folders (labelled items; all items) are written from the
+    tables; the newer one is found, loaded, validated, published as a table
+    version and read back, with the commit and the total count (K7)."""
+    import uuid
+
+    from ..functions.content import iso_format
+    from ..schemas import ITEM_SCHEMA
+    from ..session import checkpoint_dir
+    from ..sources import snapshots
+    from .import_items import import_and_publish
+    from .publish import TableStore
+
+    root = f"{checkpoint_dir(spark).rstrip('/')}/import-{uuid.uuid4().hex}"
+    history = F.transform("history", lambda h: F.struct(h["author"].alias("author"), iso_format(h["date"]).alias("date"),
+                                                        h["comment"].alias("comment")))
+    raw = item_view.build_items(spark, sf_dir).drop("content_sha1", "content_file", "dataset_commit", "domain").select(
+        F.col("scp").alias("label"), "*").withColumn("history", history).withColumn("created_at", iso_format("created_at"))
+    labelled = item_view.read_table(spark, sf_dir, "labels", ["doc_id"]).select(F.col("doc_id").alias("scp_number"))
+    snapshots.write_snapshot(raw.join(labelled, "scp_number", "left_semi"), f"{root}/raw", "scp-1700000000-aaaaaaaaaaaa")
+    snapshots.write_snapshot(raw, f"{root}/raw", "scp-1800000000-bbbbbbbbbbbb")
+    import_and_publish(spark, f"{root}/raw", f"{root}/tables")
+    items = TableStore(spark, f"{root}/tables").read("items", schema=ITEM_SCHEMA)
+    total = items.select(F.count(F.lit(1))).scalar()
+    return items.select(
+        "link", "scp", "scp_number", "title", "series", "rating", "created_at", "creator", "url", "domain", "content_sha1",
+        F.sha1("raw_source").alias("raw_source_sha1"), _join_arr("tags").alias("tags"), _join_arr("hubs").alias("hubs"),
+        _join_arr("references").alias("refs"), F.size("images").cast("bigint").alias("n_images"),
+        F.size("history").cast("bigint").alias("n_history"), F.array_max(F.col("history.date")).alias("last_edit"),
+        F.col("content_file").isNotNull().alias("has_file"), "dataset_commit", total.cast("bigint").alias("total_count"))
