@@ -81,16 +81,21 @@ def pieces_of(content: str) -> pa.Array:
 
 
 def _blocks(batches, column: str, limit: int):
-    """Lists of (batch slice, its texts) with about ``limit`` bytes of text."""
+    """Lists of (batch slice, its texts) with about ``limit`` bytes of text.
+    Cut text by text, on text bytes alone, so that the cuts do not depend on
+    where Arrow batches end (which the other columns of a row shift)."""
     held, size = [], 0
     for b in common.slices(batches, 64):
         texts = b.column(column).cast(pa.binary()).to_pylist()
-        n = sum(map(len, texts))
-        if held and size + n > limit:
-            yield held
-            held, size = [], 0
-        held.append((b, texts))
-        size += n
+        start = 0
+        for i, t in enumerate(texts):
+            if size and size + len(t) > limit:
+                if i > start:
+                    held.append((b.slice(start, i - start), texts[start:i]))
+                yield held
+                held, size, start = [], 0, i
+            size += len(t)
+        held.append((b.slice(start), texts[start:]))
     if held:
         yield held
 

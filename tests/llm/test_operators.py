@@ -193,6 +193,30 @@ def test_bpe_equals_the_library(spark, block):
     assert bpe.encode(df.limit(0), content).count() == 0
 
 
+def test_bpe_blocks_do_not_follow_arrow_batches(spark, tmp_path):
+    """20 MB of long texts, Arrow batches ended by bytes: the passes with and
+    without the other columns cut the same blocks."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+    rng = random.Random(5)
+    some = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(some, k=rng.randint(1_500, 4_500))) for _ in range(1_700)]
+    assert sum(map(len, texts)) > 20 << 20
+    path = str(tmp_path / "long.parquet")
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": texts, "more": ["m" * (i % 2000) for i in range(len(texts))]}), path)
+    content, key = queries.tokenizer_content(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(1 << 20))
+    try:
+        got = {r.doc_id: r.ids for r in bpe.encode(spark.read.parquet(path), content, block_bytes=1 << 20).select("doc_id", "ids").collect()}
+    finally:
+        spark.conf.set(key, before)
+    t = Tokenizer.from_str(content)
+    ids_of = {w: t.encode(w, add_special_tokens=False).ids for w in some}
+    assert got == {i: [x for w in text.split() for x in ids_of[w]] for i, text in enumerate(texts)}
+
+
 def test_decode_leaves_out_unknown_ids(spark):
     content = queries.tokenizer_content()
     pieces = bpe.pieces_of(content)
