@@ -398,3 +398,42 @@ def test_long_texts_score_as_in_one_block(spark, trained, monkeypatch):
     whole = toxicity.Scorer(tox)([text, "", "a b"])
     monkeypatch.setattr(toxicity, "BLOCK_WORDS", 16)
     assert toxicity.Scorer(tox)([text, "", "a b"]) == pytest.approx(whole, abs=1e-5)
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    """A corpus of texts above ``SAMPLE_WORDS`` words still gives a model."""
+    rng = random.Random(3)
+    plain = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(200):
+        words = rng.choices(plain, k=toxicity.SAMPLE_WORDS + 100 + i)
+        if i % 2:
+            words[rng.randrange(len(words))] = "vile"
+        rows.append((i, " ".join(words), "en", "s", i % 2))
+    d = docs(spark, rows, DOCS + ", toxic int")
+    model = toxicity.train(d.drop("toxic"), d.select("doc_id", "toxic"))
+    s = toxicity.Scorer(model)([r[1] for r in rows])
+    assert min(s[1::2]) > max(s[::2])
+    assert list(model.thresholds) == ["en"]
+
+
+def test_toxicity_thresholds_come_from_rows_left_out_of_the_fit():
+    """Texts of words of their own and labels by chance: fitted, they are told
+    apart; left out, all texts of a part look alike."""
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 1 << toxicity.TABLE_BITS, (30, 3), dtype="i4") for _ in range(90)]
+    y = rng.integers(0, 2, 90)
+    fitted = toxicity.score_sample(toxicity.fit(texts, y), texts)
+    assert fitted[y == 1].min() > fitted[y == 0].max()
+    left_out = toxicity.left_out_scores(texts, y)
+    assert left_out[y == 1].min() < left_out[y == 0].max()
+
+
+def test_toxicity_fit_in_blocks_is_the_fit_of_whole_texts(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 500, (int(n), 3), dtype="i4") for n in rng.integers(1, 200, 60)]
+    y = rng.integers(0, 2, 60)
+    whole = toxicity.fit(texts, y)
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 16)
+    blocks = toxicity.fit(texts, y)
+    assert np.allclose(whole.table, blocks.table, atol=1e-3) and np.allclose(whole.out, blocks.out, atol=1e-3)
