@@ -72,3 +72,10 @@ def labelled_ids(labels: DataFrame, label: str, rows: int, id_column: str = "doc
              .groupBy(F.col(id_column).alias("_id")).agg(F.max(label).cast("int").alias("_y")))
     each = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows // 2) for y in (0, 1)]
     return each[0].unionAll(each[1])
+
+
+def one_of_each(df: DataFrame, id_column: str) -> DataFrame:
+    """One row of each id, the smallest by the other columns in their order;
+    reduced on the executors, before a shuffle."""
+    rest = [c for c in df.columns if c != id_column]
+    return df.groupBy(id_column).agg(F.min(F.struct(*rest)).alias("_row")).select(id_column, "_row.*")

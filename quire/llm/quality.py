@@ -150,8 +150,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", id_co
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y").cast(pa.int32()),
                                               pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"])
 
-    got = common.map_arrow(joined, stats, "id string, y int, x binary").collect()
-    got = sorted(got, key=lambda r: (r["id"], bytes(r["x"])))[:rows]
+    got = common.one_of_each(common.map_arrow(joined, stats, "id string, y int, x binary"), "id").collect()
+    got.sort(key=lambda r: r["id"])
     x = np.array([np.frombuffer(r["x"], "f8") for r in got]).reshape(-1, len(FEATURES))
     y = np.array([r["y"] for r in got], "f8")
     taken = {k: max(1, int((y == k).sum())) for k in (0, 1)}

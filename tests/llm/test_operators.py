@@ -437,3 +437,20 @@ def test_toxicity_fit_in_blocks_is_the_fit_of_whole_texts(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK_WORDS", 16)
     blocks = toxicity.fit(texts, y)
     assert np.allclose(whole.table, blocks.table, atol=1e-3) and np.allclose(whole.out, blocks.out, atol=1e-3)
+
+
+@pytest.mark.parametrize("kind, label", [(toxicity, "toxic"), (quality, "quality")])
+def test_training_collects_one_row_of_an_id(spark, monkeypatch, kind, label):
+    """One sampled id holds most rows: the fit gets each id once."""
+    rows = [(i, f"text {'vile' if i % 2 else 'good'} {i}", "en", "s") for i in range(40)] + [(7, f"again {i}", "de", "s") for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], f"doc_id long, {label} int")
+    collected, collect = [], type(labels).collect
+
+    def counted(df):
+        out = collect(df)
+        collected.append(len(out))
+        return out
+
+    monkeypatch.setattr(type(labels), "collect", counted)
+    kind.train(docs(spark, rows), labels)
+    assert max(collected) <= 40
