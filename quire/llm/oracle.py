@@ -107,3 +107,27 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
 SELECT doc_id, size::BIGINT size, source_size, target, (size * (epochs + CASE WHEN key <= last THEN 1 ELSE 0 END))::BIGINT taken
 FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """
+
+SQL["op11_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+     dup AS (SELECT r, sum(n)::BIGINT AS n_lines, sum(n - 1)::BIGINT AS n_dup_lines
+             FROM (SELECT r, line, count(*) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line) GROUP BY r),
+     windows AS (SELECT r, p, array_to_string(w[p:p + 7], ' ') AS k FROM d, unnest(range(1, len(w) - 6)) u(p)),
+     again AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, k) AS n FROM windows) WHERE n > 1),
+     covered AS (SELECT r, sum(least(8, coalesce(next - p, 8)))::BIGINT AS n_repeat_words
+                 FROM (SELECT r, p, lead(p) OVER (PARTITION BY r ORDER BY p) AS next FROM again) GROUP BY r),
+     c AS (SELECT doc_id, w, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+                  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+                  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+           FROM d LEFT JOIN dup USING (r) LEFT JOIN covered USING (r)),
+     b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+                  len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x)) AS shouted,
+                  len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{L}'))) AS letterless,
+                  len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS stuttered FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * n_dup_lines > n_lines
+            OR 100 * shouted > 30 * n_words OR 100 * letterless > 30 * n_words OR 100 * stuttered > 30 * n_words) AS kept
+FROM b
+"""

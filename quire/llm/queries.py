@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, exact_dedup, exact_topk, mixing, pii, quality, simhash_dedup, toxicity, url_filter
+from . import bpe, chat, common, exact_dedup, exact_topk, mixing, pii, quality, quality_rules, simhash_dedup, toxicity, url_filter
 
 #: The tokenizer of the contract, by its name in the public tokenizers package.
 TOKENIZER = "word_bpe_49k.json"
@@ -72,6 +72,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(common.table(spark, sf_dir, "documents", "doc_id", "text"))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -79,4 +84,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_exact_topk, op4_simhash_dedup, op5_url_filter, op6_bpe,
-                                   op7_pii, op8_chat, op9_quality, op10_mixing, pipeline)}
+                                   op7_pii, op8_chat, op9_quality, op10_mixing, op11_quality_rules, pipeline)}
