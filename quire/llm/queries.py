@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, exact_dedup, exact_topk, mixing, pii, quality, quality_rules, simhash_dedup, toxicity, url_filter
+from . import bpe, chat, common, exact_dedup, exact_topk, mixing, periodic_runs, pii, quality, quality_rules, simhash_dedup, toxicity, url_filter
 
 #: The tokenizer of the contract, by its name in the public tokenizers package.
 TOKENIZER = "word_bpe_49k.json"
@@ -77,6 +77,32 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def with_made_periods(documents: DataFrame) -> DataFrame:
+    """The input of op12: with h = crc32 of the decimal id, every text with
+    h % 10 = 0 repeats, from a place on, a period of its words; a row without
+    an id keeps its text."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, text = F.floor(h / 10), common.text_of()
+
+    def repeated(w):
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int"))))
+
+    words = quality_rules.words_of(text)
+    made = F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, F.array_join(repeated(w), " ")).otherwise("")), 1)
+    return documents.withColumn("text", F.when(h % 10 == 0, made).otherwise(text))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_made_periods(common.table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = periodic_runs.find(docs).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+                        F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -84,4 +110,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_exact_topk, op4_simhash_dedup, op5_url_filter, op6_bpe,
-                                   op7_pii, op8_chat, op9_quality, op10_mixing, op11_quality_rules, pipeline)}
+                                   op7_pii, op8_chat, op9_quality, op10_mixing, op11_quality_rules,
+                                   op12_periodic_runs, pipeline)}
