@@ -131,3 +131,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 100 * shouted > 30 * n_words OR 100 * letterless > 30 * n_words OR 100 * stuttered > 30 * n_words) AS kept
 FROM b
 """
+
+
+def _centroids(rounds: int = 3, k: int = 16) -> str:
+    """Each round: squared distances of all vectors to the k centroids, the
+    nearest, and the floors of the means; empty clusters keep their centroid."""
+    def assigned(r):
+        return f"""
+     a{r} AS (SELECT n, vec_id, e, cluster, distance FROM (
+       SELECT n, vec_id, v.e, c.cluster, list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance,
+              row_number() OVER (PARTITION BY n ORDER BY distance, c.cluster) AS place FROM v, c{r} c) WHERE place = 1),"""
+
+    def mean(r):
+        return f"""
+     s{r} AS (SELECT cluster, i, sum(e[i])::BIGINT AS s, count(*) AS m FROM a{r}, unnest(range(1, 65)) t(i) GROUP BY cluster, i),
+     m{r} AS (SELECT cluster, list((s - ((s % m) + m) % m) // m ORDER BY i) AS e FROM s{r} GROUP BY cluster),
+     c{r + 1} AS (SELECT c.cluster, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN m{r} m ON c.cluster = m.cluster),"""
+
+    return f"""
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     c0 AS (SELECT row_number() OVER (ORDER BY h, e) - 1 AS cluster, e
+            FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h, e FROM v ORDER BY h, e LIMIT {k})),
+     {"".join(assigned(r) + mean(r) for r in range(rounds))}{assigned(rounds).rstrip(",")}
+SELECT vec_id, a.cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.cluster
+"""
+
+
+SQL["op13_centroids"] = _centroids()

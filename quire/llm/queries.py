@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, exact_dedup, exact_topk, mixing, periodic_runs, pii, quality, quality_rules, simhash_dedup, toxicity, url_filter
+from . import bpe, centroids, chat, common, exact_dedup, exact_topk, mixing, periodic_runs, pii, quality, quality_rules, simhash_dedup, toxicity, url_filter
 
 #: The tokenizer of the contract, by its name in the public tokenizers package.
 TOKENIZER = "word_bpe_49k.json"
@@ -103,6 +103,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.described(*centroids.cluster(common.table(spark, sf_dir, "embeddings", "vec_id", "embedding")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -111,4 +115,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_exact_topk, op4_simhash_dedup, op5_url_filter, op6_bpe,
                                    op7_pii, op8_chat, op9_quality, op10_mixing, op11_quality_rules,
-                                   op12_periodic_runs, pipeline)}
+                                   op12_periodic_runs, op13_centroids, pipeline)}
