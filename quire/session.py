@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,6 +82,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame written once as Parquet in the folder of ``checkpoint_dir`` and
+    read back; each call takes a folder of its own."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set = set()
 
 

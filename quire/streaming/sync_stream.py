@@ -1,38 +1,44 @@
-"""M1: pick up new snapshot folders as they arrive, diff, publish.
-
-A file stream over every JSON file of every snapshot folder
-(``readStream.text`` with ``wholetext``) triggers the work; the stream itself
-carries only paths. Each micro-batch names the snapshots it touched (a few
-names, collected), and for each one:
-
-1. the snapshot must be complete: every content file named by its index is
-   present, or no file of the folder changed for ``settle_seconds`` (a
-   snapshot may name a file that never comes; its labels are then skipped
-   like any missing hop). Files of one snapshot may arrive in different
-   batches; an incomplete one is picked up again by the batch that brings
-   its last file;
-2. it must not be published yet (the version log records its commit), so a
-   replayed batch after a failure publishes nothing twice;
-3. import (A-C, validation) -> diff against the current version (L1) ->
-   publish a new version (L2) -> append a sync record (E7).
-
-The checkpoint folder must be on the shared filesystem; it defaults to a
-sub-folder of ``spark.checkpoint.dir``.
+"""M1: pick up new snapshot folders as their files arrive, diff, publish.
+
+Two file streams carry what arrives: the entries of index files (which content
+files a snapshot names) and the names of content files, whose contents are not
+read. Both go to one stateful operator keyed by snapshot (``Arrivals``), which
+holds for each of a snapshot's files whether it was named and whether it is
+there, and how many are still missing. It emits a snapshot once:
+
+* when every file that the index names is there (and, where the index is a
+  folder, every file that is there is named, so that no part of the index is
+  missing), in whatever batches and order they came; or
+* when a timer finds that no file has changed for ``settle_seconds`` (a
+  snapshot may name a file that never comes; its labels are then skipped like
+  any missing hop).
+
+No batch lists the folders again. Each emitted snapshot is imported, published
+as a new version (L2) and compared with the version before (L1), and its sync
+record is appended (E7). The version log names the commit, so a batch that runs
+again after a failure publishes nothing twice, and one that failed between the
+publish and its record writes the record only.
+
+State is kept in RocksDB under the checkpoint folder, which must be on the
+shared filesystem; it defaults to a sub-folder of ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.diff import snapshot_diff, sync_summary
 from ..plans.import_items import import_items
 from ..plans.publish import TableStore
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
 from ..sources import snapshots as S
 
 SYNC_SCHEMA = T.StructType([
@@ -48,45 +54,119 @@ SYNC_SCHEMA = T.StructType([
     T.StructField("synced_at", T.TimestampNTZType()),
 ])
 
-
-def snapshot_complete(spark: SparkSession, raw_root: str, snapshot: str, settle_seconds: int = 300) -> bool:
-    """Every content file named by the index exists (one anti join), or the
-    folder has been quiet for ``settle_seconds``."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.json")
-             .load(f"{raw_root.rstrip('/')}/{snapshot}/items/")
-             .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("content_file"), "modificationTime"))
-    idx = S.index_labels(spark, raw_root, snapshot).where(F.col("content_file").isNotNull())
-    missing = idx.select("content_file").distinct().join(files, "content_file", "left_anti").limit(1).count()
-    if missing == 0:
-        return True
-    newest = files.agg(F.max("modificationTime").alias("t")).first()["t"]
-    return newest is not None and (dt.datetime.now() - newest).total_seconds() >= settle_seconds
+READY_SCHEMA = "snapshot string, reason string, n_named long, n_arrived long"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NAMED, ARRIVED = 1, 2
+
+
+class Arrivals(StatefulProcessor):
+    """State of one snapshot. Input rows: ``kind`` (``index`` or ``content``),
+    ``file`` (a content file named or arrived; null for an index entry that
+    names none), ``folder`` (is the index a folder), ``changed_ms``."""
+
+    def __init__(self, settle_seconds: int):
+        self.settle_ms = 1000 * settle_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.files = handle.getMapState("files", "file string", "bits int")
+        self.totals = handle.getValueState(
+            "totals", "indexed boolean, folder boolean, named long, arrived long, both long, changed_ms long, done boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        indexed, folder, named, arrived, both, changed, done = self.totals.get() or (False, False, 0, 0, 0, 0, False)
+        bits: dict[str, int] = {}
+        for b in rows:
+            index = b["kind"] == "index"
+            indexed, folder = indexed or bool(index.any()), folder or bool(b["folder"].any())
+            changed = max(changed, int(b["changed_ms"].max()))
+            # a file named by many entries is one change of its bits
+            for bit, files in ((NAMED, b["file"][index]), (ARRIVED, b["file"][~index])):
+                for f in files.dropna().unique():
+                    bits[f] = bits.get(f, 0) | bit
+        if done:
+            return
+        for f, new in bits.items():
+            old = self.files.getValue((f,))[0] if self.files.containsKey((f,)) else 0
+            now = old | new
+            if now != old:
+                self.files.updateValue((f,), (now,))
+                named += (now & ~old & NAMED) > 0
+                arrived += (now & ~old & ARRIVED) > 0
+                both += now == NAMED | ARRIVED
+        whole = indexed and named == both and (not folder or arrived == both)
+        quiet = indexed and timerValues.getCurrentProcessingTimeInMs() >= changed + self.settle_ms
+        if whole or quiet:
+            yield self.emit(key, "complete" if whole else "quiet", indexed, folder, named, arrived, both, changed)
+            return
+        self.totals.update((indexed, folder, named, arrived, both, changed, False))
+        if indexed:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(changed + self.settle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        indexed, folder, named, arrived, both, changed, done = self.totals.get() or (False, False, 0, 0, 0, 0, False)
+        if indexed and not done and timerValues.getCurrentProcessingTimeInMs() >= changed + self.settle_ms:
+            yield self.emit(key, "quiet", indexed, folder, named, arrived, both, changed)
+
+    def emit(self, key, reason, indexed, folder, named, arrived, both, changed) -> pd.DataFrame:
+        """Say so once; only the totals are kept from then on."""
+        self.files.clear()
+        self.totals.update((indexed, folder, named, arrived, both, changed, True))
+        return pd.DataFrame({"snapshot": [key[0]], "reason": [reason], "n_named": [named], "n_arrived": [arrived]})
+
+    def close(self) -> None:
+        pass
+
+
+def arrivals(spark: SparkSession, raw_root: str) -> DataFrame:
+    """Streaming rows for ``Arrivals``: (snapshot, kind, file, folder, changed_ms)."""
+    root = raw_root.rstrip("/")
+    changed = lambda c: F.unix_millis(c)
+    # cut at "}", an index of any size is many rows; each entry's record ends at one
+    index = (spark.readStream.option("lineSep", "}").text(f"{root}/scp-*/items/index.json")
+             .select(F.col("_metadata.file_path").alias("path"), changed(F.col("_metadata.file_modification_time")).alias("changed_ms"), "value"))
+    named = F.regexp_extract("value", r'"content_file"\s*:\s*("(?:[^"\\]|\\.)*")', 1)
+    named = F.get(F.from_json(F.concat(F.lit("["), named, F.lit("]")), "array<string>"), F.lit(0))
+    index = index.select("path", F.lit("index").alias("kind"), named.alias("file"), F.col("path").rlike(r"/index\.json/").alias("folder"), "changed_ms")
+    content = (spark.readStream.format("binaryFile").option("pathGlobFilter", S.CONTENT_GLOB)
+               .schema("path string, modificationTime timestamp, length long, content binary").load(f"{root}/scp-*/items")
+               .where(~F.col("path").rlike(r"/index\.json")))
+    content = content.select("path", F.lit("content").alias("kind"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
+                             F.lit(False).alias("folder"), changed(F.col("modificationTime")).alias("changed_ms"))
+    both = index.unionByName(content)
+    return both.select(F.regexp_extract("path", r"(scp-[^/]+)/items/", 1).alias("snapshot"), "kind", "file", "folder", "changed_ms")
+
+
+def ready_snapshots(spark: SparkSession, raw_root: str, settle_seconds: int = 300) -> DataFrame:
+    """Streaming (snapshot, reason, n_named, n_arrived): each snapshot once, when it is due."""
+    return arrivals(spark, raw_root).groupBy("snapshot").transformWithStateInPandas(
+        Arrivals(settle_seconds), READY_SCHEMA, "Append", "ProcessingTime")
 
 
 def sync_snapshot(spark: SparkSession, raw_root: str, table_root: str, snapshot: str,
                   table: str = "items", staging_dir: str | None = None) -> dict | None:
-    """Import (with the staged texts), diff and publish one snapshot; None if
-    already published."""
+    """Import (with the staged texts), publish and diff one snapshot; None if
+    it is published and recorded already. The diff compares two published
+    versions, so that only the import and the count of errors read the content."""
     store = TableStore(spark, table_root)
-    commit = S.commit_of(F.lit(snapshot))
-    commit_s = spark.range(1).select(commit.alias("c")).first()["c"]
-    done = store.versions(table).where(F.col("dataset_commit") == F.lit(commit_s)).limit(1).count() > 0
-    if done:
+    commit = spark.range(1).select(S.commit_of(F.lit(snapshot)).alias("c")).first()["c"]
+    known = store.versions(table).where(F.col("dataset_commit").eqNullSafe(F.lit(commit))).select("version").first()
+    if known is not None and sync_log(spark, table_root).where(F.col("version") == known["version"]).limit(1).count():
         return None
     t0 = dt.datetime.now()
     res = import_items(spark, raw_root, staging_dir, snapshot=snapshot)
+    # known already: published by a run that ended before its record
+    version = store.publish(res.items, table, commit) if known is None else known["version"]
+    errors = res.status.where("status = 'error'").count()
+    new = store.read(table, version).select("link", "content_sha1")
+    before = store.versions(table).where(F.col("version") < version).agg(F.max("version")).first()[0]
+    old = store.read(table, before).select("link", "content_sha1") if before is not None else new.limit(0)
     counts = {"added": 0, "updated": 0, "unchanged": 0, "removed": 0}
-    cur = store.current_version(table)
-    if cur is not None:
-        old = store.read(table, cur).select("link", "content_sha1")
-        d = snapshot_diff(old, res.items.select("link", "content_sha1"))
-        counts.update({r["state"]: r["n_items"] for r in sync_summary(d).collect()})
-    else:
-        counts["added"] = res.items.count()
-    errors = res.status.where(F.col("status") == "error").count()
-    version = store.publish(res.items, table, commit_s)
+    counts.update({r["state"]: r["n_items"] for r in sync_summary(snapshot_diff(old, new)).collect()})
     ms = int((dt.datetime.now() - t0).total_seconds() * 1000)
-    rec = {"snapshot": snapshot, "dataset_commit": commit_s, "version": version, **counts,
+    rec = {"snapshot": snapshot, "dataset_commit": commit, "version": version, **counts,
            "errors": errors, "processing_time_ms": ms, "synced_at": dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)}
     spark.createDataFrame([rec], SYNC_SCHEMA).coalesce(1).write.mode("append").parquet(
         f"{table_root.rstrip('/')}/_syncs")
@@ -97,30 +177,40 @@ def sync_stream(spark: SparkSession, raw_root: str, table_root: str, checkpoint:
                 available_now: bool = True, processing_time: str | None = None, settle_seconds: int = 300,
                 staging_dir: str | None = None):
     """Start the stream; returns the StreamingQuery (``awaitTermination`` it
-    for an ``availableNow`` run)."""
+    for an ``availableNow`` run). Timers fire in every batch of a running
+    stream, and at the start of each ``availableNow`` run."""
     checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "sync_stream")
-    files = (spark.readStream.format("text").option("wholetext", "true")
-             .option("pathGlobFilter", "*.json")
-             .load(f"{raw_root.rstrip('/')}/scp-*/items/")
-             .select(F.col("_metadata.file_path").alias("path")))
+    ship_package(spark)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        # Every snapshot not yet published is looked at again, not only those
-        # of this batch: a folder that has become quiet meanwhile is due.
-        done = TableStore(spark, table_root).versions("items").select("dataset_commit")
-        due = S.snapshots(spark, raw_root).select("snapshot", "dataset_commit").distinct()
-        due = due.join(done, due["dataset_commit"].eqNullSafe(done["dataset_commit"]), "left_anti")
-        for snap in sorted(r["snapshot"] for r in due.collect()):
-            if snapshot_complete(spark, raw_root, snap, settle_seconds):
-                sync_snapshot(spark, raw_root, table_root, snap, staging_dir=staging_dir)
-
-    w = files.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-    if available_now:
-        w = w.trigger(availableNow=True)
-    elif processing_time:
-        w = w.trigger(processingTime=processing_time)
-    return w.start()
+        # the snapshots that became due in this batch, each a publish of its own, oldest first
+        for r in sorted(batch.collect(), key=lambda r: r["snapshot"]):
+            sync_snapshot(spark, raw_root, table_root, r["snapshot"], staging_dir=staging_dir)
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STATE_STORE)  # the operator's timers and maps need it; read when the stream starts
+    try:
+        w = ready_snapshots(spark, raw_root, settle_seconds).writeStream.outputMode("append")
+        w = w.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+        if available_now:
+            w = w.trigger(availableNow=True)
+        elif processing_time:
+            w = w.trigger(processingTime=processing_time)
+        return w.start()
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def sync_log(spark: SparkSession, table_root: str) -> DataFrame:
-    return spark.read.schema(SYNC_SCHEMA).parquet(f"{table_root.rstrip('/')}/_syncs")
+    """Every sync's record; no rows before the first."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.schema(SYNC_SCHEMA).parquet(f"{table_root.rstrip('/')}/_syncs")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SYNC_SCHEMA)
