@@ -105,6 +105,19 @@ def json_row(df) -> Column:
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
 
 
+HISTORY_TYPE = "array<struct<author:string,date:string,comment:string>>"
+
+
+def parse_history(c) -> tuple[Column, Column]:
+    """I8: (parsed, raw) of a history text: the list of edits, or, where the
+    text is no JSON list of objects, the text itself; one of both is null."""
+    x = _col(c)
+    objects = F.from_json(x, "array<string>")
+    is_list = F.ltrim(x).startswith("[") & objects.isNotNull() & F.forall(objects, lambda e: F.json_object_keys(e).isNotNull())
+    ok = F.coalesce(is_list, F.lit(False))
+    return F.when(ok, F.from_json(x, HISTORY_TYPE)), F.when(~ok, x)
+
+
 # Frontmatter block = first line '---' (padded), lazily up to the next
 # '---' line. Applied before a Python-like strip.
 FRONTMATTER_RE = r"(?s)\A[ \t]*---[ \t]*\r?\n(?:.*?\n)??[ \t]*---[ \t]*\r?(?:\n|\z)"

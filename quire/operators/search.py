@@ -1,7 +1,8 @@
 """K1 search: filters, ordering, keyset pages (K1a) and BM25 ranking.
 
-All filters are plain predicates on the item table so that Catalyst pushes
-``series`` / ``rating`` into the parquet scan; the tag test is an array
+All filters are plain predicates on the item table: on a published table
+Catalyst pushes ``series`` / ``rating`` into the parquet scan (on the item view
+of the driver tables, whose columns are computed, nothing can be pushed); the tag test is an array
 expression evaluated right after the scan. Pages are a global ordered limit
 (``TakeOrderedAndProject``): every partition keeps its own top rows and only
 those meet in one place, so the cost of a page does not grow with the table.
@@ -37,18 +38,24 @@ def tag_predicate(tags, mode: str = "all", column: str = "tags") -> Column:
     raise ValueError(f"tag mode must be 'all' or 'any', not {mode!r}")
 
 
-def filter_items(items: DataFrame, tags=None, series: str | None = None,
-                 min_rating: int | None = 0, tag_mode: str = "all") -> DataFrame:
-    """K1 filters: series equality, rating >= min_rating (default 0, as in the
-    catalog signature, so negative ratings are hidden), all (or any) tags."""
-    df = items
+def matches(tags=None, series: str | None = None, min_rating: int | None = 0, tag_mode: str = "all") -> Column:
+    """K1 filters as one condition: series equality, rating >= min_rating
+    (default 0, as in the catalog signature, so negative ratings are hidden),
+    all (or any) tags."""
+    out = F.lit(True)
     if series is not None:
-        df = df.where(F.col("series") == F.lit(series))
+        out = out & (F.col("series") == F.lit(series))
     if min_rating is not None:
-        df = df.where(F.col("rating") >= F.lit(int(min_rating)))
+        out = out & (F.col("rating") >= F.lit(int(min_rating)))
     if tags:
-        df = df.where(tag_predicate(list(tags), tag_mode))
-    return df
+        out = out & tag_predicate(list(tags), tag_mode)
+    return out
+
+
+def filter_items(items: DataFrame, tags=None, series: str | None = None,
+                 min_rating: int | None = 0, tag_mode: str = "all") -> DataFrame:
+    """The items that ``matches`` holds for."""
+    return items.where(matches(tags, series, min_rating, tag_mode))
 
 
 def hits(items: DataFrame, *more: str) -> DataFrame:
@@ -183,9 +190,11 @@ def bm25_topk(post: DataFrame, queries: DataFrame, k: int, key: str = "link",
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "link", text: Column | None = None,
                 k1: float = BM25_K1, b: float = BM25_B, broadcast_limit: int = 1_000_000,
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, keep: Column | None = None) -> DataFrame:
     """(query_id, key, score) for every document sharing a term with a query,
-    computed without a prebuilt index (same scores as ``bm25_topk``).
+    computed without a prebuilt index (same scores as ``bm25_topk``). With
+    ``keep`` only documents for which it is true are scored; the corpus
+    statistics are those of all.
 
     Plan shape (one shuffle of the corpus side, and only of query-term tokens):
       tokens per document -> explode -> semi join with the query vocabulary
@@ -198,8 +207,9 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "link", text: Co
       per-document lengths.
     """
     text = text if text is not None else F.col("text")
-    toks = docs.select(F.col(key), tokens(text).alias("toks")).select(
-        key, "toks", F.size("toks").alias("dl")).where(F.col("dl") > 0)
+    keep = F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(True)
+    toks = docs.select(F.col(key), tokens(text).alias("toks"), keep.alias("keep")).select(
+        key, "toks", F.size("toks").alias("dl"), "keep").where(F.col("dl") > 0)
     stats = toks.select(F.struct(F.count(F.lit(1)).cast("double").alias("n"),
                                  F.avg("dl").alias("avgdl"))).scalar()
     qterms = _query_terms(queries)
@@ -209,14 +219,14 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "link", text: Co
     # (query, document) fan-out after them is heavy, and AQE would otherwise
     # coalesce them into a handful of tasks.
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hits_ = (toks.select(key, "dl", F.explode("toks").alias("term")).join(vocab, "term", "left_semi")
+    hits_ = (toks.select(key, "dl", "keep", F.explode("toks").alias("term")).join(vocab, "term", "left_semi")
              .repartition(n, key))
-    post = hits_.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    post = hits_.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), F.first("keep").alias("keep"))
     df = _hinted(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), small)
     idf = F.log(F.lit(1.0) + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / stats["avgdl"])
     part = idf * F.col("tf") * F.lit(k1 + 1.0) / norm * F.col("qtf")
-    return (post.join(df, "term").join(qterms, "term").groupBy("query_id", key)
+    return (post.where("keep").join(df, "term").join(qterms, "term").groupBy("query_id", key)
             .agg(F.round(F.sum(part.cast("double")), 6).alias("score")))
 
 
@@ -231,20 +241,38 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "link",
 
 def ranked_results(items: DataFrame, queries: DataFrame, tags=None, series=None, min_rating=0,
                    tag_mode: str = "all", materialize: bool = False) -> DataFrame:
-    """K1 with a text query: every matching item with its BM25 score. BM25
-    runs over the whole catalog (corpus statistics do not depend on the
-    filters); the filters apply to the ranked list. ``materialize`` writes the
-    list once to ``spark.checkpoint.dir`` (reliable checkpoint) so that every
-    page of the same query reads it instead of ranking the catalog again."""
-    scored = bm25_scores(items, queries, "link", search_text(items)).select("link", "score")
-    out = filter_items(items, tags, series, min_rating, tag_mode).join(scored, "link")
-    out = hits(out, "score")
+    """K1 with text queries: (query_id, the columns of a hit, score) of every
+    matching item. BM25's statistics are those of the whole catalog (they do
+    not depend on the filters); only items that pass the filters are scored.
+    ``materialize`` writes the list once (reliable checkpoint), so that every
+    page of the same queries reads it instead of ranking the catalog again."""
+    keep = matches(tags, series, min_rating, tag_mode)
+    scored = bm25_scores(items, queries, "link", search_text(items), keep=keep)
+    out = hits(items.join(scored, "link"), "query_id", "score")
     if materialize:
         from ..session import cut_lineage
         out = cut_lineage(out)
     return out
 
 
+def page_of_each(results: DataFrame, limit: int | None = None, cursors: DataFrame | None = None) -> DataFrame:
+    """One keyset page of every query's ranked list, with ``rank`` in the page
+    (from 1): the first, or those after ``cursors`` (``cursors_of`` the pages
+    before; a query without one has no further page). All queries' pages are
+    one job; a query matching everything sends ``limit`` rows a task."""
+    df = results
+    if cursors is not None:
+        c = cursors.select("query_id", F.col("score").alias("_score"), F.col("link").alias("_link"))
+        df = df.join(c, "query_id").where((F.col("score") < F.col("_score")) | ((F.col("score") == F.col("_score")) & (F.col("link") > F.col("_link"))))
+        df = df.drop("_score", "_link")
+    return df.withColumn("rank", F.row_number().over(_rank_window("link"))).where(F.col("rank") <= page_size(limit))
+
+
+def cursors_of(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """(query_id, score, link) of the last row of every full page."""
+    return pages.where(F.col("rank") == page_size(limit)).select("query_id", "score", "link")
+
+
 def ranked_page_of(results: DataFrame, limit: int | None = None, cursor: str | None = None) -> DataFrame:
     """One keyset page of a ranked list, ordered by (score desc, link asc);
     the cursor is ``{"score": s, "link": l}`` of the previous page's last row."""

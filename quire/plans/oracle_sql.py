@@ -4,6 +4,8 @@ The item view is the portable SQL of FIXTURES.md §3 (same rows in Spark and
 DuckDB); every oracle query starts from these CTEs.
 """
 
+from .summaries import PROMPT_HEAD
+
 ITEMS_CTE = """
 base as (
   select doc_id, 'SCP-' || case when doc_id < 1000 then lpad(cast(doc_id as varchar), 3, '0')
@@ -45,7 +47,12 @@ item_history as (
 item_hubs as (
   select doc_id as scp_number, 'hub-' || source as hub from documents),
 items_t as (
-  select i.*, coalesce(t.tags, []) as tags from items i left join tag_arrays t using (scp_number))
+  select i.*, coalesce(t.tags, []) as tags from items i left join tag_arrays t using (scp_number)),
+stored as (
+  select i.scp_number, b.markdown, c.summary from items i
+  left join (select item_id, min(text) as markdown from benchmark group by item_id) b on b.item_id = i.scp_number
+  left join (select conv_id, first(text order by turn, text) as summary from conversations where role = 'assistant' group by conv_id) c
+    on c.conv_id = i.scp_number)
 """
 
 
@@ -151,18 +158,17 @@ SQL["sample_seeded"] = q("select scp as label from items order by md5('42:' || s
 
 SQL["invalid_ids"] = q(f""",
 req as (select distinct cast(l_partkey as varchar) as request from lineitem),
-missing as (select request, {norm_sql('trim(request)')} as normalized from req),
-m2 as (select request, normalized, {num_sql('normalized')} as number from missing
-       where normalized not in (select scp from items)),
-cand as (select request, number, unnest(generate_series(number - 5, number + 5)) as scp_number
-         from m2 where number is not null),
-near as (select c.request, c.scp_number, i.scp, abs(c.scp_number - c.number) as dist
-         from cand c join items i on i.scp_number = c.scp_number),
-ranked as (select *, row_number() over (partition by request order by dist, scp_number, scp) as rn from near),
-top as (select request, string_agg(scp, ',' order by rn) as suggestions from ranked where rn <= 3 group by request)
+norm as (select request, {norm_sql('trim(request)')} as normalized from req),
+missing as (select request, normalized, {num_sql('normalized')} as number from norm where normalized not in (select scp from items)),
+placed as (select scp, scp_number, row_number() over (order by scp_number, scp) as place from items),
+upto as (select m.request, m.number, count(p.place) as place
+         from missing m left join placed p on p.scp_number <= m.number where m.number is not null group by m.request, m.number),
+near as (select u.request, p.scp, row_number() over (partition by u.request order by abs(p.scp_number - u.number), p.scp_number, p.scp) as rn
+         from upto u join placed p on p.place between u.place - 2 and u.place + 3),
+top as (select request, string_agg(scp, ',' order by rn) as suggestions from near where rn <= 3 group by request)
 select m.request, 'ITEM_NOT_FOUND' as code, 'Item ' || m.normalized || ' not found in dataset' as message,
        t.suggestions
-from m2 m left join top t using (request)
+from missing m left join top t using (request)
 """)
 
 SQL["shard_paths"] = q("," + ID_INPUTS + """,
@@ -209,17 +215,17 @@ SQL["search_page_2"] = q(f"select {HIT_SELECT} from items_t order by rating desc
 
 PRIMARY = "coalesce(nullif(cast(null as varchar), ''), nullif(raw_content, ''), raw_source)"
 
-SQL["content_fallback"] = q(f"""
+SQL["content_fallback"] = q("""
 select link,
-       case when nullif(raw_content, '') is not null then 'raw_content'
+       case when markdown <> '' then 'markdown' when raw_content <> '' then 'raw_content'
             when raw_source is not null then 'raw_source' end as primary_source,
-       sha1({PRIMARY}) as primary_sha1,
-       sha1(coalesce(nullif(raw_content, ''), raw_source)) as summary_sha1,
-       coalesce(nullif(raw_content, ''), nullif(raw_source, '')) is not null as has_content,
+       sha1(coalesce(nullif(markdown, ''), nullif(raw_content, ''), raw_source)) as primary_sha1,
+       sha1(coalesce(nullif(summary, ''), nullif(markdown, ''), nullif(raw_content, ''), raw_source)) as summary_sha1,
+       coalesce(nullif(summary, ''), nullif(markdown, ''), nullif(raw_content, ''), nullif(raw_source, '')) is not null as has_content,
        sha1(case when regexp_replace(coalesce(nullif(raw_content, ''), raw_source), '^\\s+|\\s+$', '', 'g') <> ''
                  then coalesce(nullif(raw_content, ''), raw_source) end) as html_sha1,
-       true as fallback
-from items
+       coalesce(markdown, '') = '' as fallback
+from items join stored using (scp_number)
 """)
 
 SQL["content_hashes"] = q("""
@@ -235,8 +241,8 @@ select i.link, i.title, i.url,
          list_concat(case when i.creator is not null then [i.creator] else [] end, coalesce(ha.h, [])))), ',') as authors,
        'CC BY-SA 3.0' as license,
        'Content from the SCP Wiki is licensed under CC BY-SA 3.0. Derivatives must be shared under the same license.'
-         as notice, coalesce(length({PRIMARY}), 0) < 100 as short
-from items i left join ha using (scp_number)
+         as notice, coalesce(length(coalesce(nullif(s.markdown, ''), nullif(raw_content, ''), raw_source)), 0) < 100 as short
+from items i left join ha using (scp_number) join stored s using (scp_number)
 """)
 
 TOKENS = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
@@ -404,28 +410,6 @@ b as (select link, regexp_replace(regexp_replace(doc, {lit(FM_RE)}, ''), '^\\s+|
 select link, sha1(body) as body_sha1, length(body) as body_len from b
 """)
 
-PROMPT_HEAD = ("Please provide a concise, informative summary of this SCP Foundation item. Focus on:\n"
-               "1. What the object/entity is\n2. Its key anomalous properties\n"
-               "3. Its containment class and basic containment procedures\n"
-               "4. Any notable risks or special characteristics\n\n"
-               "Keep the summary between 100-200 words and write it in a clear, accessible style.\n\n"
-               "SCP Item: ")
-
-SQL["summary_worklist"] = q(f""",
-w as (select link, scp, title,
-             case when nullif(raw_content, '') is not null then 'raw_html'
-                  when nullif(raw_source, '') is not null then 'raw_source' end as source,
-             coalesce(nullif(raw_content, ''), nullif(raw_source, '')) as text
-      from items where scp_number not in (select doc_id from labels)),
-n as (select *, ceil(length(text) / 102000.0)::bigint as n_parts from w where source is not null)
-select link, source, part, n_parts,
-       sha1({lit(PROMPT_HEAD)} || scp || ' - ' || coalesce(title, scp) || chr(10) || chr(10) || 'Content:' || chr(10)
-            || substr(text, (part - 1) * 102000 + 1, 102000) || chr(10)) as prompt_sha1,
-       length({lit(PROMPT_HEAD)} || scp || ' - ' || coalesce(title, scp) || chr(10) || chr(10) || 'Content:'
-            || chr(10) || substr(text, (part - 1) * 102000 + 1, 102000) || chr(10)) as prompt_len
-from n, unnest(range(1, n_parts + 1)) t(part)
-""")
-
 NUM_STRICT = ("(case when regexp_matches(regexp_replace(trim(scp), '^[Ss][Cc][Pp]-', ''), '^[+-]?[0-9]+$') "
               "then cast(regexp_replace(trim(scp), '^[Ss][Cc][Pp]-', '') as bigint) end)")
 RAW = f""",
@@ -554,17 +538,17 @@ dl as (select link, len(toks) as dl from toks where len(toks) > 0),
 post as (select link, term, count(*) as tf from (select link, unnest(toks) as term from toks) group by link, term),
 stats as (select count(*) as n, avg(dl) as avgdl from dl),
 dfs as (select term, count(*) as df from post group by term),
-q1 as (select text from benchmark order by item_id limit 1),
-qt as (select term, count(*) as qtf from (select unnest({TOKENS.format(x='text')}) as term from q1) group by term),
+qt as (select query_id, term, count(*) as qtf
+       from (select item_id as query_id, unnest({TOKENS.format(x='text')}) as term from benchmark) group by query_id, term),
+mine as (select * from items_t where series = 'series-1' and list_contains(tags, 'lang-en')),
 scored as (
-  select p.link,
+  select qt.query_id, p.link,
          round(sum(ln(1 + (stats.n - dfs.df + 0.5) / (dfs.df + 0.5)) * p.tf * 2.2
              / (p.tf + 1.2 * (0.25 + 0.75 * dl.dl / stats.avgdl)) * qt.qtf), 6) as score
   from qt join post p using (term) join dfs using (term) join dl using (link) cross join stats
-  group by p.link)
-select {HIT_SELECT}, s.score from items_t join scored s using (link)
-where series = 'series-1' and list_contains(tags, 'lang-en')
-order by s.score desc, link limit 25 offset 25
+  where p.link in (select link from mine) group by qt.query_id, p.link),
+listed as (select *, row_number() over (partition by query_id order by score desc, link) as place from scored)
+select {HIT_SELECT}, query_id, score, place - 25 as rank from mine join listed using (link) where place between 26 and 50
 """)
 
 SQL["catalog_profile"] = q("""
@@ -581,10 +565,10 @@ _head, _tail = SQL["lookup_many"].split("select request, link, match_rank from m
 SQL["item_content"] = (_head.rstrip().rstrip(",") + """,
 best as (select request, link from m
 qualify""" + _tail.rstrip() + """)
-select b.request, i.link, i.url, i.content_sha1, true as fallback,
-       sha1(coalesce(nullif(i.raw_content, ''), i.raw_source)) as best_sha1,
-       sha1(coalesce(nullif(i.raw_content, ''), i.raw_source)) as summary_sha1
-from best b join items i using (link)
+select b.request, i.link, i.url, i.content_sha1, coalesce(s.markdown, '') = '' as fallback,
+       sha1(coalesce(nullif(s.markdown, ''), nullif(i.raw_content, ''), i.raw_source)) as best_sha1,
+       sha1(coalesce(nullif(s.summary, ''), nullif(s.markdown, ''), nullif(i.raw_content, ''), i.raw_source)) as summary_sha1
+from best b join items i using (link) join stored s using (scp_number)
 """)
 
 SQL["item_metadata"] = (_head.rstrip().rstrip(",") + """,
@@ -677,15 +661,16 @@ from pages left join page_md using (page_id)
 """
 
 SQL["export_markdown"] = q(ITEMS_FULL + f""", {PAGES_MD},
-e as (select f.*, coalesce(nullif(m.md, ''), '') <> '' as has_md, m.md, nullif(f.raw_content, '') is not null as has_html,
+e as (select f.*, st.markdown as kept, coalesce(nullif(m.md, ''), '') <> '' as has_md, m.md, nullif(f.raw_content, '') is not null as has_html,
              array_to_string(string_split(lower(regexp_replace(f.scp, '^SCP-', '')), ''), '/') as shard
-      from items_f f left join page_md m on m.page_id = f.scp_number),
-d as (select link, 'markdown/' || shard || '/' || link || '.md' as path,
-             case when has_html and has_md then 'converted' when has_html then 'raw_html'
+      from items_f f join stored st using (scp_number) left join page_md m on m.page_id = f.scp_number),
+d as (select link, kept, 'markdown/' || shard || '/' || link || '.md' as path,
+             case when kept <> '' then 'markdown' when has_html and has_md then 'converted' when has_html then 'raw_html'
                   when nullif(raw_source, '') is not null then 'raw_source' end as source,
              {FRONTMATTER} as fm, title, md, raw_content, raw_source from e),
 b as (select link, path, source, concat_ws(chr(10), fm, '', '# ' || title, '', '## Content', '',
-             case source when 'converted' then '*Note: Content converted from HTML to Markdown*' || chr(10) || chr(10) || md
+             case source when 'markdown' then kept
+                  when 'converted' then '*Note: Content converted from HTML to Markdown*' || chr(10) || chr(10) || md
                   when 'raw_html' then '*Note: Content displayed as raw HTML*' || chr(10) || chr(10) || '```html' || chr(10)
                                        || raw_content || chr(10) || '```'
                   when 'raw_source' then '*Note: Content displayed as raw source*' || chr(10) || chr(10) || '```' || chr(10)
@@ -723,3 +708,90 @@ select i.link, i.scp, i.scp_number, i.title, i.series, coalesce(i.rating, 0) as
        true as has_file, 'bbbbbbbbbbbb' as dataset_commit, (select count(*) from items where title is not null) as total_count
 from items i where i.title is not null
 """)
+
+SQL["summary_worklist"] = q(f""",
+{PAGES_MD},
+w as (select i.link, i.scp, i.title, nullif(s.markdown, '') as kept, nullif(m.md, '') as md, nullif(i.raw_content, '') as html,
+             nullif(i.raw_source, '') as raw
+      from items i join stored s using (scp_number) left join page_md m on m.page_id = i.scp_number
+      where i.scp_number not in (select doc_id from labels)),
+v as (select link, scp, title, case when kept is not null then 'markdown' when html is not null and md is not null then 'converted'
+                                    when html is not null then 'raw_html' when raw is not null then 'raw_source' end as source,
+             coalesce(kept, case when html is not null then md end, html, raw) as text from w),
+n as (select *, ceil(length(text) / 102000.0)::bigint as n_parts from v where source is not null),
+p as (select link, source, part, n_parts, {lit(PROMPT_HEAD)} || scp || ' - ' || coalesce(title, scp) || chr(10) || chr(10) || 'Content:' || chr(10)
+             || substr(text, (part - 1) * 102000 + 1, 102000) || chr(10) as prompt
+      from n, unnest(range(1, n_parts + 1)) t(part))
+select link, source, part, n_parts, sha1(prompt) as prompt_sha1, length(prompt) as prompt_len from p
+""")
+
+SQL["related_with_hubs"] = q(""",
+refs as (select i.link, r.ref_link from items i join item_references r using (scp_number)),
+hubs as (select i.link, h.hub from items i join item_hubs h using (scp_number)),
+seeds as (select link as seed from items where series = 'joke'),
+e as (select s.seed, r.ref_link as link, 'references' as relation
+      from seeds s join refs r on r.link = s.seed join items i on i.link = r.ref_link
+      union all
+      select s.seed, r.link, 'referenced_by' from seeds s join refs r on r.ref_link = s.seed
+      union all
+      select s.seed, o.link, 'shared_hub' from seeds s join hubs h on h.link = s.seed join hubs o on o.hub = h.hub and o.link <> s.seed),
+g as (select seed, link, count(*) as n_relations, array_to_string(list_sort(list(distinct relation)), ',') as relations from e group by seed, link),
+r as (select g.*, row_number() over (partition by g.seed order by n_relations desc, i.rating desc nulls last, g.link) as pos
+      from g join items i using (link))
+select seed, pos, link, n_relations, relations from r where pos <= 25
+""")
+
+SQL["history_parse"] = q(f""",
+h as (select scp_number, count(*) as n, string_agg(concat_ws('|', author, {iso_sql('cast("date" as timestamp)')}, comment), ',' order by seq) as h
+      from item_history group by scp_number)
+select i.link, coalesce(h.n, 0) as n_edits, cast(null as varchar) as raw, sha1(coalesce(h.h, '')) as edits_sha1
+from items i left join h using (scp_number)
+union all select 'event-' || event_id, null, props, null from events
+""")
+
+SQL["import_large_maps"] = q(f"""
+select i.scp as label, i.link, i.title, i.series, i.creator, {iso_sql('cast(i.created_at as timestamp)')} as created_at,
+       case when i.raw_content <> '' then i.content_sha1 end as content_sha1, sha1(i.raw_source) as raw_source_sha1,
+       (select string_agg(ref_link, ',' order by ref_link) from item_references r where r.scp_number = i.scp_number) as refs,
+       (select count(*) from item_history h where h.scp_number = i.scp_number) as n_history, 'cccccccccccc' as dataset_commit
+from items i
+""")
+
+SQL["sync_stream"] = q(""",
+refs as (select i.link, r.ref_link from items i join item_references r using (scp_number)),
+old as (select i.link, i.scp_number, i.title, case when i.raw_content <> '' then sha1(
+               i.raw_content || case when l.quality = 0 then '<p>old</p>' else '' end) end as content_sha1
+        from items i join labels l on l.doc_id = i.scp_number where i.title is not null
+        union all
+        select distinct ref_link, cast(regexp_extract(ref_link, '[0-9]+') as bigint), ref_link, cast(null as varchar)
+        from refs where ref_link not in (select link from items)),
+new as (select link, scp_number, title, case when raw_content <> '' then content_sha1 end as content_sha1 from items where title is not null),
+d as (select case when o.link is null then 'added' when n.link is null then 'removed'
+                  when o.content_sha1 is distinct from n.content_sha1 then 'updated' else 'unchanged' end as state
+      from old o full outer join new n on o.link = n.link),
+c as (select count(*) filter (state = 'added') as added, count(*) filter (state = 'updated') as updated,
+             count(*) filter (state = 'unchanged') as unchanged, count(*) filter (state = 'removed') as removed from d)
+select 1 as version, 'scp-1700000000-aaaaaaaaaaaa' as snapshot, 'aaaaaaaaaaaa' as dataset_commit, link, scp_number, title, content_sha1,
+       (select count(*) from old) as added, 0 as updated, 0 as unchanged, 0 as removed, 0 as errors from old
+union all
+select 2, 'scp-1800000000-bbbbbbbbbbbb', 'bbbbbbbbbbbb', link, scp_number, title, content_sha1, added, updated, unchanged, removed, 0 from new, c
+""")
+
+SQL["staged_round_trip"] = q(f""",
+{PAGES_MD},
+w as (select i.link, i.scp, i.scp_number, i.title, i.raw_content as html, i.raw_source, nullif(m.md, '') as md
+      from items i left join page_md m on m.page_id = i.scp_number where i.title is not null),
+t as (select link, coalesce(nullif(html, ''), nullif(raw_source, '')) as text, scp, title from w
+      where scp_number not in (select doc_id from labels)),
+p as (select link, part, {lit(PROMPT_HEAD)} || scp || ' - ' || coalesce(title, scp) || chr(10) || chr(10) || 'Content:' || chr(10)
+             || substr(text, (part - 1) * 102000 + 1, 102000) || chr(10) as prompt
+      from t, unnest(range(1, ceil(length(text) / 102000.0)::bigint + 1)) u(part) where text is not null),
+s as (select link, string_agg('Summary of ' || length(prompt) || ' characters, ' || md5(prompt), chr(10) || chr(10) order by part) as summary
+      from p group by link),
+b as (select w.link, w.raw_source, s.summary, case when html is not null then {STRIP.format("""concat_ws(chr(10), '# ' || title, '', '## Content', '',
+             case when html <> '' and md is not null then '*Note: Content converted from HTML to Markdown*' || chr(10) || chr(10) || md
+                  when html <> '' then '*Note: Content displayed as raw HTML*' || chr(10) || chr(10) || '```html' || chr(10) || html || chr(10) || '```'
+                  else '*Note: Content displayed as raw source*' || chr(10) || chr(10) || '```' || chr(10) || raw_source || chr(10) || '```' end)""")} end as markdown
+      from w left join s using (link))
+select link, sha1(markdown) as markdown_sha1, length(markdown) as markdown_len, summary, sha1(raw_source) as raw_source_sha1 from b
+""")

@@ -224,8 +224,7 @@ def search_page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _content_items(spark, sf_dir):
     core = item_view.item_core(spark, sf_dir, with_text=True)
-    return (core.withColumn("markdown", F.lit(None).cast("string"))
-            .withColumn("summary", F.lit(None).cast("string")))
+    return core.join(item_view.stored_texts(spark, sf_dir), "scp_number", "left")
 
 
 @register
@@ -318,6 +317,17 @@ def related_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.size("tags") > 0, F.array_join("tags", ",")).alias("tags"))
 
 
+@register
+def related_with_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4 with hubs: the first 25 related items of every joke item, by
+    references out and in and shared hubs together."""
+    from ..operators.related import related_list
+    items = item_view.item_core(spark, sf_dir, with_text=False).select("scp_number", "link", "rating")
+    hubs = item_view.item_hubs(spark, sf_dir).join(items.select("scp_number", "link"), "scp_number").select("link", "hub")
+    rel = related_list(_joke_seeds(spark, sf_dir), _refs(spark, sf_dir), hubs, items.select("link", "rating"), 25)
+    return rel.withColumn("relations", F.array_join("relations", ","))
+
+
 @register
 def related_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4 shared hubs of the joke items, with member counts."""
@@ -447,6 +457,21 @@ def dump_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fields_of(dump_jsonl(item_view.build_items(spark, sf_dir)), "json")
 
 
+@register
+def history_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item's history written as JSON text and read back, and
+    every event's properties read as a history text, which they are not."""
+    from ..functions.content import iso_format, parse_history
+    it = item_view.build_items(spark, sf_dir, tags=False, references=False)
+    edits = F.transform("history", lambda h: F.struct(h["author"].alias("author"), iso_format(h["date"]).alias("date"), h["comment"].alias("comment")))
+    texts = it.select("link", F.to_json(edits, {"ignoreNullFields": "false"}).alias("text"))
+    events = item_view.read_table(spark, sf_dir, "events", ["event_id", "props"])
+    texts = texts.unionByName(events.select(F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("link"), F.col("props").alias("text")))
+    parsed, raw = parse_history("text")
+    return texts.select("link", F.size(parsed).cast("bigint").alias("n_edits"), raw.alias("raw"), F.sha1(F.array_join(F.transform(
+        parsed, lambda e: F.concat_ws("|", e["author"], e["date"], e["comment"])), ",")).alias("edits_sha1"))
+
+
 @register
 def item_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2 / K8 by identifier: the metadata of the best-matching item of each
@@ -488,9 +513,11 @@ def _existing_summaries(spark, sf_dir):
 
 @register
 def summary_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of every item without a staged summary, from its
+    stored Markdown, its converted page, or its source."""
     from ..plans.summaries import worklist
     it = _content_items(spark, sf_dir)
-    wl = worklist(it, _existing_summaries(spark, sf_dir))
+    wl = worklist(it, _existing_summaries(spark, sf_dir), convert_html=True)
     return wl.select("link", "source", "part", "n_parts", F.sha1("prompt").alias("prompt_sha1"),
                      F.length("prompt").cast("bigint").alias("prompt_len"))
 
@@ -618,10 +645,11 @@ def pages_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every item's Markdown file (HTML converted by the page job)."""
+    """Every item's Markdown file: stored Markdown, or its page
+    converted by the page job, or its source."""
     from ..plans.exports import markdown_exports
-    it = item_view.build_items(spark, sf_dir, history=False)
-    ex = markdown_exports(it)
+    it = item_view.build_items(spark, sf_dir, history=False).drop("markdown", "summary")
+    ex = markdown_exports(it.join(item_view.stored_texts(spark, sf_dir), "scp_number", "left"))
     return ex.select("link", "path", "source", F.length("body").alias("body_len"),
                      F.sha1("body").alias("body_sha1"))
 
@@ -635,18 +663,15 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def search_ranked_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1 + K1a with a text query: the first benchmark passage as the query,
-    series-1 items tagged lang-en, second keyset page of 25 by BM25 score."""
+    """K1 + K1a with text queries: for every benchmark passage the second
+    keyset page (25 items) of the series-1 items tagged lang-en by BM25 score."""
     items = (_items_with_tags(spark, sf_dir, with_text=True, with_meta=True)
              .withColumn("markdown", F.lit(None).cast("string")))
     bench = item_view.read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
-    query = bench.orderBy("item_id").limit(1).select(F.lit(0).cast("bigint").alias("query_id"), "text")
-    ranked = search.ranked_results(items, query, tags=["lang-en"], series="series-1", min_rating=None,
-                                   materialize=True)
-    p1 = search.ranked_page_of(ranked, 25)
-    cur = search.next_cursor(p1, 25, keys=("score", "link"))
-    page = search.ranked_page_of(ranked, 25, cur)
-    return page.withColumn("tags", F.array_join("tags", ","))
+    queries = bench.select(F.col("item_id").alias("query_id"), "text")
+    ranked = search.ranked_results(items, queries, tags=["lang-en"], series="series-1", min_rating=None, materialize=True)
+    page = search.page_of_each(ranked, 25, search.cursors_of(search.page_of_each(ranked, 25), 25))
+    return page.withColumn("tags", F.array_join("tags", ",")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @register
@@ -677,27 +702,39 @@ def item_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------- A, C6-C8, L2/L3 snapshot import
 
+def _folder(spark, name: str) -> str:
+    """A new folder of the shared scratch folder."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _raw_snapshot_items(spark, sf_dir):
+    """Every item as a snapshot holds it, with its label."""
+    from ..functions.content import iso_format
+    history = F.transform("history", lambda h: F.struct(h["author"].alias("author"), iso_format(h["date"]).alias("date"),
+                                                        h["comment"].alias("comment")))
+    return item_view.build_items(spark, sf_dir).drop("content_sha1", "content_file", "dataset_commit", "domain").select(
+        F.col("scp").alias("label"), "*").withColumn("history", history).withColumn("created_at", iso_format("created_at"))
+
+
+def _labelled(spark, sf_dir):
+    return item_view.read_table(spark, sf_dir, "labels", ["doc_id", "quality"]).select(F.col("doc_id").alias("scp_number"), "quality")
+
+
 @register
 def import_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two snapshot folders (labelled items; all items) are written from the
     tables; the newer one is found, loaded, validated, published as a table
     version and read back, with the commit and the total count (K7)."""
-    import uuid
-
-    from ..functions.content import iso_format
     from ..schemas import ITEM_SCHEMA
-    from ..session import checkpoint_dir
     from ..sources import snapshots
     from .import_items import import_and_publish
     from .publish import TableStore
 
-    root = f"{checkpoint_dir(spark).rstrip('/')}/import-{uuid.uuid4().hex}"
-    history = F.transform("history", lambda h: F.struct(h["author"].alias("author"), iso_format(h["date"]).alias("date"),
-                                                        h["comment"].alias("comment")))
-    raw = item_view.build_items(spark, sf_dir).drop("content_sha1", "content_file", "dataset_commit", "domain").select(
-        F.col("scp").alias("label"), "*").withColumn("history", history).withColumn("created_at", iso_format("created_at"))
-    labelled = item_view.read_table(spark, sf_dir, "labels", ["doc_id"]).select(F.col("doc_id").alias("scp_number"))
-    snapshots.write_snapshot(raw.join(labelled, "scp_number", "left_semi"), f"{root}/raw", "scp-1700000000-aaaaaaaaaaaa")
+    root, raw = _folder(spark, "import"), _raw_snapshot_items(spark, sf_dir)
+    snapshots.write_snapshot(raw.join(_labelled(spark, sf_dir), "scp_number", "left_semi"), f"{root}/raw", "scp-1700000000-aaaaaaaaaaaa")
     snapshots.write_snapshot(raw, f"{root}/raw", "scp-1800000000-bbbbbbbbbbbb")
     import_and_publish(spark, f"{root}/raw", f"{root}/tables")
     items = TableStore(spark, f"{root}/tables").read("items", schema=ITEM_SCHEMA)
@@ -708,3 +745,92 @@ def import_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         _join_arr("references").alias("refs"), F.size("images").cast("bigint").alias("n_images"),
         F.size("history").cast("bigint").alias("n_history"), F.array_max(F.col("history.date")).alias("last_edit"),
         F.col("content_file").isNotNull().alias("has_file"), "dataset_commit", total.cast("bigint").alias("total_count"))
+
+
+@register
+def import_large_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 / A4 on the layout with one index file and one content file, maps of
+    all labels: both are read by byte ranges and joined."""
+    from ..sources import snapshots
+    root, snapshot = _folder(spark, "maps"), "scp-1800000000-cccccccccccc"
+    snapshots.write_single_maps(_raw_snapshot_items(spark, sf_dir), root, snapshot)
+    items = snapshots.load_items(spark, root)
+    return items.select("label", "link", "title", "series", "creator", "created_at", "content_sha1", F.sha1("raw_source").alias("raw_source_sha1"),
+                        _join_arr("references").alias("refs"), F.size("history").cast("bigint").alias("n_history"), "dataset_commit")
+
+
+@register
+def sync_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: two snapshots arrive in three runs of the stream. The first run
+    brings an older snapshot (labelled items, those of quality 0 with another
+    page, and an item for every slug that only references name) and half of the
+    newer one's content files; the second its other half; the third its index.
+    A run over the same folders with no state publishes nothing more. Returned
+    are the items of both published versions with their sync's record."""
+    from ..operators.related import dangling
+    from ..schemas import ITEM_SCHEMA
+    from ..sources import snapshots
+    from ..streaming.sync_stream import sync_log
+    from ..streaming.sync_stream import sync_stream as run
+    from .publish import TableStore
+
+    root, raw = _folder(spark, "sync"), _raw_snapshot_items(spark, sf_dir)
+    kept = raw.join(_labelled(spark, sf_dir), "scp_number").withColumn("raw_content", F.when(
+        F.col("quality") == 0, F.concat("raw_content", F.lit("<p>old</p>"))).otherwise(F.col("raw_content"))).drop("quality")
+    slug = F.col("ref_link")
+    gone = dangling(_refs(spark, sf_dir), raw.select("link")).select(slug).distinct().select(
+        F.upper(slug).alias("label"), slug.alias("link"), F.upper(slug).alias("scp"), F.upper(slug).alias("scp_number"), slug.alias("title"),
+        F.lit("gone").alias("series"), F.concat(F.lit("https://wiki.example.org/"), slug).alias("url"))
+    older = kept.withColumn("scp_number", F.col("scp_number").cast("string")).unionByName(gone, allowMissingColumns=True)
+    newer = "scp-1800000000-bbbbbbbbbbbb"
+    half = F.pmod(F.xxhash64("label"), F.lit(2))
+
+    def once(checkpoint: str):
+        run(spark, f"{root}/raw", f"{root}/tables", f"{root}/{checkpoint}", settle_seconds=86_400).awaitTermination()
+
+    snapshots.write_snapshot(older, f"{root}/raw", "scp-1700000000-aaaaaaaaaaaa")
+    snapshots.write_content(raw.where(half == 0), f"{root}/raw", newer)
+    once("state")
+    snapshots.write_content(raw.where(half == 1), f"{root}/raw", newer)
+    once("state")
+    snapshots.write_index(spark, f"{root}/raw", newer)
+    once("state")
+    once("no-state")
+    store, log = TableStore(spark, f"{root}/tables"), sync_log(spark, f"{root}/tables")
+    versions = [store.read("items", v, ITEM_SCHEMA).withColumn("version", F.lit(v).cast("bigint"))
+                for v in sorted(r["version"] for r in store.versions("items").select("version").collect())]
+    items = versions[0].unionByName(versions[-1]) if len(versions) > 1 else versions[0]
+    log = log.select("version", "snapshot", "added", "updated", "unchanged", "removed", "errors")
+    return items.join(log, "version").select("version", "snapshot", "dataset_commit", "link", "scp_number", "title", "content_sha1",
+                                             "added", "updated", "unchanged", "removed", "errors")
+
+
+def _stand_in_model(prompts):
+    """A pure function in place of a model."""
+    import hashlib
+    return prompts.map(lambda p: f"Summary of {len(p)} characters, {hashlib.md5(p.encode()).hexdigest()}")
+
+
+@register
+def staged_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown files of all items that have a
+    page and summary files (by a stand-in function) of all items without
+    quality labels are written as a staged tree; the snapshot is imported with
+    it, published and read back with the staged texts."""
+    from ..schemas import ITEM_SCHEMA
+    from ..sources import snapshots
+    from .exports import markdown_exports, summary_exports, write_file_tree
+    from .import_items import import_and_publish
+    from .publish import TableStore
+    from .summaries import summarize, worklist
+
+    root = _folder(spark, "staged")
+    items = item_view.build_items(spark, sf_dir, history=False)
+    write_file_tree(markdown_exports(items.where("raw_content is not null")), f"{root}/staging")
+    summaries = summarize(worklist(items, _existing_summaries(spark, sf_dir)), _stand_in_model)
+    write_file_tree(summary_exports(items, summaries), f"{root}/staging")
+    snapshots.write_snapshot(_raw_snapshot_items(spark, sf_dir), f"{root}/raw", "scp-1800000000-bbbbbbbbbbbb")
+    import_and_publish(spark, f"{root}/raw", f"{root}/tables", f"{root}/staging")
+    out = TableStore(spark, f"{root}/tables").read("items", schema=ITEM_SCHEMA)
+    return out.select("link", F.sha1("markdown").alias("markdown_sha1"), F.length("markdown").cast("bigint").alias("markdown_len"),
+                      "summary", F.sha1("raw_source").alias("raw_source_sha1"))

@@ -101,6 +101,18 @@ def item_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.concat(F.lit("hub-"), F.col("source")).alias("hub"))
 
 
+def stored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scp_number, markdown, summary): texts that are stored with an item. The
+    benchmark passage of the same number is its Markdown, the first answer of
+    the conversation of that number its summary."""
+    bench = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    markdown = bench.groupBy(F.col("item_id").alias("scp_number")).agg(F.min("text").alias("markdown"))
+    summary = conv.where(F.col("role") == "assistant").groupBy(F.col("conv_id").alias("scp_number")).agg(
+        F.min_by("text", F.struct("turn", "text")).alias("summary"))
+    return markdown.join(summary, "scp_number", "full_outer")
+
+
 def item_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scp_number, ref_link): order lines as references, part key as slug.
     Distinct per (item, slug); only orders that are items."""

@@ -27,19 +27,19 @@ from __future__ import annotations
 
 import datetime as dt
 import os
-from collections.abc import Iterator
 
-import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.diff import snapshot_diff, sync_summary
 from ..plans.import_items import import_items
 from ..plans.publish import TableStore
-from ..session import checkpoint_dir, ship_package
+from ..session import checkpoint_dir
 from ..sources import snapshots as S
+from . import state
+from .state import READY_SCHEMA, Arrivals
 
 SYNC_SCHEMA = T.StructType([
     T.StructField("snapshot", T.StringType()),
@@ -54,70 +54,7 @@ SYNC_SCHEMA = T.StructType([
     T.StructField("synced_at", T.TimestampNTZType()),
 ])
 
-READY_SCHEMA = "snapshot string, reason string, n_named long, n_arrived long"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-NAMED, ARRIVED = 1, 2
-
-
-class Arrivals(StatefulProcessor):
-    """State of one snapshot. Input rows: ``kind`` (``index`` or ``content``),
-    ``file`` (a content file named or arrived; null for an index entry that
-    names none), ``folder`` (is the index a folder), ``changed_ms``."""
-
-    def __init__(self, settle_seconds: int):
-        self.settle_ms = 1000 * settle_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.files = handle.getMapState("files", "file string", "bits int")
-        self.totals = handle.getValueState(
-            "totals", "indexed boolean, folder boolean, named long, arrived long, both long, changed_ms long, done boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        indexed, folder, named, arrived, both, changed, done = self.totals.get() or (False, False, 0, 0, 0, 0, False)
-        bits: dict[str, int] = {}
-        for b in rows:
-            index = b["kind"] == "index"
-            indexed, folder = indexed or bool(index.any()), folder or bool(b["folder"].any())
-            changed = max(changed, int(b["changed_ms"].max()))
-            # a file named by many entries is one change of its bits
-            for bit, files in ((NAMED, b["file"][index]), (ARRIVED, b["file"][~index])):
-                for f in files.dropna().unique():
-                    bits[f] = bits.get(f, 0) | bit
-        if done:
-            return
-        for f, new in bits.items():
-            old = self.files.getValue((f,))[0] if self.files.containsKey((f,)) else 0
-            now = old | new
-            if now != old:
-                self.files.updateValue((f,), (now,))
-                named += (now & ~old & NAMED) > 0
-                arrived += (now & ~old & ARRIVED) > 0
-                both += now == NAMED | ARRIVED
-        whole = indexed and named == both and (not folder or arrived == both)
-        quiet = indexed and timerValues.getCurrentProcessingTimeInMs() >= changed + self.settle_ms
-        if whole or quiet:
-            yield self.emit(key, "complete" if whole else "quiet", indexed, folder, named, arrived, both, changed)
-            return
-        self.totals.update((indexed, folder, named, arrived, both, changed, False))
-        if indexed:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(changed + self.settle_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        indexed, folder, named, arrived, both, changed, done = self.totals.get() or (False, False, 0, 0, 0, 0, False)
-        if indexed and not done and timerValues.getCurrentProcessingTimeInMs() >= changed + self.settle_ms:
-            yield self.emit(key, "quiet", indexed, folder, named, arrived, both, changed)
-
-    def emit(self, key, reason, indexed, folder, named, arrived, both, changed) -> pd.DataFrame:
-        """Say so once; only the totals are kept from then on."""
-        self.files.clear()
-        self.totals.update((indexed, folder, named, arrived, both, changed, True))
-        return pd.DataFrame({"snapshot": [key[0]], "reason": [reason], "n_named": [named], "n_arrived": [arrived]})
-
-    def close(self) -> None:
-        pass
 
 
 def arrivals(spark: SparkSession, raw_root: str) -> DataFrame:
@@ -180,7 +117,8 @@ def sync_stream(spark: SparkSession, raw_root: str, table_root: str, checkpoint:
     for an ``availableNow`` run). Timers fire in every batch of a running
     stream, and at the start of each ``availableNow`` run."""
     checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "sync_stream")
-    ship_package(spark)
+    # the stream's planner starts the operator in a process of its own, which has no shipped packages
+    cloudpickle.register_pickle_by_value(state)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         # the snapshots that became due in this batch, each a publish of its own, oldest first
