@@ -113,9 +113,11 @@ def sync_snapshot(spark: SparkSession, raw_root: str, table_root: str, snapshot:
 def sync_stream(spark: SparkSession, raw_root: str, table_root: str, checkpoint: str | None = None,
                 available_now: bool = True, processing_time: str | None = None, settle_seconds: int = 300,
                 staging_dir: str | None = None):
-    """Start the stream; returns the StreamingQuery (``awaitTermination`` it
-    for an ``availableNow`` run). Timers fire in every batch of a running
-    stream, and at the start of each ``availableNow`` run."""
+    """Start the stream; returns the StreamingQuery. With ``available_now`` it
+    is one batch over all files that have come since the last run (await its
+    termination); timers that are due fire in it, with new files or without.
+    (The trigger of that name would run batches without data for ever, because
+    an operator with processing-time timers always asks for another.)"""
     checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "sync_stream")
     # the stream's planner starts the operator in a process of its own, which has no shipped packages
     cloudpickle.register_pickle_by_value(state)
@@ -132,7 +134,7 @@ def sync_stream(spark: SparkSession, raw_root: str, table_root: str, checkpoint:
         w = ready_snapshots(spark, raw_root, settle_seconds).writeStream.outputMode("append")
         w = w.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
         if available_now:
-            w = w.trigger(availableNow=True)
+            w = w.trigger(once=True)
         elif processing_time:
             w = w.trigger(processingTime=processing_time)
         return w.start()
