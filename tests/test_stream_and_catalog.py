@@ -115,7 +115,7 @@ def test_lookup_ranks_unsuffixed_first(spark):
     got = {r.request: r.link for r in lookup.lookup_many(items, req).collect()}
     assert got == {"100": "scp-100", "scp-100-j": "scp-100-j", "2": "scp-002", "SCP-002": "scp-002"}
     nf = lookup.not_found_with_suggestions(spark.createDataFrame([("101",)], "request string"), items).first()
-    assert nf.suggestions == ["SCP-100", "SCP-100-J"] and nf.code == "ITEM_NOT_FOUND"
+    assert nf.suggestions == ["SCP-100", "SCP-100-J", "SCP-002"] and nf.code == "ITEM_NOT_FOUND"
 
 
 def test_related_and_hubs(spark):
