@@ -37,6 +37,8 @@ MOST_PIECES = 2_000_000
 #: remembers: with more distinct words to a partition (too few partitions for the
 #: data) it forgets and encodes anew, which costs time but changes nothing.
 PARTS, MEMORY_WORDS = 4, 1_000_000
+#: Words given to the library at once: what it returns for a word is far larger than its ids.
+ENCODED_AT_ONCE = 2048
 
 
 def tokenizer_json(path: str) -> str:
@@ -80,6 +82,15 @@ def pieces_of(content: str) -> pa.Array:
     return pa.array(pieces, pa.string())
 
 
+def _freeing(step):
+    """The Arrow step; at its end, what Arrow's allocator holds unused goes
+    back (a worker lives on to the next task and stage)."""
+    def run(batches):
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()
+    return run
+
+
 def _blocks(batches, column: str, limit: int):
     """Lists of (batch slice, its texts) with about ``limit`` bytes of text.
     Cut text by text, on text bytes alone, so that the cuts do not depend on
@@ -149,7 +160,7 @@ def _word_rows(texts: DataFrame, limit: int, parts: int) -> DataFrame:
                      pa.array([_shrink(np.array([number[w] for w in words]))], pa.binary())],
                     ["part", "block", "words", "numbers"])
 
-    return common.map_arrow(texts, made, "part int, block binary, words binary, numbers binary")
+    return common.map_arrow(texts, _freeing(made), "part int, block binary, words binary, numbers binary")
 
 
 def _encoded_words(rows: DataFrame, content: str, partitions: int) -> DataFrame:
@@ -166,8 +177,10 @@ def _encoded_words(rows: DataFrame, content: str, partitions: int) -> DataFrame:
                 if len(ids_of) > MEMORY_WORDS:
                     ids_of.clear()
                 new = [w for w in own if w not in ids_of]
-                made = t.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                ids_of.update((w, np.array(e.ids, "<i4").tobytes()) for w, e in zip(new, made))
+                for at in range(0, len(new), ENCODED_AT_ONCE):
+                    part = new[at:at + ENCODED_AT_ONCE]
+                    made = t.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+                    ids_of.update((w, np.array(e.ids, "<i4").tobytes()) for w, e in zip(part, made))
                 ids = [ids_of[w] for w in own]
                 lengths = np.fromiter(map(len, ids), "i4", len(ids)) // 4
                 for column, value in zip(out, (block, numbers, _shrink(lengths), _shrink(np.frombuffer(b"".join(ids), "<i4")))):
@@ -175,7 +188,7 @@ def _encoded_words(rows: DataFrame, content: str, partitions: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["block", "numbers", "lengths", "ids"])
 
     dealt = rows.repartition(partitions, "part").drop("part")
-    return common.map_arrow(dealt, encoded, "block binary, numbers binary, lengths binary, ids binary")
+    return common.map_arrow(dealt, _freeing(encoded), "block binary, numbers binary, lengths binary, ids binary")
 
 
 def encode(documents: DataFrame, content: str, text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -227,13 +240,13 @@ def encode(documents: DataFrame, content: str, text_column: str = "text", block_
                     [b.column("rows")[i].values, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))],
                     ["row", "ids"])
 
-    docs = common.map_arrow(rows.select("row", "text"), numbered, f"block binary, rows array<{kind}>, numbers binary, lengths binary, words long")
+    docs = common.map_arrow(rows.select("row", "text"), _freeing(numbered), f"block binary, rows array<{kind}>, numbers binary, lengths binary, words long")
     none = F.lit(None)
     both = (words.select("block", F.lit(False).alias("is_doc"), none.cast(f"array<{kind}>").alias("rows"), "numbers", "lengths",
                            none.cast("long").alias("words"), "ids")
             .unionAll(docs.select("block", F.lit(True).alias("is_doc"), "rows", "numbers", "lengths", "words", none.cast("binary").alias("ids"))))
     met = both.repartition(parts, "block").sortWithinPartitions("block", "is_doc")
-    out = common.map_arrow(met, joined, f"row {kind}, ids array<int>")
+    out = common.map_arrow(met, _freeing(joined), f"row {kind}, ids array<int>")
     return out.select(*([] if rest == [text_column] else ["row.*"]), "ids")
 
 
