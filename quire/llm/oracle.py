@@ -48,8 +48,8 @@ def _pii(kind: str, pattern: str, confirmed: str) -> str:
     """Confirmed (kind, start, end) of one kind; m is a match."""
     return f"""
 SELECT doc_id, '{kind}' kind, s, s + length(m) e FROM (
-  SELECT doc_id, m[i] m, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT s
-  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') m, string_split_regex(text, '{pattern}') g FROM d),
+  SELECT doc_id, text, m[i] m, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT s
+  FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') m, string_split_regex(text, '{pattern}') g FROM d),
        unnest(range(1, len(m) + 1)) t(i))
 WHERE {confirmed}"""
 
@@ -61,14 +61,25 @@ _BARE = "replace(m, ' ', '')"
 _MOD97 = (f"list_reduce(list_prepend(0, list_transform(string_split(substr({_BARE}, 5) || substr({_BARE}, 1, 4), ''), "
           "lambda c: CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda a, x: CASE WHEN x > 9 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END) = 1")
 
+
+
+def _near(words: str) -> str:
+    """Does one of the words stand within 40 characters before or after?"""
+    return (f"regexp_matches(lower(substr(text, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || ' ' || substr(text, s + length(m) + 1, 40)), '{words}')")
+
+
 SQL["op7_pii"] = "WITH d AS (SELECT doc_id, coalesce(text, '') \"text\" FROM documents), spans AS (" + " UNION ALL ".join([
     "SELECT * FROM (" + _pii("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true") + ")",
     "SELECT * FROM (" + _pii("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_max(list_transform(string_split(m, '.'), lambda x: x::DOUBLE)) <= 255") + ")",
     "SELECT * FROM (" + _pii("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}") + ")",
     "SELECT * FROM (" + _pii("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15") + ")",
     "SELECT * FROM (" + _pii("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
-                             f"length({_BARE}) BETWEEN 15 AND 34 AND {_MOD97}") + ")"]) + r"""),
-o AS (SELECT *, list_position(['email', 'ip', 'card', 'phone', 'iban'], kind) k, concat_ws(':', kind, s, e) x FROM spans),
+                             f"length({_BARE}) BETWEEN 15 AND 34 AND {_MOD97}") + ")",
+    "SELECT * FROM (" + _pii("secret", "[A-Za-z0-9_-]{20,}", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND " + _near(
+        "token|secret|passw|credential|bearer|api[ _-]?key|access[ _-]?key|private[ _-]?key")) + ")",
+    "SELECT * FROM (" + _pii("account", "[0-9]+", "length(m) BETWEEN 8 AND 17 AND " + _near(
+        "account|konto|compte|cuenta|passport|tax id|social security")) + ")"]) + r"""),
+o AS (SELECT *, list_position(['email', 'ip', 'card', 'phone', 'iban', 'secret', 'account'], kind) k, concat_ws(':', kind, s, e) x FROM spans),
 a AS (SELECT doc_id, count(*) FILTER (kind = 'email') n_email, count(*) FILTER (kind = 'ip') n_ip, count(*) FILTER (kind = 'card') n_card,
              count(*) FILTER (kind = 'phone') n_phone, string_agg(x, ',' ORDER BY k, s) FILTER (k < 5) base, string_agg(x, ',' ORDER BY k, s) spans
       FROM o GROUP BY doc_id)

@@ -2,7 +2,8 @@
 
 Regular expressions propose spans; checksum validators (Luhn for card numbers,
 mod-97 for bank account numbers) and range checks confirm them; context words
-near a span adjust its score.
+near a span adjust its score, which decides on spans beyond the base: a long run
+of letters and digits is a secret only where a word such as "token" stands near.
 
 Positions come from one pair of built-ins over the same expression:
 ``regexp_extract_all`` gives the matches and ``split`` the gaps between them, so
@@ -21,24 +22,30 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Kinds in the order of the listing; the first four are the base.
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "secret", "account")
 BASE = KINDS[:4]
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"[A-Za-z0-9_-]{20,}+",
+    "account": r"[0-9]++",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
 }
 #: A character without which a text holds no match: such texts are not searched.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 #: Score of a match before its context is read, and words that raise it when they stand within ``NEAR`` characters.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "secret": 0.5, "account": 0.5}
 CONTEXT = {"email": "mail|contact|write", "ip": r"\bip\b|address|host|server", "card": "card|visa|credit|payment|karte|carte|tarjeta",
-           "phone": "phone|call|tel|fax|mobile", "iban": "iban|bank|account|konto|compte|cuenta"}
+           "phone": "phone|call|tel|fax|mobile", "iban": "iban|bank|account|konto|compte|cuenta",
+           "secret": "token|secret|passw|credential|bearer|api[ _-]?key|access[ _-]?key|private[ _-]?key",
+           "account": "account|konto|compte|cuenta|passport|tax id|social security"}
 NEAR, RAISE = 40, 0.2
-#: Added kinds need this score; base spans stay whatever theirs is.
+#: Added kinds need this score; base spans stay whatever theirs is. Those that
+#: begin below it (a run of letters and digits may be anything) pass only with a context word near.
 LEAST_SCORE = 0.7
+BY_CONTEXT = tuple(k for k in KINDS if SCORES[k] < LEAST_SCORE and k not in BASE)
 
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
@@ -82,6 +89,10 @@ def _confirmed(kind: str, match: Column) -> Column:
     if kind == "iban":
         bare = F.replace(match, F.lit(" "), F.lit(""))
         return F.when(F.length(bare).between(15, 34), mod97(bare)).otherwise(False)
+    if kind == "secret":
+        return match.rlike("[0-9]") & match.rlike("[A-Za-z]")
+    if kind == "account":
+        return F.length(match).between(8, 17)
     return F.lit(True)
 
 
@@ -123,6 +134,8 @@ def _spans(kind: str, text: Column) -> Column:
 
     found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("gaps"))
     made = _let(found, placed).cast(none)
+    if kind in BY_CONTEXT:  # without a context word anywhere no match can pass
+        return F.when(F.lower(text).rlike(context), made).otherwise(F.array().cast(none))
     return F.when(F.contains(text, F.lit(NEEDS[kind])), made).otherwise(F.array().cast(none)) if kind in NEEDS else made
 
 
@@ -130,7 +143,7 @@ def find(documents: DataFrame, text_column: str = "text") -> DataFrame:
     """Every row with ``pii``: array of (kind, start, end, score), by kind as
     listed, then start; code points, end exclusive. Null texts count as empty;
     an input column ``pii`` is replaced; other columns, repeated rows and empty
-    tables pass as they are."""
+    tables pass as they are. Texts of any length are searched whole, in their row."""
     rest = [F.col(f"`{c}`") for c in documents.columns if c != "pii"]
     text = common.text_of(text_column)
     return documents.select(*rest, _let(text, lambda t: F.concat(*[_spans(k, t) for k in KINDS])).alias("pii"))

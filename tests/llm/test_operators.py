@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -247,11 +248,42 @@ def test_pii_against_python(spark):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(400)]
     texts += ["a" * 30_000, "1" * 30_000, "a." * 15_000 + "@b" + ".c" * 15_000, "1 " * 15_000, "+" + "1(" * 15_000, ""]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(len(texts), None, 1)], "doc_id long, text string, pii int")
-    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.pii if s["kind"] != "iban"] for r in pii.find(df).collect()}
+    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.pii if s["kind"] in pii.BASE] for r in pii.find(df).collect()}
     for i, t in enumerate([*texts, ""]):
         assert got[i] == brute_pii(t), t[:200]
 
 
+def test_pii_kinds_that_context_decides(spark):
+    """A long run of letters and digits, or a number, counts only where a word
+    such as "token" or "account" stands within 40 characters."""
+    rng = random.Random(8)
+    hexes = ["04dbebab91ab85687d33eeaaf9ac699e1188f962", "abcdefghijklmnopqrstuvwxyz", "A1" * 12, "12345678901234567890123", "short1", "x-1_" * 9]
+    parts = [*hexes, "12345678", "1234567", "12345678901234567", "token = ", "Secret", "API key:", "account", "konto", " ", "\n", "\"", "word " * 7, "ü" * 39, "plain words here "]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "\"", ""]) for _ in range(rng.randint(0, 14))) for _ in range(300)] + ["a1" * 40_000 + " token", ""]
+
+    def brute(t):
+        out = []
+        for kind, pattern, ok in (("secret", r"[A-Za-z0-9_-]{20,}", lambda m: re.search("[0-9]", m) and re.search("[A-Za-z]", m)),
+                                  ("account", "[0-9]+", lambda m: 8 <= len(m) <= 17)):
+            for m in re.finditer(pattern, t):
+                near = (t[max(0, m.start() - 40):m.start()] + " " + t[m.end():m.end() + 40]).lower()
+                if ok(m[0]) and re.search(pii.CONTEXT[kind], near):
+                    out.append((kind, m.start(), m.end()))
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.pii if s["kind"] in pii.BY_CONTEXT] for r in pii.find(df).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+    kinds = Counter(k for v in got.values() for k, _, _ in v)
+    assert min(kinds["secret"], kinds["account"]) > 20
+    assert pii.find(df.limit(0)).count() == 0
+
+
+def test_pii_of_repeated_rows(spark):
+    rows = [(1, "a@b.co"), (1, "a@b.co"), (None, "a@b.co")]
+    assert [len(r.pii) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [1, 1, 1]
+
+
 def test_iban_context_and_redaction(spark):
     t = "my bank account DE89 3704 0044 0532 0130 00, not DE89370400440532013001; mail me: a@b.co"
     df = spark.createDataFrame([(t,)], "text string")
@@ -454,3 +486,67 @@ def test_training_collects_one_row_of_an_id(spark, monkeypatch, kind, label):
     monkeypatch.setattr(type(labels), "collect", counted)
     kind.train(docs(spark, rows), labels)
     assert max(collected) <= 40
+
+
+def test_toxicity_forward_pass_window_by_window():
+    """The score of a text by loops over filters, windows and taps."""
+    rng = np.random.default_rng(9)
+    n = toxicity.FILTERS
+    m = toxicity.Model(rng.normal(size=(1 << toxicity.TABLE_BITS, toxicity.DIM)).astype("f4"),
+                       rng.normal(size=(toxicity.DIM, n * sum(toxicity.WIDTHS))).astype("f4"), rng.normal(size=n * 3).astype("f4"),
+                       rng.normal(size=n * 3).astype("f4"), 0.3)
+    texts = ["", "...", "One", "one two", "a b c d e f g a b", " ".join(f"w{i}" for i in range(60))]
+    for text, score in zip(texts, toxicity.Scorer(m)(texts)):
+        words = [sum(m.table[r].astype(float) for r in toxicity.rows_of(w)) for w in re.findall(r"[^\W_]+", text.lower())]
+        z, first = m.out_bias, 0
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(n):
+                best = max((sum(words[i + tap] @ m.taps[:, first + tap * n + f].astype(float) for tap in range(width) if i + tap < len(words))
+                            for i in range(len(words))), default=0.0)
+                z += max(0.0, best + m.bias[k * n + f]) * m.out[k * n + f]
+            first += width * n
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_toxicity_finds_nine_of_ten_held_out(spark):
+    """The query at sf0.1 on labelled rows that it never learned from."""
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op1_toxicity(spark, sf).join(common.table(spark, sf, "labels", "doc_id", "toxic"), "doc_id").where("held_out")
+    of = {(r["toxic"], r["predicted"]): r["count"] for r in rows.groupBy("toxic", "predicted").count().collect()}
+    assert of[1, 1] >= 0.9 * (of[1, 1] + of.get((1, 0), 0)) and of.get((0, 1), 0) <= 0.02 * of[0, 0]
+
+
+def test_quality_trees_walked_node_by_node():
+    rng = np.random.default_rng(4)
+    inner, leaves = 2 ** quality.DEPTH - 1, 2 ** quality.DEPTH
+    trees = quality.Trees(rng.integers(0, 5, (6, inner)), rng.normal(size=(6, inner)), rng.normal(size=(6, leaves)), -0.2)
+    x = rng.normal(size=(40, 5))
+    for row, score in zip(x, trees.score(x)):
+        z = trees.base
+        for f, t, leaf in zip(trees.feature, trees.limit, trees.leaf):
+            node = 0
+            while node < inner:
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            z += leaf[node - inner]
+        assert score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_quality_first_split_is_the_best_one():
+    """Of all features and limits between the bins, tried one by one."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 4)).round(1)
+    y = ((x[:, 2] > 0.4) ^ (rng.random(300) < .1)).astype(float)
+    w = rng.uniform(.5, 2, 300)
+    trees = quality.fit(x, y, w)
+    p = 1 / (1 + np.exp(-trees.base))
+    g, h = (p - y) * w, p * (1 - p) * w
+
+    def gain(left):
+        if min(h[left].sum(), h[~left].sum()) < quality.LEAST_HESSIAN:
+            return 0
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+        return part(left) + part(~left) - g.sum() ** 2 / (h.sum() + 1)
+
+    every = {(j, t): gain(x[:, j] <= t) for j in range(4) for t in np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1]))}
+    assert every[trees.feature[0][0], trees.limit[0][0]] == pytest.approx(max(every.values()))
+    assert trees.feature[0][0] == 2
