@@ -771,8 +771,8 @@ d as (select case when o.link is null then 'added' when n.link is null then 'rem
       from old o full outer join new n on o.link = n.link),
 c as (select count(*) filter (state = 'added') as added, count(*) filter (state = 'updated') as updated,
              count(*) filter (state = 'unchanged') as unchanged, count(*) filter (state = 'removed') as removed from d)
-select 1 as version, 'scp-1700000000-aaaaaaaaaaaa' as snapshot, 'aaaaaaaaaaaa' as dataset_commit, link, scp_number, title, content_sha1,
-       (select count(*) from old) as added, 0 as updated, 0 as unchanged, 0 as removed, 0 as errors from old
+select cast(1 as bigint) as version, 'scp-1700000000-aaaaaaaaaaaa' as snapshot, 'aaaaaaaaaaaa' as dataset_commit, link, scp_number, title, content_sha1,
+       (select count(*) from old) as added, cast(0 as bigint) as updated, cast(0 as bigint) as unchanged, cast(0 as bigint) as removed, cast(0 as bigint) as errors from old
 union all
 select 2, 'scp-1800000000-bbbbbbbbbbbb', 'bbbbbbbbbbbb', link, scp_number, title, content_sha1, added, updated, unchanged, removed, 0 from new, c
 """)
