@@ -53,14 +53,23 @@ class Arrivals(StatefulProcessor):
             return
         self.totals.update((indexed, folder, named, arrived, both, changed, False))
         if indexed:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(changed + self.settle_ms)
+            self.look_again(timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         indexed, folder, named, arrived, both, changed, done = self.totals.get() or (False, False, 0, 0, 0, 0, False)
-        if indexed and not done and timerValues.getCurrentProcessingTimeInMs() >= changed + self.settle_ms:
+        if not indexed or done:
+            return
+        if timerValues.getCurrentProcessingTimeInMs() >= changed + self.settle_ms:
             yield self.emit(key, "quiet", indexed, folder, named, arrived, both, changed)
+        else:
+            self.look_again(timerValues)
+
+    def look_again(self, timerValues) -> None:
+        """In the next batch, whenever that is and whatever ``settle_seconds``
+        it has: one timer for a snapshot that waits."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + 1)
 
     def emit(self, key, reason, indexed, folder, named, arrived, both, changed) -> pd.DataFrame:
         """Say so once; only the totals are kept from then on."""

@@ -9,9 +9,9 @@ there, and how many are still missing. It emits a snapshot once:
 * when every file that the index names is there (and, where the index is a
   folder, every file that is there is named, so that no part of the index is
   missing), in whatever batches and order they came; or
-* when a timer finds that no file has changed for ``settle_seconds`` (a
-  snapshot may name a file that never comes; its labels are then skipped like
-  any missing hop).
+* when no file has changed for ``settle_seconds``, which a timer looks for in
+  every batch while the snapshot waits (a snapshot may name a file that never
+  comes; its labels are then skipped like any missing hop).
 
 No batch lists the folders again. Each emitted snapshot is imported, published
 as a new version (L2) and compared with the version before (L1), and its sync

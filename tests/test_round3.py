@@ -279,7 +279,9 @@ def play(batches, settle=10, folder=False):
         if rows:
             df = pd.DataFrame(rows, columns=["kind", "file", "changed_ms"]).assign(folder=folder)
             out += list(op.handleInputRows(("s",), iter([df[:1], df[1:]] if len(df) > 1 else [df]), Now(now)))
-        if any(t <= now for t in handle.timers):
+        due = [t for t in handle.timers if t < now]
+        handle.timers = [t for t in handle.timers if t >= now]
+        if due:
             out += list(op.handleExpiredTimer(("s",), Now(now), None))
         said.append([r for d in out for r in d["reason"]])
     return said
