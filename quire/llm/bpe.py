@@ -20,6 +20,7 @@ Decoding joins ids to pieces, a table with the tokenizer's fixed vocabulary
 
 from __future__ import annotations
 
+import ctypes
 import json
 
 import numpy as np
@@ -83,11 +84,14 @@ def pieces_of(content: str) -> pa.Array:
 
 
 def _freeing(step):
-    """The Arrow step; at its end, what Arrow's allocator holds unused goes
-    back (a worker lives on to the next task and stage)."""
+    """The Arrow step; at its end, what the allocators hold unused goes back
+    to the system (a worker lives on to the next task and stage)."""
     def run(batches):
         yield from step(batches)
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
     return run
 
 
