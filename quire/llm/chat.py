@@ -12,11 +12,15 @@ Template: ``<|start|>role<|text|>text<|end|>``. Inside roles and texts a
 backslash follows every ``<`` and ``[`` and is itself doubled, so no control
 string of this or other templates can occur there, and reading takes it back.
 
-Spark's part: conversations are hashed in a stream sorted by conversation and
-turn (state: one hash and the list of 8-byte node marks of one conversation);
-their paths are range-sorted, which is a depth-first order; a node belongs to
-the first conversation through it; running sums over the ranges' totals and
-inside each range give the places.
+Spark's part: every segment (a turn's marked text) is named by 16 bytes of its
+hash before any shuffle, and the tree is made of names alone: (conversation,
+turn, name) rows are chained in a stream sorted by conversation and turn; their
+paths are range-sorted, which is a depth-first order; a node belongs to the
+first conversation through it; running sums over the ranges' totals and inside
+each range give the places. Texts are shuffled twice: to one row a name, and
+from there to the conversations that are read back. One conversation's names
+(and its path, 8 bytes a turn) pass through one task, as its texts do when it is
+read back, in a stream; copies of a segment collapse before their shuffle.
 """
 
 from __future__ import annotations
@@ -53,65 +57,78 @@ def read_back(segment: str) -> tuple[str, str]:
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, segment and segment_id: 16 bytes of the
+    segment's SHA-256."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-                                role.alias("role"), text.alias("text"),
-                                F.concat(F.lit(START), escaped(role), F.lit(TEXT), escaped(text), F.lit(END)).alias("segment"))
+    return (conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+                                 role.alias("role"), text.alias("text"),
+                                 F.concat(F.lit(START), escaped(role), F.lit(TEXT), escaped(text), F.lit(END)).alias("segment"))
+            .withColumn("segment_id", F.unhex(F.substring(F.sha2("segment", 256), 1, 32))))
 
 
-def _paths(turns: DataFrame) -> DataFrame:
-    """A row per turn: conv_id, depth, node, parent, segment, role; and one
-    per conversation with depth -1 and its path (8 bytes a node)."""
+def _ordered_names(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, tie, segment_id, loss, length of every turn. Rows of one
+    conversation and turn are ordered by role and text: the distinct segments
+    of such places (only theirs) are range-sorted, and ``tie`` is their rank."""
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = turns.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    named = turns.select("conv_id", "turn", "segment_id", (F.col("role") == LOSS_ROLE).alias("loss"),
+                         F.length("segment").cast("long").alias("length"))
+    shared = common.written(named.groupBy(F.col("conv_id").alias("c"), F.col("turn").alias("t")).count().where("count > 1").select("c", "t"),
+                            "chat-shared")
+    same_place = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t"))
+    tied = (turns.join(shared, same_place, "left_semi").groupBy("segment_id").agg(F.any_value("role").alias("role"), F.any_value("text").alias("text"))
+            .repartitionByRange(n, "role", "text").sortWithinPartitions("role", "text")
+            .select("segment_id", F.monotonically_increasing_id().alias("tie")))
+    return named.join(common.written(tied, "chat-ties"), "segment_id", "left")
+
+
+def _paths(names: DataFrame) -> DataFrame:
+    """A row per turn: conv_id, depth, node, segment_id, loss, length; and one
+    per conversation with depth -1 and its path (8 bytes a node)."""
+    n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = names.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "tie", "segment_id")
 
     def chained(batches):
-        names = ["conv_id", "depth", "node", "parent", "segment", "loss", "path"]
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.bool_(), pa.binary()]
+        columns = ["conv_id", "depth", "node", "segment_id", "loss", "length", "path"]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.binary()]
         now, depth, node, marks, begun = None, 0, b"", [], False
-        for b in common.slices(batches, 1024):
+        for b in common.slices(batches, 4096):
             out = []
-            for conv, role, segment in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "segment"))):
+            for conv, name, loss, length in zip(*(b.column(c).to_pylist() for c in ("conv_id", "segment_id", "loss", "length"))):
                 if not begun or conv != now:
                     if begun:
                         out.append((now, -1, None, None, None, None, b"".join(marks)))
                     now, depth, node, marks, begun = conv, 0, b"", [], True
-                parent, node = node, hashlib.blake2b(node + segment.encode(), digest_size=16).digest()
+                node = hashlib.blake2b(node + name, digest_size=16).digest()
                 marks.append(node[:8])
-                out.append((conv, depth, node, parent, segment, role == LOSS_ROLE, None))
+                out.append((conv, depth, node, name, loss, length, None))
                 depth += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], columns)
         if begun:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((now, -1, None, None, None, None, b"".join(marks)), types)], names)
-
-    return common.map_arrow(rows, chained, "conv_id long, depth long, node binary, parent binary, segment string, loss boolean, path binary")
+            last = (now, -1, None, None, None, None, b"".join(marks))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, types)], columns)
 
+    return common.map_arrow(rows, chained, "conv_id long, depth long, node binary, segment_id binary, loss boolean, length long, path binary")
 
-def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, steps).
-
-    nodes: one row per distinct beginning of conversations: node, parent
-    (empty for roots), segment (the emitted text), loss (is its text under the
-    loss mask?), start and end in the packed sequence, position, and attend:
-    the merged ancestors' intervals, first to last.
-    steps: conv_id, depth, node of every turn.
 
-    Turns are ordered by turn, then role and text; null roles and texts count
-    as empty; turns without a conv_id are one conversation. Repeated rows are
-    turns of their own. An empty table gives empty results."""
+def tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, steps, segments): ``prefix_tree`` with the texts apart, one row
+    (segment_id, segment) for each distinct one; nodes have segment_id."""
     spark = conversations.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    paths = common.written(_paths(_turns(conversations)), "chat-paths")
+    turns = _turns(conversations)
+    segments = turns.groupBy("segment_id").agg(F.any_value("segment").alias("segment"))
+    paths = common.written(_paths(_ordered_names(turns)), "chat-paths")
     # monotonically increasing numbers after a range sort: the rank in depth-first order, parts in the upper bits
     ranks = common.written(paths.where("depth = -1").select("conv_id", "path").repartitionByRange(n, "path", "conv_id")
                            .sortWithinPartitions("path", "conv_id")
                            .select(F.col("conv_id").alias("c"), F.monotonically_increasing_id().alias("rank")), "chat-ranks")
     steps = paths.where("depth >= 0")
-    owned = (steps.select("conv_id", "node", "depth").join(ranks, F.col("conv_id").eqNullSafe(F.col("c")))
-             .groupBy("node").agg(F.min("rank").alias("rank"), F.min("depth").alias("depth")))
-    texts = steps.groupBy("node").agg(F.any_value("parent").alias("parent"), F.any_value("segment").alias("segment"),
-                                      F.any_value("loss").alias("loss"))
-    nodes = common.written(owned.join(texts, "node").withColumn("length", F.length("segment").cast("long")), "chat-nodes")
+    nodes = (steps.join(ranks, F.col("conv_id").eqNullSafe(F.col("c"))).groupBy("node")
+             .agg(F.min("rank").alias("rank"), F.min("depth").alias("depth"), F.any_value("segment_id").alias("segment_id"),
+                  F.any_value("loss").alias("loss"), F.any_value("length").alias("length")))
+    nodes = common.written(nodes, "chat-nodes")
     # place of each conversation's own nodes: totals of the parts before, then of the ranks before in the part
     part = F.shiftright("rank", 33)
     own = nodes.groupBy("rank").agg(F.sum("length").alias("own")).withColumn("part", part)
@@ -122,44 +139,64 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = (own.withColumn("within", F.coalesce(F.sum("own").over(inside), F.lit(0))).join(totals, "part")
               .select("rank", (F.col("base") + F.col("within")).alias("base")))
     deep = Window.partitionBy("rank").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
-    spans = (nodes.select("node", "rank", "depth", "length").withColumn("up", F.coalesce(F.sum("length").over(deep), F.lit(0)))
+    spans = (nodes.withColumn("up", F.coalesce(F.sum("length").over(deep), F.lit(0)))
              .join(placed, "rank").withColumn("start", F.col("base") + F.col("up"))
-             .select("node", "start", (F.col("start") + F.col("length")).alias("end"), F.col("rank").alias("owner")))
+             .select("node", "segment_id", "loss", "start", (F.col("start") + F.col("length")).alias("end"), F.col("rank").alias("owner")))
     spans = common.written(spans, "chat-spans")
     # ancestors: along the conversation that owns a node, sorted by depth
-    along = (steps.select("conv_id", "depth", "node").join(spans, "node").join(ranks, F.col("conv_id").eqNullSafe(F.col("c")))
-             .select("rank", "depth", "node", "start", "end", "owner"))
+    along = (steps.select("conv_id", "depth", "node").join(spans.select("node", "start", "end", "owner"), "node")
+             .join(ranks, F.col("conv_id").eqNullSafe(F.col("c"))).select("rank", "depth", "node", "start", "end", "owner"))
 
     def attended(batches):
-        now, position, intervals = None, 0, []
+        now, position, intervals, above = None, 0, [], b""
         for b in common.slices(batches, 4096):
             out = []
             for rank, node, start, end, owner in zip(*(b.column(c).to_pylist() for c in ("rank", "node", "start", "end", "owner"))):
                 if rank != now:
-                    now, position, intervals = rank, 0, []
+                    now, position, intervals, above = rank, 0, [], b""
                 if owner == rank:
-                    out.append((node, position, [{"start": s, "end": e} for s, e in intervals]))
-                position += end - start
+                    out.append((node, above, position, [{"start": s, "end": e} for s, e in intervals]))
+                position, above = position + end - start, node
                 if intervals and intervals[-1][1] == start:
                     intervals[-1] = (intervals[-1][0], end)
                 else:
                     intervals.append((start, end))
-            kinds = [pa.binary(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["node", "position", "attend"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["node", "parent", "position", "attend"])
 
     ordered = along.repartition(n, "rank").sortWithinPartitions("rank", "depth")
-    ancestors = common.map_arrow(ordered, attended, "node binary, position long, attend array<struct<start:long,end:long>>")
-    nodes = (nodes.select("node", "parent", "segment", "loss").join(spans.drop("owner"), "node").join(ancestors, "node"))
-    return nodes, steps.select("conv_id", "depth", "node")
+    ancestors = common.map_arrow(ordered, attended, "node binary, parent binary, position long, attend array<struct<start:long,end:long>>")
+    return spans.drop("owner").join(ancestors, "node"), steps.select("conv_id", "depth", "node"), segments
+
+
+def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, steps).
+
+    nodes: one row per distinct beginning of conversations: node, parent
+    (empty for roots), segment_id and segment (the emitted text), loss (is its
+    text under the loss mask?), start and end in the packed sequence, position,
+    and attend: the merged ancestors' intervals, first to last.
+    steps: conv_id, depth, node of every turn.
+
+    Turns are ordered by turn, then role and text; null roles and texts count
+    as empty; turns without a conv_id are one conversation. Ids and turns are
+    integers. Repeated rows are turns of their own. Texts of any length are
+    used whole. Other columns are left out. An empty table gives empty results."""
+    nodes, steps, segments = tree(conversations)
+    return nodes.join(segments, "segment_id"), steps
 
 
-def conversations_of(nodes: DataFrame, steps: DataFrame) -> DataFrame:
+def conversations_of(nodes: DataFrame, steps: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     """Read back from the packed nodes, one row per conversation: conv_id,
-    n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    nodes = common.written(nodes.select("node", "segment", "loss"), "chat-packed")
+    n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. The texts
+    are those of ``nodes``, or of ``segments`` where ``tree`` gave them apart."""
+    if segments is None:
+        segments = nodes.groupBy("segment_id").agg(F.any_value("segment").alias("segment"))
+    nodes = common.written(nodes.select("node", "segment_id", "loss"), "chat-packed")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = steps.join(nodes, "node").repartition(n, "conv_id").sortWithinPartitions("conv_id", "depth")
+    rows = (steps.join(nodes, "node").join(segments, "segment_id").select("conv_id", "depth", "segment", "loss")
+            .repartition(n, "conv_id").sortWithinPartitions("conv_id", "depth"))
 
     def read(batches):
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

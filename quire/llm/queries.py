@@ -57,8 +57,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, steps = chat.prefix_tree(chat.with_extra(common.table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
-    return chat.conversations_of(nodes, steps)
+    return chat.conversations_of(*chat.tree(chat.with_extra(common.table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -550,3 +550,35 @@ def test_quality_first_split_is_the_best_one():
     every = {(j, t): gain(x[:, j] <= t) for j in range(4) for t in np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1]))}
     assert every[trees.feature[0][0], trees.limit[0][0]] == pytest.approx(max(every.values()))
     assert trees.feature[0][0] == 2
+
+
+def test_chat_hot_conversation_with_ties_and_shared_texts(spark):
+    """A third of all rows without a conversation, many of them on one turn; texts shared by conversations; a long text."""
+    long = "wörter [x] " * 20_000
+    rows = [(None, None if i % 3 else 7, ("user", "assistant")[i % 2], f"t{i % 50} \\ <") for i in range(400)]
+    rows += [(c, t, ("user", "assistant")[t % 2], "same" if t < 2 else f"own {c % 5} {t}") for c in range(200) for t in range(4)]
+    rows += [(999, 0, "user", long), (999, 1, "assistant", long)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    want = {}
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    for conv, own in itertools.groupby(sorted(rows, key=lambda r: (key(r), r[1] is not None, r[1] or 0, r[2], r[3])), key=lambda r: r[0]):
+        own = list(own)
+        want[conv] = (len(own), hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in own).encode()).hexdigest(),
+                      hashlib.sha256("".join(r[3] for r in own if r[2] == "assistant").encode()).hexdigest())
+    apart = chat.tree(df)
+    for got in (chat.conversations_of(*apart), chat.conversations_of(*chat.prefix_tree(df))):
+        assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_sha256) for r in got.collect()} == want
+    assert apart[2].count() == len({r[2:] for r in rows})  # each distinct segment once
+    assert apart[0].count() == len({tuple(x[2:] for x in own[:k + 1]) for own in
+                                    ([r for r in rows if r[0] == c] for c in (*range(200), 999)) for k in range(len(own))}) + 400
+
+
+def test_bpe_decode_null_unknown_and_clashing(spark):
+    content = queries.tokenizer_content()
+    pieces = bpe.pieces_of(content).to_pylist()
+    rows = [(1, [5, 6, 7], "x"), (2, None, "y"), (3, [], None), (4, [-1, 9, 10**9], "z"), (1, [5, 6, 7], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>, decoded string")
+    got = sorted((r.doc_id, r.ids, r.decoded) for r in bpe.decode(df, content).collect() if r.ids is not None)
+    assert got == sorted((i, ids, " ".join(pieces[x] for x in ids if 0 <= x < len(pieces))) for i, ids, _ in rows if ids is not None)
+    assert [r.decoded for r in bpe.decode(df.where("ids is null"), content).collect()] == [""]
+    assert bpe.decode(df.limit(0), content).count() == 0
