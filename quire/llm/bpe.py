@@ -26,7 +26,7 @@ import json
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,6 +34,9 @@ from . import common
 #: Bytes of text in a block. A larger text is a block by itself.
 BLOCK_BYTES = 12 << 20
 MOST_PIECES = 2_000_000
+#: Bytes of an Arrow batch between Spark and a task's Python, where the session
+#: names no limit of its own: each of the steps of a task holds one or two.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 #: Parts of the word table per shuffle partition, and the words that a task
 #: remembers: with more distinct words to a partition (too few partitions for the
 #: data) it forgets and encodes anew, which costs time but changes nothing.
@@ -83,6 +86,11 @@ def pieces_of(content: str) -> pa.Array:
     return pa.array(pieces, pa.string())
 
 
+def _small_batches(spark: SparkSession) -> None:
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def _freeing(step):
     """The Arrow step; at its end, what the allocators hold unused goes back
     to the system (a worker lives on to the next task and stage)."""
@@ -204,6 +212,7 @@ def encode(documents: DataFrame, content: str, text_column: str = "text", block_
     ``documents`` is read twice and must return its rows in the same order
     (module docstring): pass a table, not a shuffled frame."""
     check(content)
+    _small_batches(documents.sparkSession)
     rest = [c for c in documents.columns if c != "ids"]
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in rest if c != text_column]).alias("row") if rest != [text_column]
                             else F.struct(F.lit(0).alias("_")).alias("row"),
@@ -281,25 +290,30 @@ def decode(encoded: DataFrame, content: str, ids_column: str = "ids", out_column
     """Every row with the text of its ids, as the library's ``decode(ids,
     skip_special_tokens=False)`` gives it for a tokenizer without a decoder:
     the pieces with a space between. Ids without a piece are left out; null
-    ids give an empty text."""
+    ids give an empty text; an input column of the output's name is replaced.
+    Repeated rows stay; an empty table gives an empty result."""
     if json.loads(content).get("decoder"):
         raise ValueError("only for tokenizers without a decoder")
+    _small_batches(encoded.sparkSession)
     pieces = pieces_of(content)
     rest = [c for c in encoded.columns if c != out_column]
-    inner = encoded.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"),
-                           F.coalesce(F.col(f"`{ids_column}`"), F.array().cast("array<int>")).alias("ids"))
+    inner = encoded.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
     kind = inner.schema["row"].dataType.simpleString()
+    place = rest.index(ids_column)
 
     def joined(batches):
         for b in common.slices(batches, 512):
-            ids = b.column("ids")
-            flat, lengths = ids.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(ids).to_numpy(zero_copy_only=False)
-            ok = (flat >= 0) & (flat < len(pieces))
-            found = pieces.take(pa.array(np.where(ok, flat, 0), pa.int32()))
-            ok &= found.is_valid().to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(np.add.reduceat(np.append(ok, 0), np.concatenate([[0], np.cumsum(lengths)[:-1]])) * (lengths > 0))]) if len(lengths) else [0]
-            kept = found if ok.all() else found.filter(pa.array(ok))
+            # null ids have length 0 here; slices carry their offsets through flatten()
+            ids = pc.struct_field(b.column("row"), place)
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+            known = (flat >= 0) & (flat < len(pieces))
+            found = pieces.take(pa.array(np.where(known, flat, 0), pa.int32()))
+            known &= found.is_valid().to_numpy(zero_copy_only=False)
+            before = np.concatenate([[0], np.cumsum(known)])  # pieces kept before each id
+            ends = before[np.concatenate([[0], np.cumsum(lengths)])]
+            kept = found if known.all() else found.filter(pa.array(known))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), kept)
             yield pa.RecordBatch.from_arrays([b.column("row"), pc.binary_join(lists, " ")], ["row", out_column])
 
-    return common.map_arrow(inner, joined, f"row {kind}, {out_column} string").select("row.*", out_column)
+    return common.map_arrow(inner, _freeing(joined), f"row {kind}, {out_column} string").select("row.*", out_column)
