@@ -45,7 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and the decoded text."""
     content = tokenizer_content()
-    ids = bpe.encode(docs.select("doc_id", "text", "lang", "source"), content)
+    # written, so that no task holds both an encoding and a decoding worker
+    ids = common.written(bpe.encode(docs.select("doc_id", "text", "lang", "source"), content), "pipeline-ids")
     return bpe.decode(ids, content).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
