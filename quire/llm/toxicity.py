@@ -35,7 +35,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import _freeing, _small_batches
 
 #: A shard's size: about 4,000 texts of so many words.
 SAMPLE_WORDS = 600
@@ -82,6 +81,11 @@ def rows_of(word: str) -> tuple[int, int, int]:
     return whole & mask, (whole >> 32) & mask, prefix & mask
 
 
+def sum_of(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The vectors of words, given by their three rows."""
+    return table[rows[:, 0]] + table[rows[:, 1]] + table[rows[:, 2]]
+
+
 @dataclass
 class Model:
     """Embedding table; filters as one matrix (dim x all taps); output weights."""
@@ -101,8 +105,6 @@ class Model:
     def pooled_at(self, vectors, starts):
         n = len(vectors)
         ends = np.append(starts[1:], n)
-        owner_end = np.repeat(ends, ends - starts)
-        position = np.arange(n)
         products = vectors @ self.taps
         out, values = [], []
         at = 0
@@ -110,9 +112,11 @@ class Model:
             total = products[:, at:at + FILTERS].copy()
             for tap in range(1, width):
                 part = products[tap:, at + tap * FILTERS:at + (tap + 1) * FILTERS]
-                inside = (position[:n - tap] + tap < owner_end[:n - tap])[:, None] if n > tap else None
-                if n > tap:
-                    total[:n - tap] += np.where(inside, part, 0)
+                # the last places of each text, whose windows end outside it, keep their value
+                last = np.concatenate([np.maximum(ends - back, starts) for back in range(1, tap + 1)])
+                kept = total[last]
+                total[:n - tap] += part[:max(0, n - tap)]
+                total[last] = kept
             at += width * FILTERS
             values.append(total)
             out.append(np.maximum.reduceat(total, starts, axis=0))
@@ -131,7 +135,7 @@ class Model:
             if pending:
                 parts = [texts[i][at:at + n] for i, at, n, _ in pending]
                 starts = np.cumsum([0] + [len(x) for x in parts[:-1]])
-                _, values = self.pooled_at(self.table[np.concatenate(parts)].sum(1), starts)
+                _, values = self.pooled_at(sum_of(self.table, np.concatenate(parts)), starts)
                 values = np.concatenate(values, 1)
                 for s, (i, at, _, own) in zip(starts, pending):
                     where = values[s:s + own].argmax(0)
@@ -197,19 +201,18 @@ def one_pass(m: Model, state: dict, texts: list[np.ndarray], y: np.ndarray, weig
         grad_hidden = error[:, None] * m.out * (pooled + m.bias > 0)
         grads = {"out": active.T @ error + 1e-4 * m.out, "bias": grad_hidden.sum(0), "taps": np.zeros_like(m.taps)}
         touched, grad_rows = [], []
+        words, lengths = np.concatenate([texts[i] for i in own]), np.array([len(texts[i]) for i in own])
+        starts = np.cumsum(lengths) - lengths
         for k, width in enumerate(WIDTHS):
-            for d, i in enumerate(own):
-                g = grad_hidden[d, k * FILTERS:(k + 1) * FILTERS]
-                if not g.any():
-                    continue
-                first = best[d, k * FILTERS:(k + 1) * FILTERS]
-                for tap in range(width):
-                    ok = (first + tap < len(texts[i])) & (g != 0)
-                    rows = texts[i][first[ok] + tap]
-                    cols = tap_at[k] + tap * FILTERS + np.flatnonzero(ok)
-                    np.add.at(grads["taps"].T, cols, m.table[rows].sum(1) * g[ok, None])
-                    touched.append(rows)
-                    grad_rows.append(g[ok, None] * m.taps[:, cols].T)
+            # by text, tap and filter: the words of the windows that gave the largest values
+            g = grad_hidden[:, None, k * FILTERS:(k + 1) * FILTERS]
+            place = best[:, None, k * FILTERS:(k + 1) * FILTERS] + np.arange(width)[:, None]
+            d, tap, f = np.nonzero((place < lengths[:, None, None]) & (g != 0))
+            if len(d):
+                rows, cols, g = words[starts[d] + place[d, tap, f]], tap_at[k] + tap * FILTERS + f, g[d, 0, f][:, None]
+                np.add.at(grads["taps"].T, cols, sum_of(m.table, rows) * g)
+                touched.append(rows)
+                grad_rows.append(g * m.taps[:, cols].T)
         for name, g in grads.items():
             state[name] += g * g
             setattr(m, name, getattr(m, name) - RATE * g / np.sqrt(state[name]))
@@ -311,7 +314,7 @@ def hashed_rows(documents: DataFrame, known: DataFrame, shards: int) -> DataFram
                                              ["id", "lang", "y", "rows"])
 
     joined = documents.join(known, "_id").select(F.col("_id").cast("string").alias("id"), "_text", "_lang", "_y")
-    rows = common.map_arrow(joined, _freeing(hashed), "id string, lang string, y int, rows binary")
+    rows = common.map_arrow(joined, hashed, "id string, lang string, y int, rows binary")
     dealt = common.one_of_each(rows, "id").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     return dealt.repartition(2 * shards - 1, "shard").sortWithinPartitions("shard", "id")
 
@@ -352,7 +355,7 @@ def class_counts(rows: DataFrame) -> dict:
                 found = [len(at), int(y[at].sum()), *(int((some[at] & (y[at] == c)).sum()) for c in (0, 1))]
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (k, *found)], ["fit", *names])
 
-    each = common.map_arrow(rows, _freeing(counted), "fit long, n long, ones long, words0 long, words1 long")
+    each = common.map_arrow(rows, counted, "fit long, n long, ones long, words0 long, words1 long")
     return {r["fit"]: r for r in each.groupBy("fit").agg(*[F.sum(c).alias(c) for c in names]).collect()}
 
 
@@ -360,61 +363,56 @@ def dense_of(m: Model, state: dict) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([*(np.ravel(p[k]) for k in DENSE), [p["out_bias"]]]).astype("f8") for p in (vars(m), state))
 
 
-def merged_pass(rows: DataFrame, models: dict, counts: dict, shards: int, turn: int, seed: int = 0) -> DataFrame:
-    """(fit, block, at, value, state): the model of every fit after a pass of
-    all shards, only the table rows that moved, by blocks of the table; block
-    ``BLOCKS`` holds the small parameters. ``models`` by fit; at the first turn
-    they are made by the seed."""
-    share = {k: np.float32(r["ones"]) / np.float32(r["n"]) for k, r in counts.items() if r["words0"] and r["words1"]}
+def merged_pass(rows: DataFrame, fit: int, before: tuple | None, share, shards: int, turn: int, seed: int = 0) -> DataFrame:
+    """(block, at, value, state): the model of a fit after a pass of all
+    shards, only the table rows that moved, by blocks of the table; block
+    ``BLOCKS`` holds the small parameters. ``before``: the model and its state
+    before the pass, None at the first: then the seed makes them. ``share``:
+    the ones' among the fit's rows."""
     size = (1 << TABLE_BITS) // BLOCKS
-    passes, blocks, schema = EPOCHS if shards == 1 else 1, BLOCKS, ["fit", "block", "shard", "at", "value", "state"]
+    passes, blocks, schema = EPOCHS if shards == 1 else 1, BLOCKS, ["block", "shard", "at", "value", "state"]
 
     def trained(batches):
         for shard, texts, y, _ in shards_of(batches):
-            for k in sorted(share):
-                own = [i for i in inside(len(y), k) if len(texts[i])]
-                if not own:
-                    continue
-                rng = np.random.default_rng(seed)
-                m, state = started(rng)
-                if turn:
-                    m, state = (copied(x) for x in models[k])
-                if shards > 1:
-                    rng = np.random.default_rng([seed, turn, shard])
-                before = state["table"].copy()
-                weight = weights(y, share[k])
-                for _ in range(passes):
-                    one_pass(m, state, texts, y, weight, rng.permutation(own))
-                moved = (state["table"] != before).any(1)
-                for block in range(blocks + 1):
-                    if block < blocks:
-                        at = np.flatnonzero(moved[block * size:(block + 1) * size])
-                        value, grown = (x[block * size + at] for x in (m.table, state["table"]))
-                    else:
-                        value, grown = dense_of(m, state)
-                        at = np.arange(len(value))
-                    cells = [at.astype("i4").tobytes(), value.astype("f8").tobytes() if block == blocks else value.tobytes(), grown.tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (k, block, shard)]
-                                                     + [pa.array([x], pa.binary()) for x in cells], schema)
+            own = [i for i in inside(len(y), fit) if len(texts[i])]
+            if not own:
+                continue
+            rng = np.random.default_rng(seed)
+            m, state = started(rng) if before is None else map(copied, before)
+            if shards > 1:
+                rng = np.random.default_rng([seed, turn, shard])
+            old = state["table"].copy()
+            weight = weights(y, share)
+            for _ in range(passes):
+                one_pass(m, state, texts, y, weight, rng.permutation(own))
+            moved = (state["table"] != old).any(1)
+            for block in range(blocks + 1):
+                if block < blocks:
+                    at = np.flatnonzero(moved[block * size:(block + 1) * size])
+                    value, grown = (x[block * size + at] for x in (m.table, state["table"]))
+                else:
+                    value, grown = dense_of(m, state)
+                    at = np.arange(len(value))
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (block, shard)]
+                                                 + [pa.array([x.tobytes()], pa.binary()) for x in (at.astype("i4"), value, grown)], schema)
 
     def merged(batches):
-        # sorted: the shards of one block of one fit come one after the other
+        # sorted: the shards of one block come one after the other
         now, held = None, None
 
         def mean():
             at = np.flatnonzero(held[0])
-            kind = "f8" if now[1] == blocks else "f4"
+            kind = "f8" if now == blocks else "f4"
             cells = [at.astype("i4").tobytes(), *((x[at] / held[0][at, None]).astype(kind).tobytes() for x in held[1:])]
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in now] + [pa.array([x], pa.binary()) for x in cells],
-                                              ["fit", "block", "at", "value", "state"])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32())] + [pa.array([x], pa.binary()) for x in cells],
+                                              ["block", "at", "value", "state"])
 
         for b in common.slices(batches, 1):
-            k, block, at, value, state = (b.column(c)[0].as_py() for c in ("fit", "block", "at", "value", "state"))
-            if (k, block) != now:
+            block, at, value, state = (b.column(c)[0].as_py() for c in ("block", "at", "value", "state"))
+            if block != now:
                 if now is not None:
                     yield mean()
-                now = (k, block)
-                held = [np.zeros(size, "i4"), *(np.zeros((size, 1 if block == blocks else DIM)) for _ in "vs")]
+                now, held = block, [np.zeros(size, "i4"), *(np.zeros((size, 1 if block == blocks else DIM)) for _ in "vs")]
             at = np.frombuffer(at, "i4")
             held[0][at] += 1
             for total, x in zip(held[1:], (value, state)):
@@ -422,9 +420,23 @@ def merged_pass(rows: DataFrame, models: dict, counts: dict, shards: int, turn:
         if now is not None:
             yield mean()
 
-    each = common.map_arrow(rows, _freeing(trained), "fit int, block int, shard int, at binary, value binary, state binary")
-    met = each.repartition((CALIBRATION_FOLDS + 1) * (BLOCKS + 1), "fit", "block").sortWithinPartitions("fit", "block", "shard")
-    return common.map_arrow(met, _freeing(merged), "fit int, block int, at binary, value binary, state binary")
+    each = common.map_arrow(rows, trained, "block int, shard int, at binary, value binary, state binary")
+    met = each.repartition(BLOCKS + 1, "block").sortWithinPartitions("block", "shard")
+    return common.map_arrow(met, merged, "block int, at binary, value binary, state binary")
+
+
+def fitted(rows: DataFrame, fit: int, counts, shards: int) -> Model:
+    """The model of one fit over all shards; ``counts``: its ``class_counts``."""
+    m, state = started(np.random.default_rng(0))  # as the shards begin
+    if counts is None or not (counts["words0"] and counts["words1"]):
+        constant(m, counts["ones"] if counts else 0, counts["n"] if counts else 0)
+        return m
+    share = np.float32(counts["ones"]) / np.float32(counts["n"])
+    for turn in range(1 if shards == 1 else MERGED_PASSES):
+        for r in merged_pass(rows, fit, (m, state) if turn else None, share, shards, turn).collect():
+            take_in(m, state, r)
+    settle(m, state)
+    return m
 
 
 def copied(x):
@@ -454,7 +466,6 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", id_colu
     """Fit the classifier on all labelled rows outside the held-out fold
     (module docstring). No labels, or one class only: a model that scores every
     text alike. Of a repeated id the smallest row (language, hashes) counts."""
-    _small_batches(documents.sparkSession)
     known = common.labelled(labels, label)
     if known.count() <= BROADCAST_IDS:
         known = F.broadcast(known)
@@ -467,18 +478,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", id_colu
     rows = hashed_rows(docs, known, shards).persist(StorageLevel.DISK_ONLY)
     try:
         counts = class_counts(rows)
-        models = {k: started(np.random.default_rng(0)) for k in range(CALIBRATION_FOLDS + 1)}  # as the shards begin
-        for turn in range(1 if shards == 1 else MERGED_PASSES):
-            for r in merged_pass(rows, models if turn else None, counts, shards, turn).collect():
-                take_in(*models[r["fit"]], r)
-        for k, (m, state) in models.items():
-            n = counts.get(k)
-            if n is None or not (n["words0"] and n["words1"]):
-                constant(m, n["ones"] if n else 0, n["n"] if n else 0)
-            else:
-                settle(m, state)
-        model, *without = (models[k][0] for k in sorted(models))
-        del models
+        model, *without = (fitted(rows, k, counts.get(k), shards) for k in range(CALIBRATION_FOLDS + 1))
 
         def left_out_steps(batches):
             for _, texts, y, langs in shards_of(batches):
@@ -491,7 +491,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", id_colu
                                                  ["lang", "y", "step"])
 
         # computed once: the counts by language and the counts by step read it
-        scored = common.written(common.map_arrow(rows, _freeing(left_out_steps), "lang string, y int, step int"), "toxicity-steps")
+        scored = common.written(common.map_arrow(rows, left_out_steps, "lang string, y int, step int"), "toxicity-steps")
         model.thresholds = thresholds(scored)
     finally:
         rows.unpersist()
@@ -515,7 +515,7 @@ class Scorer:
             at = len(index)
             index.update(zip(new, range(at, at + len(new))))
             rows = np.array([rows_of(w) for w in new], "i4")
-            self.vectors[at:at + len(new)] = self.model.table[rows].sum(1)
+            self.vectors[at:at + len(new)] = sum_of(self.model.table, rows)
         return self.vectors[np.fromiter(map(index.__getitem__, words), "i4", len(words))]
 
     def __call__(self, texts: list[str]) -> np.ndarray:
@@ -557,7 +557,6 @@ def score(documents: DataFrame, model: Model, text_column: str = "text", lang_co
     threshold). Input columns of these names are replaced. Null texts count as
     empty; empty texts get the score of a text without words. Rows are kept as
     they are, repeated ones too; an empty table gives an empty result."""
-    _small_batches(documents.sparkSession)
     made = ["score", "predicted", "threshold", "rejected"]
     rest = [c for c in documents.columns if c not in made]
     lang = F.col(lang_column).cast("string") if lang_column in documents.columns else F.lit(None).cast("string")
@@ -574,5 +573,5 @@ def score(documents: DataFrame, model: Model, text_column: str = "text", lang_co
                 ["row", *made])
 
     kind = inner.schema["row"].dataType.simpleString()
-    out = common.map_arrow(inner, _freeing(scored), f"row {kind}, score double, predicted int, threshold double, rejected boolean")
+    out = common.map_arrow(inner, scored, f"row {kind}, score double, predicted int, threshold double, rejected boolean")
     return out.select("row.*", *made)
