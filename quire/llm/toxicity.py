@@ -363,11 +363,11 @@ def dense_of(m: Model, state: dict) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([*(np.ravel(p[k]) for k in DENSE), [p["out_bias"]]]).astype("f8") for p in (vars(m), state))
 
 
-def merged_pass(rows: DataFrame, fit: int, before: tuple | None, share, shards: int, turn: int, seed: int = 0) -> DataFrame:
+def merged_pass(rows: DataFrame, fit: int, before: list[dict] | None, share, shards: int, turn: int, seed: int = 0) -> DataFrame:
     """(block, at, value, state): the model of a fit after a pass of all
     shards, only the table rows that moved, by blocks of the table; block
-    ``BLOCKS`` holds the small parameters. ``before``: the model and its state
-    before the pass, None at the first: then the seed makes them. ``share``:
+    ``BLOCKS`` holds the small parameters. ``before``: what had moved
+    before the pass (``sparse``), None at the first; the seed makes the rest. ``share``:
     the ones' among the fit's rows."""
     size = (1 << TABLE_BITS) // BLOCKS
     passes, blocks, schema = EPOCHS if shards == 1 else 1, BLOCKS, ["block", "shard", "at", "value", "state"]
@@ -378,7 +378,9 @@ def merged_pass(rows: DataFrame, fit: int, before: tuple | None, share, shards:
             if not own:
                 continue
             rng = np.random.default_rng(seed)
-            m, state = started(rng) if before is None else map(copied, before)
+            m, state = started(rng)
+            for r in before or ():
+                take_in(m, state, r)
             if shards > 1:
                 rng = np.random.default_rng([seed, turn, shard])
             old = state["table"].copy()
@@ -433,17 +435,19 @@ def fitted(rows: DataFrame, fit: int, counts, shards: int) -> Model:
         return m
     share = np.float32(counts["ones"]) / np.float32(counts["n"])
     for turn in range(1 if shards == 1 else MERGED_PASSES):
-        for r in merged_pass(rows, fit, (m, state) if turn else None, share, shards, turn).collect():
+        for r in merged_pass(rows, fit, sparse(m, state) if turn else None, share, shards, turn).collect():
             take_in(m, state, r)
     settle(m, state)
     return m
 
 
-def copied(x):
-    """A model or a state, apart from its original."""
-    if isinstance(x, Model):
-        return Model(x.table.copy(), x.taps.copy(), x.bias.copy(), x.out.copy(), x.out_bias)
-    return {k: v.copy() if isinstance(v, np.ndarray) else v for k, v in x.items()}
+def sparse(m: Model, state: dict) -> list[dict]:
+    """What moved since the start, as rows that ``take_in`` reads; far smaller
+    than the model, which every task gets."""
+    at = np.flatnonzero((state["table"] != np.float32(1e-4)).any(1))
+    dense = dense_of(m, state)
+    return [{"block": 0, "at": at.astype("i4").tobytes(), "value": m.table[at].tobytes(), "state": state["table"][at].tobytes()},
+            {"block": BLOCKS, "at": b"", "value": dense[0].tobytes(), "state": dense[1].tobytes()}]
 
 
 def take_in(m: Model, state: dict, row) -> None:
