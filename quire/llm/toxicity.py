@@ -303,20 +303,43 @@ def thresholds(scored: DataFrame) -> dict[str, float]:
 def hashed_rows(documents: DataFrame, known: DataFrame, shards: int) -> DataFrame:
     """(shard, id, lang, y, rows): every labelled document once, its words'
     embedding rows packed, each shard whole in one partition and in the order
-    of the ids."""
+    of the ids. Texts are shuffled, once: they take less than their hashes."""
+    columns = ["shard", "id", "lang", "y", "rows"]
 
     def hashed(batches):
         import zstandard
-        pack = zstandard.ZstdCompressor(level=1)
-        for b in common.slices(batches, 256):
-            found = [pack.compress(np.array([rows_of(x) for x in words_of(t)], "i4").tobytes()) for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("_lang"), b.column("_y"), pa.array(found, pa.binary())],
-                                             ["id", "lang", "y", "rows"])
+        pack, seen = zstandard.ZstdCompressor(level=1), {}
 
-    joined = documents.join(known, "_id").select(F.col("_id").cast("string").alias("id"), "_text", "_lang", "_y")
-    rows = common.map_arrow(joined, hashed, "id string, lang string, y int, rows binary")
-    dealt = common.one_of_each(rows, "id").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return dealt.repartition(2 * shards - 1, "shard").sortWithinPartitions("shard", "id")
+        def packed(text):
+            words = words_of(text)
+            if len(seen) > MEMORY_WORDS:
+                seen.clear()
+            for w in words:
+                if w not in seen:
+                    seen[w] = rows_of(w)
+            return pack.compress(np.array([seen[w] for w in words], "i4").tobytes())
+
+        def batch(found):
+            types = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), types)], columns)
+
+        found = []
+        for b in common.slices(batches, 256):
+            for *head, text in zip(*(b.column(c).to_pylist() for c in (*columns[:-1], "_text"))):
+                row = (*head, packed(text))
+                if not found or found[-1][1] != row[1]:
+                    found.append(row)
+                elif found[-1][:4] == row[:4]:  # an id's first row has its smallest language
+                    found[-1] = min(found[-1], row, key=lambda r: r[4])
+            if len(found) > 1:  # the last id may go on
+                yield batch(found[:-1])
+                found = found[-1:]
+        if found:
+            yield batch(found)
+
+    joined = documents.join(known, "_id").select(F.col("_id").cast("string").alias("id"), "_text", F.col("_lang").alias("lang"), F.col("_y").alias("y"))
+    dealt = joined.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).repartition(2 * shards - 1, "shard")
+    return common.map_arrow(dealt.sortWithinPartitions("shard", "id", "lang", "y"), hashed, "shard int, id string, lang string, y int, rows binary")
 
 
 def shards_of(batches):
@@ -478,27 +501,28 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", id_colu
                             lang.cast("string").alias("_lang"))
     chars = docs.join(known, "_id").agg(F.sum(F.greatest(F.length("_text"), F.lit(ROW_CHARS)))).first()[0] or 0
     shards = -(-chars // SHARD_CHARS) or 1
-    # each pass reads the hashes again, with their shards in place
-    rows = hashed_rows(docs, known, shards).persist(StorageLevel.DISK_ONLY)
-    try:
-        counts = class_counts(rows)
-        model, *without = (fitted(rows, k, counts.get(k), shards) for k in range(CALIBRATION_FOLDS + 1))
-
-        def left_out_steps(batches):
-            for _, texts, y, langs in shards_of(batches):
-                scores = np.empty(len(y))
-                for k, m in enumerate(without):
-                    at = np.arange(k, len(y), CALIBRATION_FOLDS)
-                    scores[at] = score_sample(m, [texts[i] for i in at])
-                steps = np.searchsorted(GRID, scores, side="right")
-                yield pa.RecordBatch.from_arrays([pa.array([str(x) for x in langs]), pa.array(y.astype("i4")), pa.array(steps, pa.int32())],
-                                                 ["lang", "y", "step"])
-
-        # computed once: the counts by language and the counts by step read it
-        scored = common.written(common.map_arrow(rows, left_out_steps, "lang string, y int, step int"), "toxicity-steps")
-        model.thresholds = thresholds(scored)
-    finally:
-        rows.unpersist()
+    with common.shuffles_dropped(documents.sparkSession):
+        # each pass reads the hashes again, with their shards in place
+        rows = hashed_rows(docs, known, shards).persist(StorageLevel.DISK_ONLY)
+        try:
+            counts = class_counts(rows)
+            model, *without = (fitted(rows, k, counts.get(k), shards) for k in range(CALIBRATION_FOLDS + 1))
+
+            def left_out_steps(batches):
+                for _, texts, y, langs in shards_of(batches):
+                    scores = np.empty(len(y))
+                    for k, m in enumerate(without):
+                        at = np.arange(k, len(y), CALIBRATION_FOLDS)
+                        scores[at] = score_sample(m, [texts[i] for i in at])
+                    steps = np.searchsorted(GRID, scores, side="right")
+                    yield pa.RecordBatch.from_arrays([pa.array([str(x) for x in langs]), pa.array(y.astype("i4")), pa.array(steps, pa.int32())],
+                                                     ["lang", "y", "step"])
+
+            # computed once: the counts by language and the counts by step read it
+            scored = common.written(common.map_arrow(rows, left_out_steps, "lang string, y int, step int"), "toxicity-steps")
+            model.thresholds = thresholds(scored)
+        finally:
+            rows.unpersist()
     return model
 
 

@@ -63,3 +63,27 @@ def test_shards_of_one_class_give_one_score(spark, small_shards, toxic):
     labels = spark.createDataFrame([(i, toxic) for i in range(600)], "doc_id long, toxic int")
     scores = toxicity.Scorer(toxicity.train(d, labels))(["w1", "", "new words"])
     assert len(set(scores)) == 1 and (scores[0] > 0.5) == toxic
+
+
+def test_hashes_are_not_shuffled(spark):
+    """One shuffle, of the texts; of a repeated id the smallest language, then the smallest hashes count."""
+    d = spark.createDataFrame([("1", "one", "en"), ("1", "two", None), ("2", "x y", "en"), ("2", "z", "de"), ("2", "w", "de"), ("3", "q", "en")],
+                              "_id string, _text string, _lang string").repartition(3)
+    known = spark.createDataFrame([("1", 0), ("2", 1), ("3", 1)], "_id string, _y int")
+    rows = toxicity.hashed_rows(d, known.hint("broadcast"), 2)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    hashes = {b: a for a in ("one", "two", "z", "w", "q") for b in [tuple(map(int, toxicity.rows_of(a)))]}
+    got = {}
+    for _, texts, y, langs in toxicity.shards_of(iter(rows.toArrow().to_batches())):
+        got |= {hashes[tuple(t[0].tolist())]: (int(label), lang) for t, label, lang in zip(texts, y, langs)}
+    assert got.pop("two") == (0, None) and got.pop("q") == (1, "en")
+    assert list(got.values()) == [(1, "de")] and set(got) <= {"z", "w"}
+
+
+def test_passes_drop_their_shuffle_files(spark, small_shards, monkeypatch):
+    settings, run = [], toxicity.merged_pass
+    monkeypatch.setattr(toxicity, "merged_pass", lambda *a, **k: settings.append(spark.conf.get(common.CLEANUP_SETTING)) or run(*a, **k))
+    before = spark.conf.get(common.CLEANUP_SETTING, None)
+    d = spark.createDataFrame([(i, f"w{i % 9} " * 60 + ("vile" if i % 2 else "fine"), "en", "s") for i in range(400)], DOCS)
+    toxicity.train(d, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"))
+    assert len(settings) > 3 and set(settings) == {"true"} and spark.conf.get(common.CLEANUP_SETTING, None) == before
