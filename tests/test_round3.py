@@ -3,6 +3,7 @@ lists with hubs, pages of all queries, history texts and the stream's state,
 each against a plain model."""
 
 import json
+import math
 import os
 import random
 from collections import Counter
@@ -321,3 +322,19 @@ def test_a_version_number_is_given_once(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         b.publish(df)
     assert a.versions("items").count() == 1 and a.read("items").count() == 1
+
+
+def test_scores_tokenize_the_documents_once(spark):
+    """The texts are read for the postings alone; statistics and scores read what was written. Repeated keys count as documents."""
+    docs = spark.createDataFrame([("a", "The cat; the CAT!"), ("b", " dog"), ("b", "a dog ran"), ("c", ""), ("d", None), ("e", "ein é")], "link string, text string")
+    qs = spark.createDataFrame([(1, "the cat"), (2, "dog é")], "query_id long, text string")
+    scored = search.bm25_scores(docs, qs)
+    assert "ExistingRDD[link" not in scored._jdf.queryExecution().executedPlan().toString()
+    avgdl, n = (4 + 1 + 3 + 2) / 4, 4
+
+    def bm(tf, dl, df):
+        return math.log(1 + (n - df + .5) / (df + .5)) * tf * 2.2 / (tf + 1.2 * (.25 + .75 * dl / avgdl))
+
+    got = {(r.query_id, r.link): r.score for r in scored.collect()}
+    assert got[1, "a"] == pytest.approx(2 * bm(2, 4, 1), abs=1e-6) and got[2, "e"] == pytest.approx(bm(1, 2, 1), abs=1e-6)
+    assert set(got) == {(1, "a"), (2, "b"), (2, "e")}
